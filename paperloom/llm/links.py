@@ -1,21 +1,21 @@
 """Connected components of confirmed links, from candidate groups that may be very large.
 
 No group is ever expanded into all its pairs: members are tested against one centre at a time, members whose
-components have already met are passed over, and only what is then left across components is paired, when
-that is at most in proportion to the input.
+components have already met are passed over, and what is then left across components is compared in blocks inside
+tasks, from which only confirmed or likely pairs come out.
 """
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.store import bounded, saved
 
-#: Pairs left across components, for each member, at which they are tested as they are.
-LEFT_PER_MEMBER = 4
-#: Rounds of centres at most before the rest is tested as it is.
-ROUNDS = 12
+#: The share of tested pairs that must be links for another round of centres; members compared at once in a task.
+FRUITFUL, BLOCK, PAIRS_AT_ONCE = 0.01, 512, 50_000
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -49,38 +49,99 @@ def repeated_keys(buckets: DataFrame) -> DataFrame:
     return saved(buckets.join(bounded(shared), "key").distinct(), "members")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _carried(batches):
+    """Columns of whole groups (rows with one grp, which come together): id, label, block, grp as arrays, data as a list."""
+    held = None
+    for batch in batches:
+        got = [batch.column(c).to_numpy() for c in ("grp", "id", "label", "block")] + [batch.column("data").to_pylist()]
+        if held is not None:
+            got = [np.concatenate((x, y)) for x, y in zip(held[:4], got[:4], strict=True)] + [held[4] + got[4]]
+        if not len(got[0]):
+            continue
+        tail = int(np.flatnonzero(got[0] == got[0][-1])[0])
+        if tail:
+            yield [x[:tail] for x in got]
+        held = [x[tail:] for x in got]
+    if held is not None:
+        yield held
+
+
+def _across(near):
+    def run(batches):
+        for grp, ids, label, block, data in _carried(batches):
+            cuts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
+            left, right, waiting = [], [], 0
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                x, y = np.triu_indices(e - s, 1)
+                x, y = x + s, y + s
+                new = label[x] != label[y]
+                if block[s:e].min() != block[s:e].max():  # two blocks: each block alone is a group of its own
+                    new &= block[x] != block[y]
+                left.append(x[new])
+                right.append(y[new])
+                waiting += int(new.sum())
+                if waiting >= PAIRS_AT_ONCE or e == len(grp):
+                    x, y = np.concatenate(left), np.concatenate(right)
+                    if len(x):
+                        ok = near(data, x, y)
+                        a, b = ids[x[ok]], ids[y[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    left, right, waiting = [], [], 0
+
+    return run
+
+
+def _beside(near):
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            data = batch.column("da").to_pylist() + batch.column("db").to_pylist()
+            ok = near(data, np.arange(n), np.arange(n, 2 * n)) if n else []
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def linked(members: DataFrame, payload: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (id, label) of the links among members of a key, over rows (key, id) as repeated_keys returns them.
 
-    verify maps distinct candidate pairs (a, b), a < b, to those that are links. Every pair of members of a key is
-    tested, or joined by links that are, so that the components are those of all links.
+    payload: (id, data), a row for each id. near(data, x, y) tells for two arrays of places in the list data which
+    pairs may be links; verify maps a frame of such pairs (a, b) to those that are (None: near has decided). Every pair
+    of members of a key is tested, or joined by links that are, so that the components are those of all links.
+
+    Rounds of one centre a key go on while they find links for at least FRUITFUL of the pairs they test. What is left
+    across components is compared inside tasks, in blocks of BLOCK members of a key, and only pairs that pass come out.
     """
-    total, links, labels = members.count(), None, None
-    for turn in range(ROUNDS + 1):
+    links, labels, turn = None, None, 0
+    one, two = payload.select(F.col("id").alias("a"), F.col("data").alias("da")), payload.select(F.col("id").alias("b"), F.col("data").alias("db"))
+    while True:
         now = members.withColumn("label", F.col("id"))
         if labels is not None:
-            now = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        sizes = now.groupBy("key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("key")
-        open_keys = sizes.agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("k")).where("k > 1")
-        open_keys = saved(open_keys.select("key", ((F.col("s") ** 2 - F.col("q")) / 2).alias("pairs")), "open")
-        left = open_keys.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        now = saved(now.join(bounded(open_keys.select("key")), "key"), "across")
-        last = left <= LEFT_PER_MEMBER * max(total, 1) or turn == ROUNDS
-        if last:
-            other = now.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
-            pairs = now.join(other, "key").where("label < label2")
-        else:
-            rank = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-            centre = now.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "label")).alias("c")).select("key", F.col("c.id").alias("id2"), F.col("c.label").alias("label2"))
-            pairs = now.join(centre, "key").where("label <> label2")
-        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        found = saved(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = saved(star_components(links), "labels")
-        if last:
+            now = members.join(bounded(labels), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        open_keys = saved(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "open")
+        now = saved(now.join(bounded(open_keys), "key"), "across")
+        rank = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
+        centre = now.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "label")).alias("c")).select("key", F.col("c.id").alias("id2"), F.col("c.label").alias("label2"))
+        pairs = now.join(bounded(centre), "key").where("label <> label2")
+        pairs = saved(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
+        tested = pairs.count()
+        if tested:
+            found = pairs.join(one, "a").join(two, "b").mapInArrow(_beside(near), "a long, b long")
+            found = saved(verify(found) if verify else found, "links")
+            links = found if links is None else links.unionByName(found)
+            labels = saved(star_components(links), "labels")
+        turn += 1
+        if not tested or found.count() < FRUITFUL * tested:
             break
-    if labels is None:
-        labels = members.where("false").select("id", F.col("id").alias("label"))
-    return labels
+    if not tested:
+        return members.where("false").select("id", F.col("id").alias("label")) if labels is None else labels
+    now = now.select("key", "id", "n").join(bounded(labels), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    now = now.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    now = now.select("id", "label", "block", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("grp"))
+    now = now.join(payload, "id").repartition("grp").sortWithinPartitions("grp")
+    found = now.select("grp", "id", "label", "block", "data").mapInArrow(_across(near), "a long, b long").distinct()
+    found = saved(verify(found) if verify else found, "links")
+    if not found.limit(1).count():
+        return labels
+    return saved(star_components(links.unionByName(found)), "labels")

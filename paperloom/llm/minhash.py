@@ -85,10 +85,9 @@ def _sketch(batches):
         )
 
 
-def _agree(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= SIGNED))
+def _agree(data, x, y):
+    m = np.frombuffer(b"".join(data), np.uint8).reshape(-1, HASHES)
+    return np.concatenate([(m[x[k : k + BLOCK]] == m[y[k : k + BLOCK]]).mean(axis=1) >= SIGNED for k in range(0, len(x), BLOCK)])
 
 
 def _confirm(batches):
@@ -114,16 +113,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = full.join(bounded(member.where("doc_id <> rep").select("doc_id").distinct()), "doc_id", "left_anti")
     members = repeated_keys(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")))
     ids = saved(members.select("id").distinct(), "ids")
-    signed = saved(reps.select(F.col("doc_id").alias("id"), "signature").join(bounded(ids), "id"), "signatures")
+    signed = saved(reps.select(F.col("doc_id").alias("id"), F.col("signature").alias("data")).join(bounded(ids), "id"), "signatures")
     texts = saved(docs.withColumnRenamed("doc_id", "id").join(bounded(ids), "id"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = signed.select(F.col("id").alias("a"), F.col("signature").alias("sa")), signed.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-        likely = saved(pairs.join(a, "a").join(b, "b").mapInArrow(_agree, "a long, b long").distinct(), "likely")
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return likely.join(a, "a").join(b, "b").mapInArrow(_confirm, "a long, b long").distinct()
+        return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(_confirm, "a long, b long").distinct()
 
-    labels = linked(members, verify)
+    labels = linked(members, signed, _agree, verify)
     # a document with several texts ties their classes together, so classes and links meet in one more graph only then
     several = member.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).where("k > 1").limit(1).count()
     if several:
