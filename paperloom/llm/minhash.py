@@ -143,4 +143,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that share a kept doc_id with the same text one stays. Rows with a null doc_id stay.
     """
     away = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "away")
-    return docs.join(bounded(away), "doc_id", "left_anti").select(*docs.columns)
+    stay = docs.join(bounded(away), "doc_id", "left_anti").select(*docs.columns)
+    again = saved(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_times")).where("_times > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return stay
+    once = stay.join(bounded(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return stay.join(bounded(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
