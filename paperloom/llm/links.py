@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.store import bounded, saved
 
 #: The share of tested pairs that must be links for another round of centres; members compared at once in a task.
-FRUITFUL, BLOCK, PAIRS_AT_ONCE = 0.01, 512, 50_000
+#: Pairs compared in one call; pairs of a group from which on it gets a call of its own.
+FRUITFUL, BLOCK, PAIRS_AT_ONCE, PAIRS_ALONE = 0.01, 512, 50_000, 2_000
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def star_components(links: DataFrame) -> DataFrame:
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
         # large star: neighbours above v hang on the least neighbour
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
         # small star: v and its smaller neighbours hang on the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
@@ -66,27 +67,38 @@ def _carried(batches):
         yield held
 
 
-def _across(near):
+def _across(near, out):
+    """Pairs of unlike labels in each group that pass near: as links, one for each two labels, or their members' rows."""
+
+    def told(x, y, grp, ids, label, block):
+        if out == "links":
+            one, two = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            first = np.unique(np.stack((one, two)), axis=1, return_index=True)[1]
+            a, b = ids[x[first]], ids[y[first]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        of = np.unique(np.concatenate((x, y)))
+        return pa.RecordBatch.from_arrays([pa.array(v[of]) for v in (grp, ids, label, block)], ["grp", "id", "label", "block"])
+
     def run(batches):
         for grp, ids, label, block, data in _carried(batches):
             cuts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
-            left, right, waiting = [], [], 0
+            waiting: list[tuple] = []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 x, y = np.triu_indices(e - s, 1)
                 x, y = x + s, y + s
                 new = label[x] != label[y]
                 if block[s:e].min() != block[s:e].max():  # two blocks: each block alone is a group of its own
                     new &= block[x] != block[y]
-                left.append(x[new])
-                right.append(y[new])
-                waiting += int(new.sum())
-                if waiting >= PAIRS_AT_ONCE or e == len(grp):
-                    x, y = np.concatenate(left), np.concatenate(right)
-                    if len(x):
-                        ok = near(data, x, y)
-                        a, b = ids[x[ok]], ids[y[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                    left, right, waiting = [], [], 0
+                x, y = x[new], y[new]
+                alone = len(x) >= PAIRS_ALONE
+                if not alone and len(x):
+                    waiting.append((x, y))
+                full = waiting and (e == len(grp) or sum(len(w[0]) for w in waiting) >= PAIRS_AT_ONCE)
+                for x, y in ([(x, y)] if alone else []) + ([tuple(map(np.concatenate, zip(*waiting, strict=True)))] if full else []):
+                    ok = near(data, x, y)
+                    if ok.any():
+                        yield told(x[ok], y[ok], grp, ids, label, block)
+                waiting = [] if full else waiting
 
     return run
 
@@ -102,46 +114,56 @@ def _beside(near):
     return run
 
 
-def linked(members: DataFrame, payload: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, near: Callable, full: DataFrame | None = None, exact: Callable | None = None) -> DataFrame:
     """Components (id, label) of the links among members of a key, over rows (key, id) as repeated_keys returns them.
 
-    payload: (id, data), a row for each id. near(data, x, y) tells for two arrays of places in the list data which
-    pairs may be links; verify maps a frame of such pairs (a, b) to those that are (None: near has decided). Every pair
-    of members of a key is tested, or joined by links that are, so that the components are those of all links.
+    payload: (id, data), rows for each id. near(data, x, y) tells for two arrays of places in the list data which
+    pairs are links; or, if full and exact are given, which may be: full then is (id, data) for exact(data, x, y).
+    Every pair of members of a key is tested, or joined by links that are, so that the components are those of all links.
 
     Rounds of one centre a key go on while they find links for at least FRUITFUL of the pairs they test. What is left
-    across components is compared inside tasks, in blocks of BLOCK members of a key, and only pairs that pass come out.
+    across components is compared inside tasks, in blocks of BLOCK members of a key; out of those come rows in
+    proportion to members or components, never to pairs.
     """
     links, labels, turn = None, None, 0
-    one, two = payload.select(F.col("id").alias("a"), F.col("data").alias("da")), payload.select(F.col("id").alias("b"), F.col("data").alias("db"))
+
+    def beside(pairs: DataFrame, data: DataFrame, test: Callable) -> DataFrame:
+        one, two = data.select(F.col("id").alias("a"), F.col("data").alias("da")), data.select(F.col("id").alias("b"), F.col("data").alias("db"))
+        return pairs.join(one, "a").join(two, "b").mapInArrow(_beside(test), "a long, b long")
+
     while True:
         now = members.withColumn("label", F.col("id"))
         if labels is not None:
             now = members.join(bounded(labels), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         open_keys = saved(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "open")
         now = saved(now.join(bounded(open_keys), "key"), "across")
+        if turn and found.count() < FRUITFUL * tested:
+            break
         rank = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
         centre = now.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "label")).alias("c")).select("key", F.col("c.id").alias("id2"), F.col("c.label").alias("label2"))
         pairs = now.join(bounded(centre), "key").where("label <> label2")
         pairs = saved(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
         tested = pairs.count()
-        if tested:
-            found = pairs.join(one, "a").join(two, "b").mapInArrow(_beside(near), "a long, b long")
-            found = saved(verify(found) if verify else found, "links")
-            links = found if links is None else links.unionByName(found)
-            labels = saved(star_components(links), "labels")
-        turn += 1
-        if not tested or found.count() < FRUITFUL * tested:
+        if not tested:
             break
+        found = beside(pairs, payload, near)
+        if exact:
+            found = beside(saved(found.distinct(), "likely"), full, exact)
+        found = saved(found, "links")
+        links = found if links is None else links.unionByName(found)
+        labels, turn = saved(star_components(links), "labels"), turn + 1
     if not tested:
         return members.where("false").select("id", F.col("id").alias("label")) if labels is None else labels
-    now = now.select("key", "id", "n").join(bounded(labels), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     now = now.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     now = now.select("id", "label", "block", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("grp"))
-    now = now.join(payload, "id").repartition("grp").sortWithinPartitions("grp")
-    found = now.select("grp", "id", "label", "block", "data").mapInArrow(_across(near), "a long, b long").distinct()
-    found = saved(verify(found) if verify else found, "links")
+    in_task = lambda rows, data: rows.join(data, "id").repartition("grp").sortWithinPartitions("grp").select("grp", "id", "label", "block", "data")
+    if exact:
+        likely = in_task(now, payload).mapInArrow(_across(near, "members"), "grp long, id long, label long, block int").distinct()
+        found = in_task(saved(likely, "likely"), full).mapInArrow(_across(exact, "links"), "a long, b long")
+    else:
+        found = in_task(now, payload).mapInArrow(_across(near, "links"), "a long, b long")
+    found = saved(found.distinct(), "links")
     if not found.limit(1).count():
         return labels
     return saved(star_components(links.unionByName(found)), "labels")

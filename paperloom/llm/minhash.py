@@ -28,6 +28,8 @@ _rng = np.random.default_rng(97)
 MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 BLOCK = 1024
+#: Pairs for each text from which on products replace single intersections; cells of an incidence matrix.
+DENSE, COLUMNS = 4, 1 << 22
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH):
@@ -90,14 +92,33 @@ def _agree(data, x, y):
     return np.concatenate([(m[x[k : k + BLOCK]] == m[y[k : k + BLOCK]]).mean(axis=1) >= SIGNED for k in range(0, len(x), BLOCK)])
 
 
-def _confirm(batches):
-    for batch in batches:
-        sets_a, sets_b = (list(shingle_sets(batch.column(c))) for c in ("ta", "tb"))
-        ok = []
-        for x, y in zip(sets_a, sets_b, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both > 0 and 100 * both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _similar(data, x, y):
+    """Whether the full shingle sets of texts data[x[i]] and data[y[i]] reach SIMILAR, for each i."""
+    of, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    sets = list(shingle_sets(pa.array([data[i] for i in of], pa.string())))
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    possible = np.flatnonzero((100 * np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y])) & (n[x] > 0))
+    both = np.zeros(len(x), np.int64)
+    if len(possible) < DENSE * len(sets):
+        for i in possible:
+            both[i] = len(np.intersect1d(sets[x[i]], sets[y[i]], assume_unique=True))
+    else:  # many pairs of few texts: products of their incidence columns
+        owner, all_of = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        _, column, times = np.unique(all_of, return_inverse=True, return_counts=True)
+        owner, column = owner[times[column] > 1], column[times[column] > 1]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        counts = np.zeros((len(sets), len(sets)), np.float32)
+        width = max(256, COLUMNS // len(sets))
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            s, e = np.searchsorted(column, (first, first + width))
+            m = np.zeros((len(sets), width), np.float32)
+            m[owner[s:e], column[s:e] - first] = 1
+            counts += m @ m.T
+        both[possible] = counts[x[possible], y[possible]].astype(np.int64)
+    return (both > 0) & (100 * both >= SIMILAR * (n[x] + n[y] - both))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -114,13 +135,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = repeated_keys(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")))
     ids = saved(members.select("id").distinct(), "ids")
     signed = saved(reps.select(F.col("doc_id").alias("id"), F.col("signature").alias("data")).join(bounded(ids), "id"), "signatures")
-    texts = saved(docs.withColumnRenamed("doc_id", "id").join(bounded(ids), "id"), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(_confirm, "a long, b long").distinct()
+    texts = saved(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("data")).join(bounded(ids), "id"), "texts")
 
-    labels = linked(members, signed, _agree, verify)
+    labels = linked(members, signed, _agree, texts, _similar)
     # a document with several texts ties their classes together, so classes and links meet in one more graph only then
     several = member.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).where("k > 1").limit(1).count()
     if several:
