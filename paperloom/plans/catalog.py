@@ -1,11 +1,12 @@
 """All queries of the package by name, and their SQL."""
 
-from collections.abc import Callable
+from paperloom.plans import interest, library, relational, triage  # noqa: F401
+from paperloom.plans.registry import ORACLES, QUERIES
 
 
-def queries() -> dict[str, Callable]:
-    return {}
+def queries():
+    return QUERIES
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql():
+    return ORACLES
