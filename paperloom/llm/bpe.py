@@ -2,19 +2,19 @@
 
 An encoding of a prefix is its longest known state: the last token and the state before that token. The last token of a
 prefix is the one token that ends it, is its own encoding, and may follow the last token before it (two tokens may
-follow each other if merging their symbols anew gives just them). So each state follows from those above it in the
+follow each other if merging their symbols anew would give just them). So each state follows from those above it in the
 trie, and prefixes that words share are encoded once. A word's last symbol carries the end mark, hence leaves are
 complete words.
 
 The tokenizer file (path parameter) gives vocabulary, merges, end mark and special tokens. Text is split at its special
-tokens, composed (NFC), cut at white space, lower-cased by code point, and cut into words. White space never joins two
-words, so that each chunk between spaces is encoded by itself and remembered, up to CACHE chunks in a worker.
+tokens, composed (NFC), lower-cased by code point, and cut into words. A worker remembers the encodings of the last CACHE to 2 * CACHE words.
 
 Defined cases: null text is an empty text, with no ids and an empty decoding; other columns are not read; repeated rows
 are encoded alike; an empty table gives an empty table.
 """
 
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONG_CHUNK, BATCH_BYTES = 300_000, 64, 4 << 20
-#: Fixed values of the tokenizer file's rules.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
-SPACES = regex.compile("[\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-SEPARATORS = regex.compile("[\\x1c-\\x1f]")
+CACHE, LONG_WORD, BATCH_BYTES = 250_000, 64, 8 << 20
+#: Fixed values of the tokenizer file's rules; white space is Unicode's, without the separators 0x1C to 0x1F.
+SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
 
 
 def byte_symbols() -> list[str]:
@@ -58,8 +58,11 @@ class TrieEncoder:
         self.bytes = byte_symbols()
         self.most = max(len(t.removesuffix(self.end)) for t in self.ids)
         self.alone: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.joined = self.rank
+        self.halves = {a + b: (a, b) for a, b in reversed(self.rank)}
+        self.made = {t: self.rank[self.halves[t]] if t in self.halves else -1 for t in self.ids}
+        self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end) if len(token) > len(self.end) else token
@@ -75,15 +78,38 @@ class TrieEncoder:
         return parts
 
     def may_follow(self, before: str | None, token: str) -> bool:
-        ok = self.alone.get(token)
-        if ok is None:
-            ok = self.alone[token] = self.merged(self.symbols(token)) == [token]
-        if not ok or before is None:
+        """Whether token stands by itself after before: no merge across their border comes ahead of those inside them.
+
+        The symbols at the border are undone in turn, the later made of both first; a merge of the two that then stand
+        there counts if it comes before the step that is undone."""
+        if before is None:
+            ok = self.alone.get(token)
+            if ok is None:
+                ok = self.alone[token] = self.merged(self.symbols(token)) == [token]
             return ok
-        ok = self.pairs.get((before, token))
-        if ok is None:
-            ok = self.pairs[before, token] = self.merged(self.symbols(before) + self.symbols(token)) == [before, token]
-        return ok
+        made, halves, joined, bar = self.made, self.halves, self.joined, 1 << 60
+        a, b = before, token
+        while True:
+            if joined.get((a, b), 1 << 60) < bar:
+                return False
+            x, y = made[a], made[b]
+            if x < 0 and y < 0:
+                return True
+            if x > y:
+                bar, a = x, halves[a][1]
+            else:
+                bar, b = y + 1, halves[b][0]
+
+    def last_token(self, prefix: str, end: str, states: list) -> tuple:
+        """The state of a prefix (with end, of a word) from the states of all shorter ones."""
+        ids, depth = self.ids, len(prefix)
+        for k in range(max(0, depth - self.most), depth):
+            token = prefix[k:] + end
+            if token in ids:
+                before = states[k]
+                if self.may_follow(before and before[0], token):
+                    return (token, before)
+        raise ValueError(f"no token ends {prefix!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Words of byte symbols, without end mark -> ids."""
@@ -93,83 +119,70 @@ class TrieEncoder:
             for c in w[:-1]:
                 node = node.setdefault(c, {})
             node[w[-1], self.end] = w
-        out, path, states, stack = {}, [], [None], [iter(trie.items())]
+        out, prefix, states, stack = {}, "", [None], [iter(trie.items())]
         while stack:
             step = next(stack[-1], None)
             if step is None:
                 stack.pop()
-                if path:
-                    path.pop()
-                    states.pop()
+                prefix = prefix[:-1]
+                states.pop()
                 continue
             symbol, below = step
-            path.append("".join(symbol))
-            depth = len(path)
-            for k in range(min(depth, self.most), 0, -1):
-                token, before = "".join(path[depth - k :]), states[depth - k]
-                if token in self.ids and self.may_follow(before and before[0], token):
-                    states.append((token, before))
-                    break
-            else:
-                raise ValueError(f"no token ends {path!r}")
-            if isinstance(below, str):
-                state, ids = states.pop(), []
-                path.pop()
+            if isinstance(below, str):  # a complete word
+                state, ids = self.last_token(below, self.end, states), []
                 while state:
                     ids.append(self.ids[state[0]])
                     state = state[1]
                 out[below] = ids[::-1]
             else:
+                prefix += symbol
+                states.append(self.last_token(prefix, "", states))
                 stack.append(iter(below.items()))
         return out
 
-    def words(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            chunk = chunk.lower()
-        else:
-            chunk = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        return ["".join(self.bytes[b] for b in w.encode("utf-8", "surrogatepass")) for w in WORD.findall(chunk)]
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens: composed, lower-cased by code point (a final sigma is as any)."""
+        if text.isascii():
+            return ASCII_WORD.findall(text.lower())
+        return WORD.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as files without a decoder say; special tokens stay."""
-        return " ".join(self.text_of[i] for i in ids)
-
-    def learn(self, chunks: set[str]) -> dict[str, tuple[str, int, str]]:
-        """Ids as text, their number and the decoding of each chunk that is not remembered."""
-        cut = {c: self.words(c) for c in chunks}
-        ids = self.encode_words({w for ws in cut.values() for w in ws})
-        out = {}
-        for c, ws in cut.items():
-            all_ids = [i for w in ws for i in ids[w]]
-            out[c] = (" ".join(map(str, all_ids)), len(all_ids), self.decode(all_ids))
-        return out
+        return " ".join([self.text_of[i] for i in ids])
+
+    def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
+        """Ids as text, their number and the decoding of each word."""
+        symbols = {w: "".join([self.bytes[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words}
+        ids = self.encode_words(set(symbols.values()))
+        return {w: (" ".join(map(str, i)), len(i), self.decode(i)) for w, s in symbols.items() for i in (ids[s],)}
 
     def split(self, text: str) -> list[str]:
-        """Chunks between white space; each special token is a chunk of its own."""
+        """Words, and special tokens (upper case or not, they are no words) as they stand."""
         if self.specials and self.specials.search(text):
             out = []
             for i, part in enumerate(self.specials.split(text)):
-                out += [part] if i % 2 else self.split(part) if part else []
+                out += [(part,)] if i % 2 else self.words(part)
             return out
-        return [c for c in SPACES.split(text) if c] if SEPARATORS.search(text) else text.split()
+        return self.words(text)
 
     def encode_batch(self, texts: list[str]):
         """For each text: ids as text, their number, the decoded text."""
         cut = [self.split(t) for t in texts]
-        known = self.chunks
-        new = {c for cs in cut for c in cs if c not in known}
-        for s, i in self.special.items():
-            if s in new:
-                new.remove(s)
-                known[s] = (str(i), 1, s)
-        learnt = self.learn(new)
-        if len(known) + len(learnt) > CACHE:
-            known.clear()
-            learnt = self.learn({c for cs in cut for c in cs} - set(self.special))
-            learnt |= {s: (str(i), 1, s) for s, i in self.special.items()}
-        known.update((c, x) for c, x in learnt.items() if len(c) <= LONG_CHUNK)
-        for cs in cut:
-            got = [known.get(c) or learnt[c] for c in cs]
+        here = {}
+        new = set()
+        for w in set().union(*cut):
+            if isinstance(w, tuple):
+                here[w] = (str(self.special[w[0]]), 1, w[0])
+            elif got := self.known.get(w) or self.older.get(w):
+                here[w] = got
+            else:
+                new.add(w)
+        here |= self.learn(new)
+        if len(self.known) > CACHE:  # the words of the last batches stay
+            self.older, self.known = self.known, {}
+        self.known.update((w, x) for w, x in here.items() if len(w) <= LONG_WORD and not isinstance(w, tuple))
+        for words in cut:
+            got = [here[w] for w in words]
             yield " ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])
 
 
