@@ -13,6 +13,7 @@ Defined cases: null text is an empty text, with no ids and an empty decoding; ot
 are encoded alike; an empty table gives an empty table.
 """
 
+import gc
 import json
 import re
 import unicodedata
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONG_WORD, BATCH_BYTES = 250_000, 64, 8 << 20
+CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 250_000, 64, 8 << 20, 500_000
 #: Fixed values of the tokenizer file's rules; white space is Unicode's, without the separators 0x1C to 0x1F.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -56,7 +57,8 @@ class TrieEncoder:
         self.text_of = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
-        self.most = max(len(t.removesuffix(self.end)) for t in self.ids)
+        self.begun = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
+        self.follows: dict[tuple[str | None, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.joined = self.rank
         self.halves = {a + b: (a, b) for a, b in reversed(self.rank)}
@@ -100,14 +102,22 @@ class TrieEncoder:
             else:
                 bar, b = y + 1, halves[b][0]
 
-    def last_token(self, prefix: str, end: str, states: list) -> tuple:
-        """The state of a prefix (with end, of a word) from the states of all shorter ones."""
-        ids, depth = self.ids, len(prefix)
-        for k in range(max(0, depth - self.most), depth):
+    def last_token(self, prefix: str, end: str, states: list, starts: list[int]) -> tuple:
+        """The state of a prefix (with end, of a word) from the states of all shorter ones.
+
+        starts: the places, ascending, from where the prefix before the last symbol still began a token."""
+        ids, follows = self.ids, self.follows
+        for k in starts:
             token = prefix[k:] + end
             if token in ids:
                 before = states[k]
-                if self.may_follow(before and before[0], token):
+                pair = (before and before[0], token)
+                ok = follows.get(pair)
+                if ok is None:
+                    if len(follows) > PAIRS:
+                        follows.clear()
+                    ok = follows[pair] = self.may_follow(*pair)
+                if ok:
                     return (token, before)
         raise ValueError(f"no token ends {prefix!r}")
 
@@ -119,24 +129,28 @@ class TrieEncoder:
             for c in w[:-1]:
                 node = node.setdefault(c, {})
             node[w[-1], self.end] = w
-        out, prefix, states, stack = {}, "", [None], [iter(trie.items())]
+        out, prefix, states, stack, begun = {}, "", [None], [iter(trie.items())], self.begun
+        starts: list[list[int]] = [[0]]
         while stack:
             step = next(stack[-1], None)
             if step is None:
                 stack.pop()
                 prefix = prefix[:-1]
                 states.pop()
+                starts.pop()
                 continue
             symbol, below = step
             if isinstance(below, str):  # a complete word
-                state, ids = self.last_token(below, self.end, states), []
+                state, ids = self.last_token(below, self.end, states, starts[-1]), []
                 while state:
                     ids.append(self.ids[state[0]])
                     state = state[1]
                 out[below] = ids[::-1]
             else:
                 prefix += symbol
-                states.append(self.last_token(prefix, "", states))
+                live = [k for k in starts[-1] if prefix[k:] in begun]
+                states.append(self.last_token(prefix, "", states, live))
+                starts.append([*live, len(prefix)])
                 stack.append(iter(below.items()))
         return out
 
@@ -153,7 +167,11 @@ class TrieEncoder:
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
         """Ids as text, their number and the decoding of each word."""
         symbols = {w: "".join([self.bytes[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words}
-        ids = self.encode_words(set(symbols.values()))
+        gc.disable()  # tries and states are many and hold no cycles
+        try:
+            ids = self.encode_words(set(symbols.values()))
+        finally:
+            gc.enable()
         return {w: (" ".join(map(str, i)), len(i), self.decode(i)) for w, s in symbols.items() for i in (ids[s],)}
 
     def split(self, text: str) -> list[str]:
