@@ -173,10 +173,11 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     labels = linked(members, payload, within)
     found = saved(docs.mapInArrow(_occurrences(min_chars), "h long, doc_id long, line long"), "occurrences")
     found = found.join(bounded(labels.withColumnRenamed("id", "h")), "h", "left").select(F.coalesce("label", "h").alias("g"), "doc_id", "line")
-    first = found.groupBy("g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = saved(first.select("g", F.col("first.doc_id").alias("doc0"), F.col("first.line").alias("line0")), "first")
-    away = found.join(bounded(first), "g").where("doc_id <> doc0 or line <> line0")
-    return away.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    first = found.groupBy("g").agg(F.min("doc_id").alias("doc0"), F.count("*").alias("n")).where("n > 1").select("g", "doc0")
+    again = found.join(bounded(saved(first, "first")), "g").groupBy("doc_id", "g", "doc0").agg(F.collect_set("line").alias("at"))
+    # the first document of a class keeps its first line
+    away = again.select("doc_id", F.explode(F.when(F.col("doc_id") == F.col("doc0"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))).alias("line"))
+    return away.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
 @F.arrow_udf(StringType())
