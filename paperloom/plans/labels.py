@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.vectors import doubles
-from paperloom.operators import labels
+from paperloom.operators import groups, labels
 from paperloom.plans.interest import cos
 from paperloom.plans.registry import query, table
 
@@ -75,3 +75,10 @@ def m08(spark, d):
     s = F.col("s_suppkey")
     unwanted = table(spark, d, "supplier").select((s % 10).alias("profile"), F.concat(F.lit("Wet  lab-"), s % 20).alias("label"))
     return labels.wanted_terms(terms, unwanted)
+
+
+@query("v12_suggested_groups")
+def v12(spark, d):
+    """No SQL: clustering is iterative. The bars are for the random test vectors."""
+    v = table(spark, d, "embeddings").select(F.col("label").alias("researcher"), F.col("vec_id").alias("paper_id"), (F.col("vec_id") % 25).alias("year"), doubles(F.col("embedding")).alias("v"))
+    return groups.suggestions(v, 0.3, 0.15)
