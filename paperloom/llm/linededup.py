@@ -2,13 +2,14 @@
 
 Unit: \\n-split lines of at least MIN_CHARS code points, as they are. Two lines are the same if their edit distance
 (insertions, deletions, substitutions of code points) is at most EDITS, or if such steps connect them; of each class
-the occurrence with the least (doc_id, line number) stays and the others leave their texts.
+the occurrence with the least (doc_id, line number) stays and the others leave their texts. Shorter lines that are not
+blank (ASCII white space) are classes by equality: two edits are too much of a short line.
 
 A line is cut into EDITS + 1 even segments. EDITS edits leave one segment whole, so a line within that distance holds
 it at one of few starts, which follow from both lengths; each line is filed under its own segments and under the
 substrings at those starts. Lines that share a key are compared by a banded bit-parallel edit distance.
 
-Defined cases: null text and null doc_id pass unchanged and take no part; short lines are left alone; rows that share
+Defined cases: null text and null doc_id pass unchanged and take no part; blank short lines are left alone; rows that share
 a doc_id lose the same line numbers; a text whose every line leaves becomes empty; an empty table gives an empty
 table; all columns stay, and none of their names clashes with those used here.
 """
@@ -99,13 +100,18 @@ def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return out
 
 
-def _long_lines(batch, min_chars: int):
-    """For each piece: buf, its code points' places, and of the long enough lines starts, ends, document, number, hash."""
+def _long_lines(batch, min_chars: int, short: bool = False):
+    """For each piece: buf, its code points' places, and of the long enough lines starts, ends, document, number, hash.
+
+    With `short`, also of shorter lines that are not blank."""
     for at, _, buf, offs in tb.pieces(batch.column("text")):
         start, end, first = tb.lines(buf, offs)
         point = np.flatnonzero((buf & 0xC0) != 0x80)
         a, b = np.searchsorted(point, start), np.searchsorted(point, end)
         keep = b - a >= min_chars
+        if short:
+            seen = np.concatenate(([0], np.cumsum(~tb.SPACE[buf])))
+            keep |= seen[end] > seen[start]
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         number = np.arange(len(start)) - first[doc]
         hasher = tb.Hasher(buf)
@@ -113,10 +119,10 @@ def _long_lines(batch, min_chars: int):
         yield buf, np.append(point, len(buf)), hasher, start, end, a, b - a, doc + at, number, hasher(start, end).view(np.int64)
 
 
-def _occurrences(min_chars: int):
+def _occurrences(min_chars: int, short: bool):
     def run(batches):
         for batch in batches:
-            for *_, doc, number, h in _long_lines(batch, min_chars):
+            for *_, doc, number, h in _long_lines(batch, min_chars, short):
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int64())], ["h", "doc_id", "line"])
 
     return run
@@ -163,15 +169,17 @@ def _filings(min_chars: int, edits: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, gone: the numbers of the lines that leave each document, for those that lose any."""
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, gone: the numbers of the lines that leave each document, for those that lose any.
+
+    With `short`, equal lines under min_chars that are not blank are classes too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     members = repeated_keys(docs.mapInArrow(_filings(max(min_chars, edits + 1), edits), "key long, id long"))
     ids = saved(members.select("id").distinct(), "ids")
     lines = docs.mapInArrow(_texts(min_chars), "id long, data string")
     payload = saved(lines.join(bounded(ids), "id").dropDuplicates(["id"]), "lines")
     labels = linked(members, payload, within)
-    found = saved(docs.mapInArrow(_occurrences(min_chars), "h long, doc_id long, line long"), "occurrences")
+    found = saved(docs.mapInArrow(_occurrences(min_chars, short), "h long, doc_id long, line long"), "occurrences")
     found = found.join(bounded(labels.withColumnRenamed("id", "h")), "h", "left").select(F.coalesce("label", "h").alias("g"), "doc_id", "line")
     first = found.groupBy("g").agg(F.min("doc_id").alias("doc0"), F.count("*").alias("n")).where("n > 1").select("g", "doc0")
     again = found.join(bounded(saved(first, "first")), "g").groupBy("doc_id", "g", "doc0").agg(F.collect_set("line").alias("at"))
@@ -193,6 +201,6 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the repeated lines taken out of text; every row and column stays. Adds _lines_gone, their number."""
-    gone = repeated_lines(docs, edits, min_chars).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("gone", "_line_gone")
+    gone = repeated_lines(docs, edits, min_chars, short=True).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("gone", "_line_gone")
     out = docs.join(gone, docs["doc_id"] == gone["_line_doc"], "left")
     return out.withColumn("text", _without("text", "_line_gone")).withColumn("_lines_gone", F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long")).select(*docs.columns, "_lines_gone")

@@ -123,6 +123,15 @@ def test_repeated_lines(spark, odd, none):
     assert linededup.without_repeated_lines(none).count() == 0
 
 
+def test_repeated_short_lines(spark):
+    keep = "a line that no other document has"
+    rows = [(1, f"All rights reserved.\n\n{keep} 1x\nAll rights reserved."), (2, "All rights reserved.\n\n \nAll right reserved."), (3, "é\n\n \né"), (4, None)]
+    out = linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["text"], r["_lines_gone"]) for r in out.collect()}
+    # blank lines stay, and so does a short line that is only near another one
+    assert got == {1: (f"All rights reserved.\n\n{keep} 1x", 1), 2: ("\n \nAll right reserved.", 1), 3: ("é\n\n ", 1), 4: (None, 0)}
+
+
 def test_quality(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (0, None, 0), (12, 0, 0), (None, 1, 1), (999, 0, 0)], "doc_id long, quality int, toxic int")
     for x in quality.judged(odd, labels).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
