@@ -128,10 +128,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     copied = saved(classes.where("rep <> last").drop("last"), "classes")
-    # one document of each class goes on, by its own row
-    member = full.select("doc_id", "n_shingles", "f1", "f2").join(bounded(copied), ["f1", "f2", "n_shingles"]).select("doc_id", "rep")
-    member = saved(member.distinct(), "copies")
-    reps = full.join(bounded(member.where("doc_id <> rep").select("doc_id").distinct()), "doc_id", "left_anti")
+    # one document of each class goes on, by its own row; other texts of the copies' documents go on as well
+    row = ["doc_id", "f1", "f2", "n_shingles"]
+    rows = saved(full.select(*row).join(bounded(copied), row[1:]).select(*row, "rep").distinct(), "copies")
+    member = rows.select("doc_id", "rep").distinct()
+    reps = full.join(bounded(rows.where("doc_id <> rep").select(*row)), row, "left_anti")
     members = repeated_keys(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")))
     ids = saved(members.select("id").distinct(), "ids")
     signed = saved(reps.select(F.col("doc_id").alias("id"), F.col("signature").alias("data")).join(bounded(ids), "id"), "signatures")
@@ -140,13 +141,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = linked(members, signed, _agree, texts, _similar)
     # a document with several texts ties their classes together, so classes and links meet in one more graph only then
     several = member.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).where("k > 1").limit(1).count()
-    if several:
+    copies = member.where("doc_id <> rep")
+    if several or copies.join(bounded(labels.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").limit(1).count():
         from paperloom.llm.links import star_components
 
         labels = saved(star_components(member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))), "labels")
         of = labels.withColumnRenamed("id", "doc_id")
     else:
-        copies = member.where("doc_id <> rep").join(bounded(labels.withColumnRenamed("id", "rep")), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("label"))
+        copies = copies.join(bounded(labels.withColumnRenamed("id", "rep")), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("label"))
         of = labels.withColumnRenamed("id", "doc_id").unionByName(copies)
     of = saved(of, "components")
     out = sketches.select("doc_id", "n_shingles").join(bounded(of), "doc_id", "left")

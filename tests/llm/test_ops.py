@@ -60,6 +60,19 @@ def test_minhash(odd, none):
     assert minhash.one_of_each(odd).columns == odd.columns
 
 
+def test_minhash_of_documents_with_two_texts(spark):
+    a, b, c = (prose(120, i) for i in (21, 22, 23))
+    near = lambda t: " ".join(["changed", *t.split(" ")[1:]])
+    # 7 copies 1 and has another text, which 9 resembles; 20 copies 11 and its other text is itself copied, and resembled
+    rows = [(1, a), (7, a), (7, b), (9, near(b)), (11, prose(120, 24)), (20, prose(120, 24)), (20, c), (21, c), (22, near(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()]
+    assert sorted(got) == [(1, 1, True), (7, 1, False), (7, 1, False), (9, 1, False), (11, 11, True), (20, 11, False), (20, 11, False), (21, 11, False), (22, 11, False)]
+    # the first kind alone, without a copied class of its own
+    got = [(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs.where("doc_id < 10")).collect()]
+    assert sorted(got) == [(1, 1), (7, 1), (7, 1), (9, 1)]
+
+
 def test_star_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (5, None)]
     got = {r["id"]: r["label"] for r in links.star_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
