@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Each rule rejects a document whose measure exceeds a cutoff. For each stratum (language) and rule, the labelled
-documents of quality 1 are the holdout: the cutoffs are tested from the loosest to the strictest, and the exact
-binomial test P(Bin(n, RISK / rules) <= rejected) <= LEVEL / (rules * strata) must pass at a cutoff and all before it
-(fixed-sequence testing inside a rule and stratum, Bonferroni over them). So with probability 1 - LEVEL no stratum
-loses more than RISK of its good documents. Of the passing cutoffs the one with most rejected documents of quality 0
-less good ones lost is taken, the looser one on ties; with none, the rule rejects nothing there.
+Each rule rejects a document whose measure exceeds a cutoff. For each stratum (language), labelled documents of a third
+of the doc_ids (by hash) lay a path of joint verdicts: from no cutoff on, the step that loses least good documents
+(quality 1) for each bad one (quality 0) it catches, as long as the joint loss is within RISK there. On the other two
+thirds the joint verdicts are tested in that order, and the exact binomial test P(Bin(n, RISK) <= good ones rejected by
+any rule) <= LEVEL / strata must pass at a verdict and all before it (fixed-sequence testing, Bonferroni over strata).
+As the path does not depend on the documents it is tested on, with probability 1 - LEVEL no stratum loses more than RISK
+of its good documents. Of the passing verdicts the one with most bad documents rejected less good ones lost is taken,
+the earlier one on ties; with none, no rule rejects anything there. A stratum whose tested part has under
+log(LEVEL / strata) / log(1 - RISK) good documents (86 with four strata) cannot pass.
 
 Defined cases: null text has no words and fails the base rule; a null language is a stratum of its own; a document with
 several labels is good only if all say so; labels with nulls or of unknown documents are left out; repeated rows of
@@ -17,9 +20,8 @@ from math import exp, lgamma, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from paperloom.llm import textbytes as tb
 from paperloom.llm.store import bounded, saved
@@ -83,39 +85,57 @@ def tail(n: int, k: int, p: float) -> float:
     return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(int(k) + 1)))
 
 
-@F.pandas_udf(BooleanType())
-def _safe(n: pd.Series, k: pd.Series, risk: pd.Series, level: pd.Series) -> pd.Series:
-    # over the mean the tail is above any useful level
-    return pd.Series([bool(a > 0 and b < a * r and tail(int(a), int(b), r) <= v) for a, b, r, v in zip(n, k, risk, level, strict=True)], dtype=bool)
+def _path(at: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float) -> list[list[int]]:
+    """Joint verdicts from the loosest on: for each rule the index of its cutoff, or -1. at: first cutoffs exceeded."""
+    now, gone, path = [-1] * len(RULES), np.zeros(len(at), bool), []
+    while True:
+        steps = []
+        for r, (_, cuts) in enumerate(RULES.values()):
+            for k in range(now[r] + 1, len(cuts)):
+                more = ~gone & (at[:, r] <= k)
+                caught, lost = bad[more].sum(), good[more].sum()
+                if caught > lost and good[gone].sum() + lost <= risk * good.sum():
+                    steps.append((lost / caught, -caught, k, r))
+        if not steps:
+            return path
+        *_, k, r = min(steps)
+        now = [k if i == r else x for i, x in enumerate(now)]
+        gone |= at[:, r] <= k
+        path.append(now)
+
+
+def _chosen(risk: float, level: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        at, good, bad = np.stack(part["at"].to_list()), part["good"].to_numpy(), part["bad"].to_numpy()
+        test, best, most = part["tested"].to_numpy(), [-1] * len(RULES), 0
+        n, level_of = int(good[test].sum()), level / part["strata"].iloc[0]
+        for cut in _path(at[~test], good[~test], bad[~test], risk):
+            gone = (at <= np.array(cut)).any(axis=1)
+            lost = int(good[gone & test].sum())
+            if lost >= n * risk or tail(n, lost, risk) > level_of:  # over the mean the tail is above any useful level
+                break
+            gain = bad[gone].sum() - good[gone].sum()
+            if gain > most:
+                best, most = cut, gain
+        stratum = part["stratum"].iloc[0]
+        rows = [(None if pd.isna(stratum) else stratum, name, cuts[k]) for (name, (_, cuts)), k in zip(RULES.items(), best, strict=True) if k >= 0]
+        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff"])
+
+    return run
 
 
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """stratum, rule, cutoff for each stratum and rule with a safe cutoff; from counted documents and (doc_id, quality)."""
     labels = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = counts.dropDuplicates(["doc_id"]).join(labels, "doc_id")
-    steps = F.array(
-        *[
-            F.struct(F.lit(name).alias("rule"), (F.size(F.filter(F.array(*map(F.lit, cuts)), (lambda e: lambda c: c < e)(F.expr(measure)))) - 1).alias("hit"), F.lit(len(cuts)).alias("cuts"))
-            for name, (measure, cuts) in RULES.items()
-        ]
-    )
-    # with the cutoffs falling, the last k of them lie under a measure; hit is turned to the index of the first of them
-    hits = known.select("stratum", "quality", F.explode(steps).alias("s")).select("stratum", "quality", "s.rule", (F.col("s.cuts") - 1 - F.col("s.hit")).alias("at"))
-    seen = hits.groupBy("stratum", "rule", "at").agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad"))
-    grid = counts.sparkSession.createDataFrame([(r, i, c) for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts)], "rule string, at int, cutoff double")
-    strata = known.select("stratum").distinct()
-    full = strata.crossJoin(F.broadcast(grid))  # at most 54 rows for each stratum
-    total = seen.groupBy("stratum", "rule").agg(F.sum("good").alias("n"))
-    full = full.join(seen.withColumnRenamed("stratum", "s2").withColumnRenamed("rule", "r2").withColumnRenamed("at", "a2"), F.expr("stratum <=> s2 and rule = r2 and at = a2"), "left")
-    full = full.join(total.withColumnRenamed("stratum", "s3").withColumnRenamed("rule", "r3"), F.expr("stratum <=> s3 and rule = r3"), "left")
-    by = Window.partitionBy("stratum", "rule").orderBy("at")
-    full = full.select("stratum", "rule", "at", "cutoff", F.coalesce("n", F.lit(0)).alias("n"), F.sum(F.coalesce("good", F.lit(0))).over(by).alias("lost"), F.sum(F.coalesce("bad", F.lit(0))).over(by).alias("caught"))
-    many = strata.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
-    full = full.crossJoin(F.broadcast(many))  # one row
-    full = full.withColumn("safe", _safe("n", "lost", F.lit(risk / len(RULES)), F.lit(level) / len(RULES) / F.col("strata")))
-    full = full.withColumn("run", F.min(F.col("safe").cast("int")).over(by)).where("run = 1 and caught > lost")
-    best = full.groupBy("stratum", "rule").agg(F.max(F.struct(F.expr("caught - lost").alias("gain"), (-F.col("at")).alias("loose"), "cutoff")).alias("b"))
-    return best.select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
+    # with the cutoffs falling, the last of them lie under a measure; the index of the first of these
+    first = [(F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)), (lambda e: lambda c: c < e)(F.expr(measure))))).alias(name) for name, (measure, cuts) in RULES.items()]
+    known = known.select("stratum", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("tested"), F.array(*first).alias("at"), "quality")
+    # as many rows as there are combinations of cutoffs, however many documents
+    seen = known.groupBy("stratum", "tested", "at").agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad"))
+    seen = saved(seen, "labelled")
+    many = seen.agg(F.greatest(F.countDistinct(F.struct("stratum")), F.lit(1)).alias("strata"))
+    return seen.crossJoin(F.broadcast(many)).groupBy("stratum").applyInPandas(_chosen(risk, level), "stratum string, rule string, cutoff double")
 
 
 def verdict(found: dict[str, Column]) -> Column:

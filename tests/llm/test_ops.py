@@ -170,6 +170,17 @@ def test_cutoffs_hold_their_risk(spark):
     assert quality.tail(10, 3, 0.5) == pytest.approx(176 / 1024)
 
 
+def test_small_strata_get_cutoffs(spark):
+    # 320 good documents a language (and of none), all under 0.1 symbols a word; the bad ones have 0.3
+    rows = [(i, ["en", "de", "es", None][i % 4], 100, 500, i % 7 if i < 1280 else 30, 0, 0, 5) for i in range(1480)]
+    counts = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = spark.createDataFrame([(i, int(i < 1280)) for i in range(1480)], "doc_id long, quality int")
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(counts, labels).collect()}
+    assert got == {(s, "symbols"): 0.25 for s in ("en", "de", "es", None)}
+    # too few good documents for any bound
+    assert quality.cutoffs(counts.where("doc_id < 200 or doc_id >= 1280"), labels).count() == 0
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, prose(i % 50, i), ["a", "b", "c", "d", None][i % 7 % 5]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
