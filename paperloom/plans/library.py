@@ -89,6 +89,14 @@ def w07(spark, d):
     return p.join(f, "g").select("paper_id", F.row_number().over(Window.orderBy("f", "paper_id")).cast("long").alias("position"))
 
 
+@query("w07_all_copies_under_original", P + ", g AS (SELECT paper_id, coalesce(dk, CAST(paper_id AS VARCHAR)) AS g FROM k) SELECT paper_id, min(paper_id) OVER (PARTITION BY g) AS f, row_number() OVER (PARTITION BY g ORDER BY paper_id) AS position FROM g")
+def w07_all(spark, d):
+    """Every paper with the least paper of its work and its place in the work; the list's order is (f, position)."""
+    p = papers(spark, d).select("paper_id", F.coalesce(T.doi_key(F.col("doi")), F.col("paper_id").cast("string")).alias("g"))
+    w = Window.partitionBy("g")
+    return p.select("paper_id", F.min("paper_id").over(w).alias("f"), F.row_number().over(w.orderBy("paper_id")).cast("long").alias("position"))
+
+
 @query("j10_entity_keys", P + """, e AS (SELECT paper_id, 'doi:' || dk AS key FROM k WHERE dk IS NOT NULL UNION ALL SELECT paper_id, 'title:' || norm FROM k WHERE length(norm) >= 30)
 SELECT paper_id, min(o) AS owner FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY key) AS o FROM e) GROUP BY paper_id""")
 def j10(spark, d):

@@ -97,6 +97,12 @@ def test_flat_pool_and_missing_logits(spark):
     assert {out["b", i]["pct"] for i in (1, 2, 3)} == {0.0, 0.5, 1.0}
 
 
+def test_all_copies_under_original(spark):
+    out = catalog.queries()["w07_all_copies_under_original"](spark, D).collect()
+    assert {r["paper_id"] for r in out} == {r["doc_id"] for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    assert max(r["f"] for r in out) >= 50
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(i, f"2024-01-01 {i % 24:02d}:00:00", i % 3, i % 5, ["saved", "dismissed", "unsaved", "shown", "odd"][i * 7 % 5]) for i in range(120)]
     ev = spark.createDataFrame(rows, "event_id long, t string, profile int, paper_id int, action string").select("event_id", F.to_timestamp("t").alias("ts"), "profile", "paper_id", "action")
