@@ -61,6 +61,13 @@ def f33(spark, d):
     return papers(spark, d).select("paper_id", F.substring(T.redact(c), 1, 24).alias("head"))
 
 
+@query("f33_redaction_whole", P + ", c AS (SELECT paper_id, 'see https://x.org/a?key=' || CAST(paper_id AS VARCHAR) || ' or mail a' || CAST(paper_id AS VARCHAR) || '@b.org ' || coalesce(text, '') AS c FROM p) SELECT paper_id, substr(regexp_replace(regexp_replace(c, '(https?://[^\\s?]+)\\?\\S+', '\\1?...', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g'), 1, 500) AS redacted FROM c")
+def f33_whole(spark, d):
+    """The whole made-up string and the document's text, up to the 500 characters of the feature itself."""
+    c = F.concat(F.lit("see https://x.org/a?key="), F.col("paper_id").cast("string"), F.lit(" or mail a"), F.col("paper_id").cast("string"), F.lit("@b.org "), F.coalesce("text", F.lit("")))
+    return papers(spark, d).select("paper_id", T.redact(c).alias("redacted"))
+
+
 @query("w09_title_dedupe", P + """, o AS (SELECT *, CASE WHEN length(norm) >= 30 THEN norm ELSE '' END AS tk FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN tk = '' THEN CAST(paper_id AS VARCHAR) ELSE tk END ORDER BY cited DESC, paper_id) AS k1 FROM o)
 SELECT paper_id, cited FROM r WHERE k1 = 1""")

@@ -103,6 +103,12 @@ def test_all_copies_under_original(spark):
     assert max(r["f"] for r in out) >= 50
 
 
+def test_whole_redaction(spark):
+    out = [r["redacted"] for r in catalog.queries()["f33_redaction_whole"](spark, D).collect()]
+    assert all(x.startswith("see https://x.org/a?... or mail <email> ") for x in out)
+    assert len(set(out)) > 1 and max(map(len, out)) == 500
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(i, f"2024-01-01 {i % 24:02d}:00:00", i % 3, i % 5, ["saved", "dismissed", "unsaved", "shown", "odd"][i * 7 % 5]) for i in range(120)]
     ev = spark.createDataFrame(rows, "event_id long, t string, profile int, paper_id int, action string").select("event_id", F.to_timestamp("t").alias("ts"), "profile", "paper_id", "action")
