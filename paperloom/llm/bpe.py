@@ -8,6 +8,9 @@ complete words.
 
 The tokenizer file (path parameter) gives vocabulary, merges, end mark and special tokens. Text is split at its special
 tokens, composed (NFC), lower-cased by code point, and cut into words. A worker remembers the encodings of the last CACHE to 2 * CACHE words.
+The file's rules go by the Unicode tables of the tokenizers library, which are older or newer than those of the modules
+here for some code points; these are stated below and take their own way. A word's cost is linear in its length: of a
+prefix only its last symbols, as many as the longest token has, are ever looked at.
 
 Defined cases: null text is an empty text, with no ids and an empty decoding; other columns are not read; repeated rows
 are encoded alike; an empty table gives an empty table.
@@ -29,6 +32,31 @@ CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 2 << 20, 500_000
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+#: Letters and numbers of the regex module that are neither to the tokenizer.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Marks that composition here orders or joins, but to the tokenizer stand still like letters.
+STILL = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070"
+    "\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47"
+    "\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f"
+    "\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+#: Lower case that str.lower does not know yet.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+ODD = regex.compile(f"[{LATER}{STILL}{''.join(map(chr, LOWER))}]")
+STILL_ONE = regex.compile(f"([{STILL}])")
+ODD_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{LATER}]]+|[\p{{N}}--[{LATER}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER}]]+", regex.V1)
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +86,7 @@ class TrieEncoder:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
         self.begun = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
+        self.longest = max(map(len, self.ids), default=1)
         self.follows: dict[tuple[str | None, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.joined = self.rank
@@ -102,13 +131,14 @@ class TrieEncoder:
             else:
                 bar, b = y + 1, halves[b][0]
 
-    def last_token(self, prefix: str, end: str, states: list, starts: list[int]) -> tuple:
+    def last_token(self, tail: str, end: str, states: list, starts: list[int]) -> tuple:
         """The state of a prefix (with end, of a word) from the states of all shorter ones.
 
-        starts: the places, ascending, from where the prefix before the last symbol still began a token."""
-        ids, follows = self.ids, self.follows
+        tail: the last symbols of the prefix; starts: the places in the word, ascending, from where the prefix before
+        the last symbol still began a token."""
+        ids, follows, out = self.ids, self.follows, len(states) - len(tail)  # so many symbols lie before the tail
         for k in starts:
-            token = prefix[k:] + end
+            token = tail[k - out :] + end
             if token in ids:
                 before = states[k]
                 pair = (before and before[0], token)
@@ -119,7 +149,7 @@ class TrieEncoder:
                     ok = follows[pair] = self.may_follow(*pair)
                 if ok:
                     return (token, before)
-        raise ValueError(f"no token ends {prefix!r}")
+        raise ValueError(f"no token ends {tail!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Words of byte symbols, without end mark -> ids."""
@@ -129,28 +159,30 @@ class TrieEncoder:
             for c in w[:-1]:
                 node = node.setdefault(c, {})
             node[w[-1], self.end] = w
-        out, prefix, states, stack, begun = {}, "", [None], [iter(trie.items())], self.begun
+        out, tails, states, stack, begun, longest = {}, [""], [None], [iter(trie.items())], self.begun, self.longest
         starts: list[list[int]] = [[0]]
         while stack:
             step = next(stack[-1], None)
             if step is None:
                 stack.pop()
-                prefix = prefix[:-1]
+                tails.pop()
                 states.pop()
                 starts.pop()
                 continue
             symbol, below = step
             if isinstance(below, str):  # a complete word
-                state, ids = self.last_token(below, self.end, states, starts[-1]), []
+                state, ids = self.last_token((tails[-1] + below[-1])[-longest:], self.end, states, starts[-1]), []
                 while state:
                     ids.append(self.ids[state[0]])
                     state = state[1]
                 out[below] = ids[::-1]
             else:
-                prefix += symbol
-                live = [k for k in starts[-1] if prefix[k:] in begun]
-                states.append(self.last_token(prefix, "", states, live))
-                starts.append([*live, len(prefix)])
+                tail = (tails[-1] + symbol)[-longest:]
+                at = len(states) - len(tail)
+                live = [k for k in starts[-1] if tail[k - at :] in begun]
+                states.append(self.last_token(tail, "", states, live))
+                starts.append([*live, len(states) - 1])
+                tails.append(tail)
                 stack.append(iter(below.items()))
         return out
 
@@ -158,6 +190,9 @@ class TrieEncoder:
         """The words of a text without special tokens: composed, lower-cased by code point (a final sigma is as any)."""
         if text.isascii():
             return ASCII_WORD.findall(text.lower())
+        if ODD.search(text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in STILL_ONE.split(text)]).replace("\u03a3", "\u03c3")
+            return ODD_WORD.findall(text.translate(LOWER).lower())
         return WORD.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
     def decode(self, ids: list[int]) -> str:
