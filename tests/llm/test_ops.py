@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -225,6 +226,30 @@ def test_bpe(spark, odd, none):
     assert bpe.encoded(none, path).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, encoder, r = Tokenizer.from_file(path), bpe.TrieEncoder(path), random.Random(8)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [*map(chr, bpe.LOWER), *(c for c in bpe.STILL + bpe.LATER if c != "-"), *"ab e\u0323\u0301\u0345\u03a31!'s\U00011935"]
+    texts = ["".join(f"a{c}b!{c}! " for c in points[k : k + 8]) for k in range(0, len(points), 8)] + ["".join(r.choice(odd) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        assert [x[0] for x in encoder.encode_batch(part)] == [" ".join(map(str, e.ids)) for e in lib.encode_batch(part, add_special_tokens=False)]
+
+
+def test_bpe_of_long_words():
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    lib, encoder = Tokenizer.from_file(path), bpe.TrieEncoder(path)
+    for w in ("".join(r.choice("日本語漢字") for _ in range(200_000)), "a" * 200_000):
+        t = time.time()
+        ids = next(encoder.encode_batch([w]))[0]
+        assert time.time() - t < 8 and ids == " ".join(map(str, lib.encode(w, add_special_tokens=False).ids))
+
+
 def test_personal_data(odd, none):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     r = random.Random(5)
@@ -308,12 +333,32 @@ def test_archive(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def exact_neighbours(rows, k=20, every=20):
+    """The contract, literally: (query_id, rank, vec_id, score) over rows (vec_id, vector)."""
+    width, out = max((len(v) for _, v in rows), default=0), []
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v + [0.0] * (width - len(v)) for _, v in rows])
+    for q in range(len(rows)):
+        if ids[q] % every:
+            continue
+        with np.errstate(all="ignore"):
+            s = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -np.where(np.isnan(s), -np.inf, s))) if i != q][:k]
+        out += [(int(ids[q]), n + 1, int(ids[i]), str(s[i] + 0.0)) for n, i in enumerate(order)]
+    return sorted(out)
+
+
+def found_neighbours(spark, rows):
+    out = nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    return sorted((r["query_id"], r["rank"], r["vec_id"], str(r["score"] + 0.0)) for r in out)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(1200, 16)) * r.uniform(0.5, 2, (1200, 1))
     x[100:400] = x[100]
-    rows = [(i, [float(v) for v in x[i]], 0) for i in range(1200)] + [(2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] * 16, 1), (2060, [1.0], 1), (2080, [None] * 16, 1), (None, [1.0] * 16, 1)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(1200)] + [(2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] * 16, 1), (2060, [], 1), (2080, [None] * 16, 1), (None, [1.0] * 16, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int")
     got = {}
     for y in nearest.neighbours(table).collect():
         got.setdefault(y["query_id"], {})[y["rank"]] = (y["vec_id"], y["score"])
@@ -328,6 +373,22 @@ def test_neighbours(spark):
     assert nearest.neighbours(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-320, 1e-170, 1e-150, 1e150, 1e155, 1e170, 1e307])
+def test_neighbours_of_extreme_vectors(spark, scale):
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=6) * scale).tolist()) for i in range(60)]
+    got, want = found_neighbours(spark, rows), exact_neighbours(rows)
+    assert got == want and len(got) == 60
+
+
+def test_neighbours_of_mixed_sizes_lengths_and_repeats(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(40)]
+    rows += [(40, [1e-170] * 8), (60, [1e170] * 8), (80, [1.0, -2.0]), (80, [1.0, -2.0]), (80, [3.0]), (100, [0.0, 1e-300]), (41, [2.0] * 9)]
+    assert found_neighbours(spark, rows) == exact_neighbours(rows)
+    assert found_neighbours(spark, [(20, [1.0])]) == [] and len(found_neighbours(spark, [(20, [1.0]), (3, [2.0])])) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
