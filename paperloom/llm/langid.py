@@ -6,6 +6,7 @@ to the next shorter context, and below the empty context to 1 / 256. A text's co
 -log2 of these, and the language of the shortest code wins; score is its posterior under equal priors.
 
 The trees are fitted once, on at most MOST_DOCS labelled documents of each language (those of least hash), and frozen.
+Every language with a label is learned; the trees, held by driver and workers, grow with the number of languages.
 Code lengths are tables by then: a byte with its context either has an entry, or costs the escape of its context plus
 the entry one order below. So a column of text is scored by look-ups over flat bytes.
 
@@ -16,12 +17,13 @@ other columns are not read.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import textbytes as tb
+from paperloom.llm.store import bounded, saved
 
-ORDER, MOST_DOCS, MOST_LANGUAGES = 3, 300, 1000
+ORDER, MOST_DOCS = 3, 300
 PAD = b"\n" * ORDER
 
 
@@ -136,13 +138,10 @@ class Trees:
 def fitted(docs: DataFrame) -> Trees:
     """Trees of labelled docs (doc_id, text, lang), from a bounded sample of each language."""
     known = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     # a share of rows by hash that holds MOST_DOCS of each language almost surely, then exactly MOST_DOCS of them
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 2 * MOST_DOCS / n))) for x, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
-    order = F.xxhash64("doc_id", F.lit("langid"))
-    some = known.withColumn("h", F.pmod(order, F.lit(1 << 30))).where(F.col("h") < share * (1 << 30))
-    from pyspark.sql import Window
-
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), 2 * MOST_DOCS / F.count("*")).alias("share"))
+    order = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
+    some = known.withColumn("h", order).join(bounded(saved(share, "shares")), "lang").where(F.col("h") < F.col("share") * (1 << 30))
     some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= MOST_DOCS).select("lang", "text")
     counts = some.mapInArrow(_counts, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     return Trees([tuple(r) for r in counts.collect()])  # bounded by languages * MOST_DOCS texts

@@ -11,7 +11,7 @@ substrings at those starts. Lines that share a key are compared by a banded bit-
 
 Defined cases: null text and null doc_id pass unchanged and take no part; blank short lines are left alone; rows that share
 a doc_id lose the same line numbers; a text whose every line leaves becomes empty; an empty table gives an empty
-table; all columns stay, and none of their names clashes with those used here.
+table; all columns stay, whatever their names.
 """
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType
 
 from paperloom.llm import textbytes as tb
 from paperloom.llm.links import linked, repeated_keys
-from paperloom.llm.store import bounded, saved
+from paperloom.llm.store import bounded, named, numbered, saved
 
 EDITS, MIN_CHARS = 2, 30
 #: Cells of a padded matrix of code points at once; columns between two looks at which pairs are still near.
@@ -140,7 +140,9 @@ def _texts(min_chars: int):
 
 
 def segments(length: np.ndarray, edits: int):
-    """For lines of such lengths: (length of the partner, number of the segment, start, size, in bounds) of each filing."""
+    """For lines of such lengths: (length of the partner, number of the segment, start, size, in bounds, own) of each filing.
+
+    own: a line's segment of itself; the others are where it may hold a segment of a line that is no longer."""
     for shorter in range(edits + 1):
         partner = length - shorter
         base, extra = partner // (edits + 1), partner % (edits + 1)
@@ -149,7 +151,7 @@ def segments(length: np.ndarray, edits: int):
             place = i * base + np.maximum(0, i - (edits + 1 - extra))
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                 start = place + off
-                yield partner, i, start, size, (start >= 0) & (start + size <= length) & (size > 0)
+                yield partner, i, start, size, (start >= 0) & (start + size <= length) & (size > 0), not shorter and not off
 
 
 def _filings(min_chars: int, edits: int):
@@ -158,13 +160,14 @@ def _filings(min_chars: int, edits: int):
             for _, point, hasher, _, _, a, length, *_, h in _long_lines(batch, min_chars):
                 once = np.unique(h, return_index=True)[1]
                 a, length, h = a[once], length[once], h[once]
-                keys, ids = [], []
-                for partner, i, start, size, ok in segments(length, edits):
+                keys, ids, owned = [], [], []
+                for partner, i, start, size, ok, own in segments(length, edits):
                     s = a[ok] + start[ok]
                     key = tb.mixed(hasher(point[s], point[s + size[ok]]) + (partner[ok] * 64 + i).astype(np.uint64) * np.uint64(0x9E37_79B9_7F4A_7C15))
                     keys.append(key.view(np.int64))
                     ids.append(h[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+                    owned.append(np.full(len(key), own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, owned)], ["key", "id", "own"])
 
     return run
 
@@ -174,7 +177,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
     With `short`, equal lines under min_chars that are not blank are classes too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    members = repeated_keys(docs.mapInArrow(_filings(max(min_chars, edits + 1), edits), "key long, id long"))
+    members = repeated_keys(docs.mapInArrow(_filings(max(min_chars, edits + 1), edits), "key long, id long, own boolean"))
     ids = saved(members.select("id").distinct(), "ids")
     lines = docs.mapInArrow(_texts(min_chars), "id long, data string")
     payload = saved(lines.join(bounded(ids), "id").dropDuplicates(["id"]), "lines")
@@ -199,8 +202,25 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _removed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """numbered(docs), its texts without their repeated lines, plus removed, the number of these."""
+    plain, c = numbered(docs)
+    gone = repeated_lines(plain.select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["text"]).alias("text")), edits, min_chars, short=True)
+    out = plain.join(gone, F.col(c["doc_id"]) == F.col("doc_id"), "left")
+    return out.withColumn(c["text"], _without(c["text"], "gone")).withColumn("removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+
+
+def line_removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text without its repeated lines, and removed, the number of these, for each row of docs."""
+    c = numbered(docs)[1]
+    return _removed(docs, edits, min_chars).select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["text"]).alias("text"), "removed")
+
+
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the repeated lines taken out of text; every row and column stays. Adds _lines_gone, their number."""
-    gone = repeated_lines(docs, edits, min_chars, short=True).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("gone", "_line_gone")
-    out = docs.join(gone, docs["doc_id"] == gone["_line_doc"], "left")
-    return out.withColumn("text", _without("text", "_line_gone")).withColumn("_lines_gone", F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long")).select(*docs.columns, "_lines_gone")
+    """docs with the repeated lines taken out of text; every row and column stays, and n_chars, if there, follows."""
+    c = numbered(docs)[1]
+    out = _removed(docs, edits, min_chars)
+    if "n_chars" in c:
+        changed = F.when(F.col("removed") > 0, F.length(c["text"]).cast("long")).otherwise(F.col(c["n_chars"]).cast("long"))
+        out = out.withColumn(c["n_chars"], changed)
+    return out.select(*named(docs))

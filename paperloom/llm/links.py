@@ -12,11 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import bounded, saved
+from paperloom.llm.store import BROADCAST_ROWS, bounded, saved
 
 #: The share of tested pairs that must be links for another round of centres; members compared at once in a task.
 #: Pairs compared in one call; pairs of a group from which on it gets a call of its own.
 FRUITFUL, BLOCK, PAIRS_AT_ONCE, PAIRS_ALONE = 0.01, 512, 50_000, 2_000
+#: Edges from which on a node is a hub.
+HUB = 10_000
+
+
+def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (v, u) with m of v, from least (v, m, n: edges of v); no shuffle brings a hub's edges into one task.
+
+    Few nodes are broadcast; of many, those of more than HUB edges, which are few, are, and the rest is shuffled."""
+    least = saved(least, "least")
+    if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(least), "v")
+    hubs = bounded(least.where(F.col("n") > HUB))
+    rest = edges.join(hubs.select("v"), "v", "left_anti").join(least.where(F.col("n") <= HUB), "v")
+    return edges.join(hubs, "v").unionByName(rest)
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -30,12 +44,12 @@ def star_components(links: DataFrame) -> DataFrame:
     edges, state = saved(links, "edges"), None
     while True:
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
+        least = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("v", "m"))
         # large star: neighbours above v hang on the least neighbour
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
+        large = _told(both, least).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
         # small star: v and its smaller neighbours hang on the least of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = _told(large, low).select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         edges = saved(small.where("v <> u").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:
@@ -45,9 +59,14 @@ def star_components(links: DataFrame) -> DataFrame:
 
 
 def repeated_keys(buckets: DataFrame) -> DataFrame:
-    """Of candidate rows (key, id), those of keys that several ids share, without repetition."""
-    shared = saved(buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "keys")
-    return saved(buckets.join(bounded(shared), "key").distinct(), "members")
+    """Of candidate rows (key, id), those of keys that several ids share, without repetition.
+
+    With a boolean column own, a key must be some id's own as well: ids that only probe it are no candidates of each other.
+    """
+    own = F.max("own") if "own" in buckets.columns else F.lit(True)
+    keys = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), own.alias("own"))
+    shared = saved(keys.where("lo <> hi and own").select("key"), "keys")
+    return saved(buckets.select("key", "id").join(bounded(shared), "key").distinct(), "members")
 
 
 def _carried(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import textbytes as tb
 from paperloom.llm.links import linked, repeated_keys
-from paperloom.llm.store import bounded, saved
+from paperloom.llm.store import bounded, named, numbered, saved
 
 HASHES, ROWS, WIDTH = 128, 4, 5
 #: Similarity in hundredths; the share of agreeing minima under which a pair is not looked at.
@@ -161,10 +161,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows that share a kept doc_id with the same text one stays. Rows with a null doc_id stay.
     """
-    away = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "away")
-    stay = docs.join(bounded(away), "doc_id", "left_anti").select(*docs.columns)
-    again = saved(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_times")).where("_times > 1").select("doc_id"), "again")
+    plain, c = numbered(docs)
+    doc_id, text = c["doc_id"], c["text"]
+    away = saved(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), "away")
+    stay = plain.join(bounded(away), doc_id, "left_anti").select(*plain.columns)
+    again = saved(plain.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("times")).where("times > 1").select(doc_id), "again")
     if not again.limit(1).count():
-        return stay
-    once = stay.join(bounded(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return stay.join(bounded(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return stay.select(*named(docs))
+    once = stay.join(bounded(again), doc_id, "left_semi").select(*plain.columns).dropDuplicates([doc_id, text])
+    return stay.join(bounded(again), doc_id, "left_anti").select(*plain.columns).unionByName(once).select(*named(docs))

@@ -1,6 +1,8 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Each rule rejects a document whose measure exceeds a cutoff. For each stratum (language), labelled documents of a third
+The base rule (under 50 words, or more than half of the words in repeated windows) rejects whatever the labels say. Of
+the documents that pass it, each further rule rejects those whose measure exceeds a cutoff. All labels, losses and risks
+below are of documents that pass the base rule; what the base rule costs is no part of the bound. For each stratum (language), labelled documents of a third
 of the doc_ids (by hash) lay a path of joint verdicts: from no cutoff on, the step that loses least good documents
 (quality 1) for each bad one (quality 0) it catches, as long as the joint loss is within RISK there. On the other two
 thirds the joint verdicts are tested in that order, and the exact binomial test P(Bin(n, RISK) <= good ones rejected by
@@ -11,8 +13,9 @@ the earlier one on ties; with none, no rule rejects anything there. A stratum wh
 log(LEVEL / strata) / log(1 - RISK) good documents (86 with four strata) cannot pass.
 
 Defined cases: null text has no words and fails the base rule; a null language is a stratum of its own; a document with
-several labels is good only if all say so; labels with nulls or of unknown documents are left out; repeated rows of
-documents give repeated rows; empty tables give empty tables and no rules; other columns are not read.
+several labels is good only if all say so; labels with nulls or of unknown documents are left out; every row is judged
+by its own text, also where a doc_id is null or repeats (for the cutoffs, one row of a doc_id counts, that of least
+counts); empty tables give empty tables and no rules; other columns are not read, and stay whatever their names.
 """
 
 from math import exp, lgamma, log
@@ -22,14 +25,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperloom.llm import textbytes as tb
-from paperloom.llm.store import bounded, saved
+from paperloom.llm.store import bounded, named, numbered, saved
 
 RISK, LEVEL = 0.05, 0.05
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+BASE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 #: Rule: measure (more is worse), cutoffs from the loosest to the strictest.
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05]),
@@ -40,40 +45,40 @@ RULES: dict[str, tuple[str, list[float]]] = {
 }
 
 
-def _count(batches):
-    for batch in batches:
-        cols: list[list] = [[] for _ in COUNTS]
-        for _, _, buf, offs in tb.pieces(batch.column("text")):
-            start, end, first = tb.words(buf, offs)
-            n, docs = np.diff(first), np.arange(len(offs) - 1)
-            per = lambda mask, offs=offs: np.diff(np.concatenate(([0], np.cumsum(mask)))[offs])
-            hasher, salt = tb.Hasher(buf), np.uint64(0xA24B_AED4_963E_E407)
-            doc = np.repeat(docs, n)
-            # windows of three words that stay inside one text
-            w, d = tb.windows(hasher(start, end), 3), doc[: max(0, len(doc) - 2)]
-            inside = np.flatnonzero(d == doc[2:]) if len(d) else np.zeros(0, np.int64)
-            _, at, times = np.unique(tb.mixed(w[inside] + d[inside].astype(np.uint64) * salt), return_inverse=True, return_counts=True)
-            twice, cover = inside[times[at] > 1], np.zeros(len(start) + 1, bool)
-            for k in range(3):
-                cover[twice + k] = True
-            ls, le, lf = tb.lines(buf, offs)
-            seen = np.concatenate(([0], np.cumsum(~tb.SPACE[buf])))
-            full = seen[le] > seen[ls]
-            ldoc = np.repeat(docs, np.diff(lf))[full]
-            _, once = np.unique(tb.mixed(hasher(ls[full], le[full]) + ldoc.astype(np.uint64) * salt), return_index=True)
-            n_lines, kinds = np.bincount(ldoc, minlength=len(docs)), np.bincount(ldoc[once], minlength=len(docs))
-            repeat = np.bincount(doc[cover[:-1]], minlength=len(docs))
-            found = (n, per(~tb.SPACE[buf] & ((buf & 0xC0) != 0x80)), per(SYMBOL[buf]), n_lines - kinds, repeat, n_lines)
-            for c, x in zip(cols, found, strict=True):
-                c.append(x.astype(np.int64))
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *(pa.array(np.concatenate(c)) for c in cols)], ["doc_id", "stratum", *COUNTS])
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+def counts_of(text: pa.Array) -> pa.Array:
+    """COUNTS of whole texts."""
+    cols: list[list] = [[np.zeros(0, np.int64)] for _ in COUNTS]
+    for _, _, buf, offs in tb.pieces(text):
+        start, end, first = tb.words(buf, offs)
+        n, docs = np.diff(first), np.arange(len(offs) - 1)
+        per = lambda mask, offs=offs: np.diff(np.concatenate(([0], np.cumsum(mask)))[offs])
+        hasher, salt = tb.Hasher(buf), np.uint64(0xA24B_AED4_963E_E407)
+        doc = np.repeat(docs, n)
+        # windows of three words that stay inside one text
+        w, d = tb.windows(hasher(start, end), 3), doc[: max(0, len(doc) - 2)]
+        inside = np.flatnonzero(d == doc[2:]) if len(d) else np.zeros(0, np.int64)
+        _, at, times = np.unique(tb.mixed(w[inside] + d[inside].astype(np.uint64) * salt), return_inverse=True, return_counts=True)
+        twice, cover = inside[times[at] > 1], np.zeros(len(start) + 1, bool)
+        for k in range(3):
+            cover[twice + k] = True
+        ls, le, lf = tb.lines(buf, offs)
+        seen = np.concatenate(([0], np.cumsum(~tb.SPACE[buf])))
+        full = seen[le] > seen[ls]
+        ldoc = np.repeat(docs, np.diff(lf))[full]
+        _, once = np.unique(tb.mixed(hasher(ls[full], le[full]) + ldoc.astype(np.uint64) * salt), return_index=True)
+        n_lines, kinds = np.bincount(ldoc, minlength=len(docs)), np.bincount(ldoc[once], minlength=len(docs))
+        repeat = np.bincount(doc[cover[:-1]], minlength=len(docs))
+        found = (n, per(~tb.SPACE[buf] & ((buf & 0xC0) != 0x80)), per(SYMBOL[buf]), n_lines - kinds, repeat, n_lines)
+        for c, x in zip(cols, found, strict=True):
+            c.append(x.astype(np.int64))
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in cols], COUNTS)
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, stratum and COUNTS, over whole texts."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), "text")
-    return docs.mapInArrow(_count, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    """docs (doc_id, text, lang) -> doc_id, stratum and COUNTS, a row for each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), counts_of(F.col("text").cast("string")).alias("n"))
+    return docs.select("doc_id", "stratum", "n.*")
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -127,7 +132,7 @@ def _chosen(risk: float, level: float):
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """stratum, rule, cutoff for each stratum and rule with a safe cutoff; from counted documents and (doc_id, quality)."""
     labels = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = counts.dropDuplicates(["doc_id"]).join(labels, "doc_id")
+    known = counts.groupBy("doc_id").agg(F.min(F.struct("stratum", *COUNTS)).alias("r")).select("doc_id", "r.*").where(f"not ({BASE})").join(labels, "doc_id")
     # with the cutoffs falling, the last of them lie under a measure; the index of the first of these
     first = [(F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)), (lambda e: lambda c: c < e)(F.expr(measure))))).alias(name) for name, (measure, cuts) in RULES.items()]
     known = known.select("stratum", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("tested"), F.array(*first).alias("at"), "quality")
@@ -146,22 +151,28 @@ def verdict(found: dict[str, Column]) -> Column:
     return out
 
 
+def _cutoff_columns(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each stratum (s2) with a cutoff, and a column cut_ for each rule."""
+    chosen = cutoffs(counts, labels).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    return bounded(saved(chosen.withColumnRenamed("stratum", "s2").withColumnsRenamed({r: f"cut_{r}" for r in RULES}), "cutoffs"))
+
+
+def _with_verdicts(counts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """counts plus base_failed and kept."""
+    out = counts.join(chosen, F.expr("stratum <=> s2"), "left").withColumn("base_failed", F.expr(BASE))
+    return out.withColumn("kept", ~F.col("base_failed") & verdict({r: F.col(f"cut_{r}") for r in RULES}))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs -> doc_id, COUNTS, base_failed, kept; a row for each row of docs."""
     counts = saved(counted(docs), "counts")
-    chosen = cutoffs(counts, labels).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    chosen = saved(chosen.withColumnRenamed("stratum", "s2").withColumnsRenamed({r: f"cut_{r}" for r in RULES}), "cutoffs")
-    out = counts.join(bounded(chosen), F.expr("stratum <=> s2"), "left")
-    out = out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & verdict({r: F.col(f"cut_{r}") for r in RULES})).select("doc_id", *COUNTS, "base_failed", "kept")
+    return _with_verdicts(counts, _cutoff_columns(counts, labels)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that judged() does not keep; all columns stay. Rows with a null doc_id are judged by the base rule.
-
-    Rows that share a doc_id go only if all of them are rejected.
-    """
-    away = judged(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_away"))
-    away = saved(away, "rejected")
-    known = docs.join(bounded(away), F.expr("doc_id <=> _away"), "left_anti")
-    return known.select(*docs.columns)
+    """The rows of docs that judged() keeps, with all their columns; each goes or stays by its own text."""
+    plain, c = numbered(docs)
+    chosen = _cutoff_columns(saved(counted(docs), "counts"), labels)
+    n = counts_of(F.col(c["text"]).cast("string"))
+    rows = plain.withColumn("stratum", F.col(c["lang"]).cast("string")).withColumn("n", n).select(*plain.columns, "stratum", "n.*")
+    return _with_verdicts(rows, chosen).where("kept").select(*named(docs))

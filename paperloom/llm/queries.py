@@ -40,7 +40,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.without_repeated_lines(docs).select("doc_id", F.col("_lines_gone").alias("n_removed"), "text")
+    return linededup.line_removals(docs).select("doc_id", F.col("removed").alias("n_removed"), "text")
 
 
 def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), F.get("positions", F.lit(1)).alias("second_position"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,17 +87,21 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_i
 OP9 = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
-w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
+w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CASE nth % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS tilt, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, nth) AS place FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
-t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE level <= cap / weight ORDER BY place LIMIT 1)) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, tilt, least(cap, weight * (SELECT level FROM l WHERE level <= cap / weight ORDER BY place LIMIT 1)) AS target FROM l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.tilt,
   sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT *, middle / target AS one, (middle + source_size) / target AS two FROM p),
+i AS (SELECT *, CASE WHEN size = 0 OR one >= 1 THEN NULL WHEN tilt = 0 THEN one ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * one) - (1 - tilt)) / (2 * tilt) END AS f,
+  CASE WHEN size = 0 OR two >= 1 THEN NULL WHEN tilt = 0 THEN two ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * two) - (1 - tilt)) / (2 * tilt) END AS g FROM m)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-  CAST(size * (CAST(size > 0 AND middle < target AS INT) + CAST(size > 0 AND middle + source_size < target AS INT)) AS BIGINT) AS taken
-FROM p
+  CAST(size * (CAST(coalesce(f < 1, FALSE) AS INT) + CAST(coalesce(g < 1, FALSE) AS INT)) AS BIGINT) AS taken,
+  CASE WHEN f < 1 THEN f END AS first_position, CASE WHEN f < 1 AND g < 1 THEN g END AS second_position
+FROM i
 """
 
 

@@ -1,18 +1,20 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are sorted by page_id into shards, whose bounds are quantiles of the page_ids of least hash, so that neither
-partitioning nor cluster size changes them. A shard is one task's output; it rolls to a new file once ROLL_BYTES of
+Records are sorted by page_id (nulls first) and, within one page_id, by a hash of the payload (of payload and url, where
+there is no page_id) into shards. Their bounds share out the bytes of a sample, the keys of least hash, so that neither
+partitioning nor cluster size changes them, and rows that share a page_id, or have none, spread as well. There are at most
+SAMPLE / 4 shards, which grow with the table from then on. A shard is one task's output; it rolls to a new file once ROLL_BYTES of
 compressed records are in it. Each record is a gzip member of its own with headers and digests made anew. A task
 writes under temporary names of its attempt and returns its files; that list is written as a table, which holds
 the files of successful attempts alone; a second job renames them, which may be repeated, and writes the manifest. A
 reader takes the files of the manifest and no others.
 
 Of records with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page_id is a response and the
-others revisit it; smaller ones are all responses.
+others revisit it; smaller ones are all responses. Rows of one page_id, payload and url are told apart by a number.
 
-Defined cases: null html is an empty payload; a null url leaves its header out; rows with a null page_id are responses,
-in the first shard; of repeated rows (same page_id and payload) one is the response; an empty table gives an empty
-archive; other columns are not written.
+Defined cases: null html is an empty payload; a null url leaves its header out; rows with a null page_id are responses;
+of repeated rows (same page_id and payload) one is the response; an empty table gives an empty archive; other columns are
+not written.
 """
 
 import hashlib
@@ -22,19 +24,22 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from paperloom.llm.store import bounded, new_folder, saved
 
-SHARD_BYTES, ROLL_BYTES, LEAST_REVISIT, SAMPLE = 16 << 20, 4 << 20, 100, 20_000
+SHARD_BYTES, ROLL_BYTES, LEAST_REVISIT, SAMPLE = 16 << 20, 4 << 20, 100, 40_000
+#: Bytes of a record's headers, about; the number that stands for a null page_id.
+OVERHEAD, LEAST = 600, np.iinfo(np.int64).min
 DATE, LEVEL = "2024-01-01T00:00:00Z", 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, seq int, temporary string, name string, bytes long, sha256 string, records long"
 
 
 def record_id(page_id, digest: str, nth: int) -> str:
+    """From page_id (or what stands for it), payload and the number of the row among those alike."""
     return f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{page_id}|{digest}|{nth}'.encode()).hexdigest()[:32], version=5)}>"
 
 
@@ -50,7 +55,7 @@ def record(page_id, url, payload: bytes, digest: str, refers, nth: int) -> bytes
     """One WARC record; refers: the page_id whose response this one revisits, or None."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers is not None else head + payload
-    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page_id, digest, nth)), ("WARC-Date", DATE)]
+    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(f"{url}" if page_id is None else page_id, digest, nth)), ("WARC-Date", DATE)]
     if url is not None:
         fields.append(("WARC-Target-URI", safe_url(url)))
     if refers is not None:
@@ -92,18 +97,18 @@ def _write(root: str, roll: int):
                     mark = (page_id, digest, refers.as_py())
                     continue
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                nth = nth + 1 if last == (page_id, digest) and page_id is not None else 0
-                last, to = (page_id, digest), None
-                if mark and mark[:2] == last:
+                u = url.as_py()
+                this = (page_id, digest, u if page_id is None else None)
+                nth, last, to = nth + 1 if last == this else 0, this, None
+                if mark and mark[:2] == this[:2]:
                     to = mark[2]
-                elif nth and len(payload) >= LEAST_REVISIT:
+                elif nth and page_id is not None and len(payload) >= LEAST_REVISIT:
                     to = page_id
                 if file is None or file.row["shard"] != shard or file.bytes >= roll:
                     seq = 0 if file is None or file.row["shard"] != shard else file.row["seq"] + 1
                     if file:
                         done.append(file.close())
                     file = _File(root, shard, seq, attempt)
-                u = url.as_py()
                 file.add(record(page_id, u, payload, digest, to, nth))
         if file:
             done.append(file.close())
@@ -125,6 +130,16 @@ def _commit(root: str):
     return run
 
 
+def _bounds(light: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """page_id and hash at which the second and later shards begin: even shares of the bytes of a sample of keys."""
+    keys = light.groupBy("page_id", "_hash").agg(F.sum(F.col("bytes") + OVERHEAD).alias("bytes"))
+    some = keys.orderBy(F.xxhash64("page_id", "_hash"), "page_id", "_hash").limit(SAMPLE).collect()
+    some = sorted((LEAST if r["page_id"] is None else r["page_id"], r["_hash"], r["bytes"]) for r in some)
+    upto = np.cumsum([r[2] for r in some])
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards))
+    return np.array([some[i][0] for i in at], np.int64), np.array([some[i][1] for i in at], np.int64)
+
+
 def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
     """pages (page_id, url, html) -> the URI of a folder with WARC files and, as `manifest`, the table of them."""
     spark = pages.sparkSession
@@ -132,25 +147,31 @@ def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int =
     html = F.col("html").cast("string")
     digest = F.sha2(F.coalesce(html, F.lit("")), 256)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    light = saved(pages.select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"), digest.alias("_digest")), "payloads")
+    spread = lambda of: F.xxhash64(of, F.when(F.col("page_id").isNull(), F.col("url"))).alias("_hash")
+    light = saved(pages.select("page_id", spread(digest), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"), digest.alias("_digest")), "payloads")
     total = light.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    keys = sorted(r[0] for r in light.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect())
-    bounds = np.array([keys[len(keys) * i // shards] for i in range(1, shards)] if keys else [], np.int64)
+    shards = int(min(max(1, -(-total // shard_bytes)), SAMPLE // 4))
+    page, mark = _bounds(light, shards) if shards > 1 else (np.zeros(0, np.int64),) * 2
 
     @F.arrow_udf(IntegerType())
-    def shard(page_id: pa.Array) -> pa.Array:
-        n = page_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(bounds, n, "right").astype(np.int32))
+    def shard(page_id: pa.Array, hashed: pa.Array) -> pa.Array:
+        p, h = page_id.fill_null(LEAST).to_numpy(zero_copy_only=False), hashed.to_numpy(zero_copy_only=False)
+        out, until = np.searchsorted(page, p, "left"), np.searchsorted(page, p, "right")
+        on = np.flatnonzero(until > out)  # at a page_id that has bounds, the hash decides
+        for one in np.unique(p[on]):
+            rows = on[p[on] == one]
+            lo, hi = out[rows[0]], until[rows[0]]
+            out[rows] = lo + np.searchsorted(mark[lo:hi], h[rows], "right")
+        return pa.array(out.astype(np.int32))
 
     large = light.where(F.col("page_id").isNotNull() & (F.col("bytes") >= LEAST_REVISIT))
     first = saved(large.groupBy("_digest").agg(F.min("page_id").alias("_refers"), F.max("page_id").alias("_last")).where("_refers <> _last").drop("_last"), "responses")
-    told = large.join(bounded(first), "_digest").where("page_id <> _refers").select("page_id", "_digest", "_refers").distinct()
+    told = large.join(bounded(first), "_digest").where("page_id <> _refers").select("page_id", "_hash", "_digest", "_refers").distinct()
     text = F.lit(None).cast("string")
-    rows = told.select("page_id", F.lit(0).alias("_kind"), text.alias("url"), text.alias("html"), "_digest", "_refers").unionByName(
-        pages.select("page_id", F.lit(1).alias("_kind"), "url", "html", digest.alias("_digest"), F.lit(None).cast("long").alias("_refers"))
+    rows = told.select("page_id", "_hash", F.lit(0).alias("_kind"), text.alias("url"), text.alias("html"), "_digest", "_refers").unionByName(
+        pages.select("page_id", spread(digest), F.lit(1).alias("_kind"), "url", "html", digest.alias("_digest"), F.lit(None).cast("long").alias("_refers"))
     )
-    rows = rows.withColumn("_shard", shard("page_id")).repartitionById(int(shards), F.col("_shard")).sortWithinPartitions("_shard", "page_id", "_digest", "_kind", "url")
+    rows = rows.withColumn("_shard", shard("page_id", "_hash")).repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "page_id", "_hash", "_digest", "_kind", "url")
     rows.mapInArrow(_write(root, roll_bytes), MANIFEST).write.parquet(f"{root}/_written")
     written = spark.read.schema(MANIFEST).parquet(f"{root}/_written")
     written.mapInArrow(_commit(root), MANIFEST).write.parquet(f"{root}/manifest")
@@ -162,22 +183,23 @@ def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int =
 
 def records(stream):
     """(headers, block) of each record of a gzip-member stream, however its reads fall."""
-    raw, rest, z = b"", b"", zlib.decompressobj(31)
+    parts, rest, z = [], b"", zlib.decompressobj(31)
     while True:
         data = rest or stream.read(1 << 20)
         if not data:
             break
-        raw, rest = raw + z.decompress(data), b""
+        rest = b""
+        parts.append(z.decompress(data))
         if z.eof:  # a member is a record
-            rest, z = z.unused_data, zlib.decompressobj(31)
+            raw, rest, z = b"".join(parts), z.unused_data, zlib.decompressobj(31)
             head, _, body = raw.partition(b"\r\n\r\n")
             fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
             size = int(fields["Content-Length"])
             if len(body) != size + 4 or body[size:] != b"\r\n\r\n":
                 raise ValueError(f"record {fields.get('WARC-Record-ID')} is broken")
             yield fields, body[:size]
-            raw = b""
-    if raw:
+            parts = []
+    if any(parts):
         raise ValueError("the last record is not whole")
 
 
@@ -209,10 +231,8 @@ def _read(root: str):
 def read_archive(spark: SparkSession, root: str) -> DataFrame:
     """A row for each response and revisit in an archive, its digests checked."""
     files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
-    many = max(1, files.count())
-    # each file to a task of its own, whatever its shard
-    spread = files.withColumn("_n", (F.row_number().over(Window.orderBy("shard", "seq")) - 1).cast("int"))
-    return spread.repartitionById(many, F.col("_n")).drop("_n").mapInArrow(_read(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    many = min(max(1, files.count()), SAMPLE // 4)
+    return files.repartition(many, "name").mapInArrow(_read(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
