@@ -17,7 +17,9 @@ def title_key(c: Column) -> Column:
 
 
 def surname(c: Column) -> Column:
-    last = F.element_at(F.split(F.trim(c), r"\s+"), -1)
+    """What stands before a comma, else the last word, normalised; a missing name is empty."""
+    c = F.trim(F.coalesce(c, F.lit("")))
+    last = F.element_at(F.split(c, r"\s+"), -1)
     return normalize_title(F.when(F.instr(c, ",") > 0, F.substring_index(c, ",", 1)).otherwise(last))
 
 
@@ -28,10 +30,22 @@ def doi_key(c: Column) -> Column:
     return F.when(k.startswith("10."), k)
 
 
-def paper_keys(doi: Column, title: Column, authors: Column | None = None) -> Column:
-    """The keys by which two rows may be one work; the version-server key needs title and authors."""
-    t = title_key(title)
-    return F.array_compact(F.array(F.concat(F.lit("doi:"), doi_key(doi)), F.when(t != "", F.concat(F.lit("title:"), t))))
+def plain_doi(c: Column) -> Column:
+    """As paper keys have it: lower case, without URL or scheme prefix, whatever is left."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"^(https?://doi\.org/|doi:)", "")
+
+
+def paper_keys(doi: Column, title: Column, year: Column | None = None, authors: Column | None = None) -> Column:
+    """The keys by which two rows may be one work: DOI, long title, or, for short titles of two records of one version
+    server, title, year, surnames and number of authors."""
+    d, t = plain_doi(F.coalesce(doi, F.lit(""))), title_key(F.coalesce(title, F.lit("")))
+    keys = [F.when(d != "", F.concat(F.lit("doi:"), d)), F.when(t != "", F.concat(F.lit("title:"), t))]
+    if year is not None and authors is not None:
+        names = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), surname), lambda n: n != "")))
+        short = normalize_title(F.coalesce(title, F.lit("")))
+        made = F.concat(F.lit("zenodo:"), short, F.lit("|"), year.cast("string"), F.lit("|"), F.array_join(names, ","), F.lit("|"), F.size(authors).cast("string"))
+        keys.append(F.when((t == "") & d.startswith("10.5281/zenodo.") & (short != "") & (F.size(names) > 0), made))
+    return F.array_compact(F.array(*keys))
 
 
 def bare_id(c: Column) -> Column:
@@ -63,9 +77,10 @@ def hue(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """URL queries and addresses blanked, at most 500 characters."""
-    c = F.regexp_replace(c, r"(https?://[^\s?]+)\?\S+", "$1?...")
-    return F.substring(F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<email>"), 1, 500)
+    """URL queries dropped, addresses blanked, at most 500 characters, of which a cut text's last is an ellipsis."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"""(https?://[^\s?'"<>]+)\?[^\s'"<>]*""", "$1")
+    c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
+    return F.when(F.length(c) <= 500, c).otherwise(F.concat(F.substring(c, 1, 499), F.lit("\u2026")))
 
 
 def orcid_ok(c: Column) -> Column:
@@ -84,11 +99,12 @@ def inverted_text(index: Column) -> Column:
 
 
 def chunks(c: Column, target: int, overlap: int) -> Column:
-    """Windows of `target` words that share `overlap`; the last may be short."""
-    w = word_array(c)
+    """Windows of `target` words that share `overlap`; the last may be short. The words are cut once, as a lambda's argument."""
     step = target - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - target) / step)).cast("int")
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, target), " "))).otherwise(F.array().cast("array<string>"))
+    last = lambda w: F.greatest(F.lit(0), F.ceil((F.size(w) - target) / step)).cast("int")
+    cut = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.array_join(F.slice(w, i * step + 1, target), " "))
+    made = F.transform(F.array(word_array(c)), lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.array().cast("array<string>")))
+    return F.coalesce(made[0], F.array().cast("array<string>"))
 
 
 def floor4(c: Column) -> Column:

@@ -4,22 +4,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.functions.vectors import cosine
+from paperloom.functions.vectors import cosine, dot, norm, safe_cosine
 
 #: Similarity of a label's nearest topic, and of its further ones; nearest topics looked at; cosine and
 #: word overlap from which two topics count as the same; topics added at once.
 NEAREST, FURTHER, LOOKED_AT, SAME_COSINE, SAME_WORDS, ADDITIONS = 0.65, 0.80, 3, 0.75, 0.5, 10
+#: Topics in a row of the index, and rows of it that may be broadcast (512 vectors of 1,024 numbers are 4 MB).
+BLOCK, BLOCKS = 512, 128
+
+
+def nearest_topics(rows: DataFrame, index: DataFrame, k: int, floor: float) -> DataFrame:
+    """rows (id columns and v) with topic_id, sim and rank of their k nearest of index (topic_id, v), from `floor` on.
+
+    The index is cut into rows of BLOCK topics; each row of vectors meets a block in its own row and keeps the block's
+    best k, so that what is ranked in the end is k rows a block. Blocks are broadcast if a count shows at most BLOCKS."""
+    ids = [c for c in rows.columns if c != "v"]
+    entry = F.struct("topic_id", F.col("v").alias("w"), norm(F.col("v")).alias("n"))
+    blocks = index.where("v is not null").withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("topic_id"), F.lit(64))).orderBy("topic_id")) - 1) / BLOCK))
+    blocks = blocks.groupBy("_block", F.pmod(F.xxhash64("topic_id"), F.lit(64)).alias("_part")).agg(F.collect_list(entry).alias("_topics")).select("_topics")
+    if blocks.limit(BLOCKS + 1).count() <= BLOCKS:
+        blocks = F.broadcast(blocks)
+    near = rows.withColumn("_n", norm(F.col("v"))).crossJoin(blocks)
+    sims = F.transform("_topics", lambda t: F.struct((-F.round(safe_cosine(dot(F.col("v"), t["w"]), F.col("_n") * t["n"]), 9)).alias("s"), t["topic_id"].alias("topic_id")))
+    best = F.slice(F.array_sort(F.filter(sims, lambda x: x["s"] <= -floor)), 1, k)
+    near = near.select(*ids, F.inline(best)).select(*ids, "topic_id", (-F.col("s")).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.desc("sim"), "topic_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def label_topics(labels: DataFrame, index: DataFrame, nearest: float = NEAREST, further: float = FURTHER) -> DataFrame:
     """labels (profile, label_id, v), index (topic_id, v) -> profile, topic_id, label_id, sim: the best label of each topic.
 
-    The index is a fixed vocabulary (some 4,500 topics) and sent whole. A label takes its nearest topic from `nearest` on,
-    the second and third from `further` on. Topics without a vector are nobody's neighbour."""
-    near = labels.join(F.broadcast(index.where("v is not null").select("topic_id", F.col("v").alias("w"))), F.lit(True))
-    near = near.withColumn("sim", F.round(cosine(F.col("v"), F.col("w")), 9)).where(F.col("sim") >= nearest)
-    k = F.row_number().over(Window.partitionBy("profile", "label_id").orderBy(F.desc("sim"), "topic_id"))
-    near = near.withColumn("k", k).where((F.col("k") <= LOOKED_AT) & ((F.col("k") == 1) | (F.col("sim") >= further)))
+    A label takes its nearest topic from `nearest` on, the second and third from `further` on. Topics without a vector are
+    nobody's neighbour."""
+    near = nearest_topics(labels.select("profile", "label_id", "v"), index, LOOKED_AT, nearest)
+    near = near.where((F.col("rank") == 1) | (F.col("sim") >= further))
     best = F.row_number().over(Window.partitionBy("profile", "topic_id").orderBy(F.desc("sim"), "label_id"))
     return near.withColumn("b", best).where("b = 1").select("profile", "topic_id", "label_id", "sim")
 
@@ -36,11 +55,11 @@ def with_labels(stored: DataFrame, matches: DataFrame, index: DataFrame, cosine_
     name or as a near duplicate is not added, nor one with the name of a better one; at most `additions` come, nearest
     first. is_new tells topics that were not listed before."""
     stays = stored.where("not (source = 'label' and not is_on)")
-    new = matches.join(F.broadcast(index.select("topic_id", "name", "v")), "topic_id")
+    new = matches.join(index.select("topic_id", "name", "v"), "topic_id")
     new = new.join(stays.select("profile", "topic_id"), ["profile", "topic_id"], "left_anti")
     lower = F.lower("name").alias("lower")
     new = new.withColumn("lower", lower).join(stays.select("profile", lower), ["profile", "lower"], "left_anti")
-    there = stays.join(F.broadcast(index.select("topic_id", F.col("v").alias("w"))), "topic_id", "left").select(F.col("profile").alias("of"), F.col("name").alias("other"), "w")
+    there = stays.join(index.select("topic_id", F.col("v").alias("w")), "topic_id", "left").select(F.col("profile").alias("of"), F.col("name").alias("other"), "w")
     new = new.join(there, (F.col("profile") == F.col("of")) & same_topic(F.col("v"), F.col("w"), F.col("name"), F.col("other"), cosine_from), "left_anti")
     order = [F.desc("sim"), "topic_id"]
     new = new.withColumn("n", F.row_number().over(Window.partitionBy("profile", "lower").orderBy(*order))).where("n = 1")

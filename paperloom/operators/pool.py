@@ -12,7 +12,7 @@ def rescored(pool: DataFrame, alpha: float = ALPHA, beta: float = BETA) -> DataF
     """pool (profile, paper_id, score_raw, logit) plus sel_norm, rr_norm, blended, pct.
 
     A flat pool has span 1. A missing logit counts as the median of the normalised logits, and without any logit the
-    selector ranks alone. Statistics are aggregated by profile and joined back, so that no window holds a pool.
+    selector ranks alone. Statistics are aggregated by profile and joined back; the percentile is a window by profile.
     """
     stats = pool.groupBy("profile").agg(F.min("score_raw").alias("s0"), F.max("score_raw").alias("s1"), F.min("logit").alias("r0"), F.max("logit").alias("r1"), F.percentile("logit", 0.5).alias("rm"))
     span = lambda lo, hi: F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)).otherwise(1.0)
@@ -23,6 +23,12 @@ def rescored(pool: DataFrame, alpha: float = ALPHA, beta: float = BETA) -> DataF
     return out.drop("s0", "s1", "r0", "r1", "rm")
 
 
+def rescored_members(rows: DataFrame, member: str, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
+    """rows with the scores of rescored() over the rows where `member` is true, and nulls in the others."""
+    pool = rescored(rows.where(member), alpha, beta)
+    return pool.unionByName(rows.where(~F.coalesce(F.col(member), F.lit(False))), allowMissingColumns=True)
+
+
 def rank_changes(pool: DataFrame) -> DataFrame:
     """Ranks by selector and by blend, and how far each row moved (positive: up)."""
     w = Window.partitionBy("profile")

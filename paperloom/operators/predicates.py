@@ -1,6 +1,6 @@
 """The predicates that define the feed, each once."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Percentile limits of the buckets where a row has no raw score (fixed values).
@@ -34,3 +34,12 @@ def bucket(score: Column, threshold: Column, seed_min: Column, pct: Column) -> C
 
 def plausible_year(year: Column, this_year: int) -> Column:
     return F.when(year.between(1000, this_year + 1), year)
+
+
+def not_seed(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    """candidates (profile, paper_id, doi) that are no seed of their profile: not by id, not as the public record of a
+    seed that is a private version, and not by DOI. seeds: profile, paper_id, canonical_id, doi. Each way is an anti-join."""
+    ids = seeds.select("profile", F.explode(F.array_compact(F.array("paper_id", "canonical_id"))).alias("paper_id")).distinct()
+    dois = seeds.select("profile", F.lower("doi").alias("_doi")).where("_doi is not null").distinct()
+    out = candidates.join(ids, ["profile", "paper_id"], "left_anti").withColumn("_doi", F.lower("doi"))
+    return out.join(dois, ["profile", "_doi"], "left_anti").drop("_doi")

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import bar_floor
-from paperloom.functions.vectors import cosine, dot, mean_vector, norm
+from paperloom.functions.vectors import cosine, dot, mean_vector, norm, safe_cosine
 
 #: Fixed values of the threshold rule.
-MARGIN, LEAST_PCT, MOST_PCT, ENOUGH, FALLBACK = 0.01, 0.75, 0.98, 10, 0.90
+MARGIN, LEAST_PCT, MOST_PCT, ALONE_PCT, ENOUGH, FALLBACK = 0.01, 0.75, 0.98, 0.90, 10, 0.90
 
 
 def rank_percentile(order: list[Column], *partition: str) -> Column:
@@ -21,8 +21,8 @@ def rank_percentile(order: list[Column], *partition: str) -> Column:
     return F.when(n <= 1, 1.0).otherwise((n - 1 - r) / (n - 1))
 
 
-def seeds_of(vectors: DataFrame, k: int) -> DataFrame:
-    """The k least paper_ids of each profile, as `seed`."""
+def seeds_of(vectors: DataFrame, k: Column) -> DataFrame:
+    """The k least paper_ids of each profile (k may depend on it), as `seed`."""
     r = F.row_number().over(Window.partitionBy("profile").orderBy("paper_id"))
     return vectors.withColumn("seed", r <= k)
 
@@ -32,11 +32,18 @@ def centroids(seeds: DataFrame) -> DataFrame:
 
 
 def scored(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """paper_id, profile, score (to the centroid), max_seed, median_seed; the percentile precedes any threshold."""
-    near = candidates.join(seeds.select("profile", F.col("v").alias("sv")), "profile").withColumn("c", cosine(F.col("v"), F.col("sv")))
-    near = near.groupBy("profile", "paper_id").agg(F.max("c").alias("max_seed"), F.percentile("c", 0.5).alias("median_seed"))
-    mid = candidates.join(F.broadcast(centroids(seeds)), "profile").select("profile", "paper_id", cosine(F.col("v"), F.col("centroid")).alias("score"))
-    out = mid.join(near, ["profile", "paper_id"])
+    """paper_id, profile, score (to the centroid), max_seed, median_seed; the percentile precedes any threshold.
+
+    A profile's seeds, few, lie with their norms in one array beside its centroid, so that a candidate meets them in its
+    own row; the join with these rows, one a profile, is broadcast or shuffled by their measured size."""
+    own = seeds.groupBy("profile").agg(F.collect_list(F.struct("v", norm(F.col("v")).alias("n"))).alias("seeds"))
+    own = own.join(centroids(seeds), "profile")
+    at = candidates.join(own, "profile").withColumn("n", norm(F.col("v")))
+    sims = F.sort_array(F.transform("seeds", lambda s: safe_cosine(dot(F.col("v"), s["v"]), F.col("n") * s["n"])))
+    at = at.select("profile", "paper_id", cosine(F.col("v"), F.col("centroid")).alias("score"), sims.alias("sims"))
+    k = F.size("sims")
+    middle = (F.element_at("sims", F.floor((k + 1) / 2).cast("int")) + F.element_at("sims", F.floor((k + 2) / 2).cast("int"))) / 2
+    out = at.select("profile", "paper_id", "score", F.element_at("sims", -1).alias("max_seed"), middle.alias("median_seed"))
     return out.withColumn("score_pct", rank_percentile([F.round("score", 9).desc(), F.col("paper_id")], "profile"))
 
 
@@ -68,16 +75,30 @@ def two_peaks(pairs: DataFrame, bins: int = 10, least: int = 20, gap: float = 0.
 
 
 def seed_band(seeds: DataFrame) -> DataFrame:
-    """Leave-one-out cosine of each seed to the mean of the other unit vectors: one sum, less the seed's own part."""
+    """Leave-one-out cosine of each seed to the mean of the other unit vectors: one sum, less the seed's own part.
+
+    Profiles with fewer than two seeds have no band."""
     unit = seeds.withColumn("u", F.transform("v", lambda x: x / norm(F.col("v"))))
-    mean = mean_vector(unit, "profile", "u", "m").join(unit.groupBy("profile").agg(F.count("*").alias("n")), "profile")
-    loo = unit.join(F.broadcast(mean), "profile").withColumn("o", F.zip_with(F.transform("m", lambda x: x * F.col("n")), F.col("u"), lambda s, x: s - x))
+    mean = mean_vector(unit, "profile", "u", "m").join(unit.groupBy("profile").agg(F.count("*").alias("n")).where("n > 1"), "profile")
+    loo = unit.join(mean, "profile").withColumn("o", F.zip_with(F.transform("m", lambda x: x * F.col("n")), F.col("u"), lambda s, x: s - x))
     one = loo.select("profile", (dot(F.col("u"), F.col("o")) / (norm(F.col("o")) + 1e-12)).alias("c"))
     return one.groupBy("profile").agg(bar_floor(F.min("c")).alias("seed_min"), F.percentile("c", 0.5).alias("seed_median"), F.max("c").alias("seed_max"))
 
 
-def suggested_threshold(scores: DataFrame, band: DataFrame) -> DataFrame:
-    q = scores.groupBy("profile").agg(F.percentile("score", F.array(F.lit(LEAST_PCT), F.lit(MOST_PCT))).alias("q"), F.count("*").alias("n"))
-    raw = F.col("seed_min") - MARGIN
-    kept = F.when(F.col("n") >= ENOUGH, F.least(F.greatest(raw, F.col("q")[0]), F.col("q")[1])).otherwise(raw)
-    return q.join(band, "profile").select("profile", "seed_min", bar_floor(kept).alias("threshold"))
+def suggested_threshold(profiles: DataFrame, scores: DataFrame, band: DataFrame) -> DataFrame:
+    """seed_min and threshold for each of profiles: a little under the least typical seed, within the range where it
+    parts the candidates; from the candidates alone without a band; a fixed value with neither."""
+    q = scores.groupBy("profile").agg(F.percentile("score", F.array(F.lit(LEAST_PCT), F.lit(MOST_PCT), F.lit(ALONE_PCT))).alias("q"), F.count("*").alias("n"))
+    raw, enough = F.col("seed_min") - MARGIN, F.coalesce(F.col("n") >= ENOUGH, F.lit(False))
+    by_band = bar_floor(F.when(enough, F.least(F.greatest(raw, F.col("q")[0]), F.col("q")[1])).otherwise(raw))
+    alone = F.when(enough, bar_floor(F.col("q")[2])).otherwise(FALLBACK)
+    out = profiles.select("profile").distinct().join(q, "profile", "left").join(band, "profile", "left")
+    return out.select("profile", "seed_min", F.when(F.col("seed_min").isNotNull(), by_band).otherwise(alone).alias("threshold"))
+
+
+def score_axis(scores: DataFrame, band: DataFrame) -> DataFrame:
+    """The range a threshold slider covers: scores and seed band, a little padded; profiles with neither are left out."""
+    s = scores.groupBy("profile").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).join(band, "profile", "full_outer")
+    s = s.select("profile", F.least("lo", "seed_min").alias("lo"), F.greatest("hi", "seed_max").alias("hi"))
+    pad = F.greatest(F.lit(0.005), (F.col("hi") - F.col("lo")) * 0.05)
+    return s.select("profile", F.round(F.greatest(F.lit(0.0), F.col("lo") - pad), 3).alias("axis_from"), F.round(F.least(F.lit(1.0), F.col("hi") + pad), 3).alias("axis_to"))

@@ -4,16 +4,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def triage(events: DataFrame) -> DataFrame:
-    """events (profile, paper_id, action, ts, event_id) -> saved, dismissed (exclusive), unsaved marker, first and last shown,
-    vaulted (the first save, sticky)."""
-    order = F.struct("ts", "event_id")
-    at = lambda *a: F.when(F.col("action").isin(*a), order)
-    out = events.groupBy("profile", "paper_id").agg(
-        F.max(at("saved", "dismissed", "unsaved")).alias("last"),
-        F.max_by("action", at("saved", "dismissed", "unsaved")).alias("state"),
-        F.min(F.when(F.col("action") == "saved", F.col("ts"))).alias("vaulted_at"),
-        F.min(F.when(F.col("action") == "shown", F.col("ts"))).alias("first_shown"),
-        F.max(F.when(F.col("action") == "shown", F.col("ts"))).alias("last_shown"),
+def folded(events: DataFrame) -> DataFrame:
+    """events (profile, paper_id, action, ts, event_id) -> a partial state a card, which folded_again() can merge."""
+    order = F.struct("ts", "event_id", "action")
+    of = lambda a: F.when(F.col("action") == a, F.col("ts"))
+    return events.groupBy("profile", "paper_id").agg(
+        F.max(F.when(F.col("action").isin("saved", "dismissed", "unsaved"), order)).alias("last"),
+        F.min(of("saved")).alias("vaulted_at"),
+        F.min(of("shown")).alias("first_shown"),
+        F.max(of("shown")).alias("last_shown"),
     )
-    return out.select("profile", "paper_id", F.coalesce(F.col("state") == "saved", F.lit(False)).alias("saved"), F.coalesce(F.col("state") == "dismissed", F.lit(False)).alias("dismissed"), F.coalesce(F.col("state") == "unsaved", F.lit(False)).alias("unsaved"), "vaulted_at", "first_shown", "last_shown")
+
+
+def folded_again(states: DataFrame) -> DataFrame:
+    """Partial states of the same cards, from different events, as one each."""
+    return states.groupBy("profile", "paper_id").agg(F.max("last").alias("last"), F.min("vaulted_at").alias("vaulted_at"), F.min("first_shown").alias("first_shown"), F.max("last_shown").alias("last_shown"))
+
+
+def shown(states: DataFrame) -> DataFrame:
+    """saved and dismissed (exclusive), the unsaved marker, the first save (sticky), and first and last shown."""
+    now = lambda a: F.coalesce(F.col("last.action") == a, F.lit(False)).alias(a)
+    return states.select("profile", "paper_id", now("saved"), now("dismissed"), now("unsaved"), "vaulted_at", "first_shown", "last_shown")
+
+
+def triage(events: DataFrame) -> DataFrame:
+    """The state of each card after all events."""
+    return shown(folded(events))

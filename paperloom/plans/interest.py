@@ -1,13 +1,17 @@
-"""Queries on profiles, similarity, pools and the feed, over `embeddings` (a profile for each label, eight seeds each)."""
+"""Queries on profiles, similarity, pools and the feed, over `embeddings`: a profile for each label, with eight
+seeds, but one seed in profile 8 and none in profile 9."""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.vectors import cosine, doubles
 from paperloom.operators import pool, predicates, selection
+from paperloom.operators.labels import nearest_topics
 from paperloom.plans.registry import query, table
 
-SEEDS = 8
+SEEDS = "CASE profile WHEN 8 THEN 1 WHEN 9 THEN 0 ELSE 8 END"
+#: The topics of a profile's list that are on, as a condition on topic and profile.
+ON = "(topic + profile) % 3 = 0"
 
 
 def cos(a: str, b: str) -> str:
@@ -28,19 +32,29 @@ loo AS (SELECT a.profile, a.paper_id, t.i AS i, any_value(a.u) AS u, avg(b.u[t.i
 lo2 AS (SELECT profile, paper_id, any_value(u) AS u, list(x ORDER BY i) AS o FROM loo GROUP BY 1, 2),
 lo3 AS (SELECT profile, list_dot_product(u, o) / (sqrt(list_dot_product(o, o)) + 1e-12) AS c FROM lo2),
 bd AS (SELECT profile, floor(min(c) * 1000 + 1e-9) / 1000 AS seed_min, quantile_cont(c, 0.5) AS seed_median, max(c) AS seed_max FROM lo3 GROUP BY profile),
-th AS (SELECT sc.profile, any_value(seed_min) AS seed_min, floor(least(greatest(any_value(seed_min) - {selection.MARGIN}, quantile_cont(score, 0.75)), quantile_cont(score, 0.98)) * 1000 + 1e-9) / 1000 AS threshold FROM sc JOIN bd ON bd.profile = sc.profile GROUP BY sc.profile),
+qs AS (SELECT profile, quantile_cont(score, 0.75) AS q75, quantile_cont(score, 0.98) AS q98, quantile_cont(score, 0.9) AS q90, count(*) AS n FROM sc GROUP BY profile),
+th AS (SELECT p.profile, seed_min, CASE WHEN seed_min IS NOT NULL THEN floor((CASE WHEN n >= 10 THEN least(greatest(seed_min - {selection.MARGIN}, q75), q98) ELSE seed_min - {selection.MARGIN} END) * 1000 + 1e-9) / 1000
+  WHEN n >= 10 THEN floor(q90 * 1000 + 1e-9) / 1000 ELSE 0.9 END AS threshold FROM (SELECT DISTINCT profile FROM e) p LEFT JOIN qs ON qs.profile = p.profile LEFT JOIN bd ON bd.profile = p.profile),
 q0 AS (SELECT v AS qv FROM e WHERE paper_id = 0),
-pl0 AS (SELECT profile, paper_id, score AS score_raw, CASE WHEN paper_id % 5 = 0 THEN NULL ELSE {cos('sc.v', 'q0.qv')} END AS logit FROM sc, q0),
+att AS (SELECT *, CASE WHEN paper_id % 11 <> 0 THEN 1990 + paper_id % 37 END AS year, CASE WHEN paper_id % 4 <> 0 THEN paper_id % 7 END AS source_topic, [paper_id % 5, paper_id % 6] AS own, paper_id % 450 AS doi, CASE WHEN paper_id % 3 = 0 THEN paper_id + 20 END AS canonical_id FROM e),
+pa AS (SELECT DISTINCT profile, CASE WHEN profile % 3 <> 0 THEN 1995 END AS year_from, CASE WHEN profile % 4 <> 0 THEN 2022 END AS year_to, profile % 5 <> 4 AS listed FROM e),
+el AS (SELECT sc.profile, sc.paper_id, coalesce(score >= threshold, TRUE) AND (year IS NULL OR ((year_from IS NULL OR year >= year_from) AND (year_to IS NULL OR year <= year_to)))
+  AND (source_topic IS NULL OR NOT listed OR (source_topic + sc.profile) % 3 = 0 OR (own[1] + sc.profile) % 3 = 0 OR (own[2] + sc.profile) % 3 = 0)
+  AND NOT EXISTS (SELECT 1 FROM sd JOIN att sa ON sa.paper_id = sd.paper_id WHERE sd.profile = sc.profile AND (sd.paper_id = sc.paper_id OR sa.canonical_id = sc.paper_id OR sa.doi = att.doi)) AS in_pool
+  FROM sc JOIN att ON att.paper_id = sc.paper_id JOIN pa ON pa.profile = sc.profile JOIN th ON th.profile = sc.profile),
+al0 AS (SELECT sc.profile, sc.paper_id, sc.score AS score_raw, CASE WHEN sc.paper_id % 5 = 0 THEN NULL ELSE {cos('sc.v', 'q0.qv')} END AS logit, in_pool FROM sc JOIN el ON el.profile = sc.profile AND el.paper_id = sc.paper_id, q0),
+pl0 AS (SELECT * FROM al0 WHERE in_pool),
 st AS (SELECT profile, min(score_raw) s0, max(score_raw) s1, min(logit) r0, max(logit) r1, quantile_cont(logit, 0.5) rm FROM pl0 GROUP BY profile),
 pl1 AS (SELECT pl0.*, (score_raw - s0) / (CASE WHEN s1 > s0 THEN s1 - s0 ELSE 1 END) AS sel_norm, (logit - r0) / (CASE WHEN r1 > r0 THEN r1 - r0 ELSE 1 END) AS rr_norm, (rm - r0) / (CASE WHEN r1 > r0 THEN r1 - r0 ELSE 1 END) AS mid FROM pl0 JOIN st ON st.profile = pl0.profile),
 pl2 AS (SELECT *, 0.4 * sel_norm + 0.6 * coalesce(rr_norm, mid) AS blended FROM pl1),
-pl AS (SELECT *, (count(*) OVER (PARTITION BY profile) - row_number() OVER (PARTITION BY profile ORDER BY round(blended, 9) DESC, paper_id)) / (count(*) OVER (PARTITION BY profile) - 1)::DOUBLE AS pct FROM pl2)
+pl3 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY profile) <= 1 THEN 1.0 ELSE (count(*) OVER (PARTITION BY profile) - row_number() OVER (PARTITION BY profile ORDER BY round(coalesce(blended, sel_norm), 9) DESC, paper_id)) / (count(*) OVER (PARTITION BY profile) - 1)::DOUBLE END AS pct FROM pl2),
+pl AS (SELECT al0.*, sel_norm, rr_norm, blended, pct FROM al0 LEFT JOIN pl3 ON pl3.profile = al0.profile AND pl3.paper_id = al0.paper_id)
 """
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("paper_id"), F.col("label").alias("profile"), doubles(F.col("embedding")).alias("v"))
-    return selection.seeds_of(v, SEEDS)
+    return selection.seeds_of(v, F.expr(SEEDS))
 
 
 def split(spark, d):
@@ -54,15 +68,39 @@ def scores(spark, d):
 
 
 def thresholds(spark, d):
-    seeds, _ = split(spark, d)
-    return selection.suggested_threshold(scores(spark, d), selection.seed_band(seeds))
+    v = vectors(spark, d)
+    return selection.suggested_threshold(v, scores(spark, d), selection.seed_band(v.where("seed")))
+
+
+def attributes(spark, d):
+    """What a paper brings to the feed's predicates: year, the topic that brought it in, its own topics, DOI, public record."""
+    i = F.col("paper_id")
+    return vectors(spark, d).select("profile", "paper_id", "seed", F.when(i % 11 != 0, 1990 + i % 37).alias("year"), F.when(i % 4 != 0, i % 7).alias("source_topic"), F.array(i % 5, i % 6).alias("own"), (i % 450).cast("string").alias("doi"), F.when(i % 3 == 0, i + 20).alias("canonical_id"))
+
+
+def profile_settings(spark, d):
+    """Threshold, years and topics of each profile."""
+    p = F.col("profile")
+    on = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda t: (t + p) % 3 == 0).cast("array<bigint>")
+    return thresholds(spark, d).select("profile", "seed_min", "threshold", F.when(p % 3 != 0, 1995).alias("year_from"), F.when(p % 4 != 0, 2022).alias("year_to"), on.alias("on"), (p % 5 != 4).alias("listed"))
+
+
+def eligible(spark, d):
+    """profile, paper_id of the candidates that the feed can show: passing, in years, with a topic on, no seeds."""
+    a = attributes(spark, d)
+    c = scores(spark, d).join(a.drop("seed"), ["profile", "paper_id"]).join(profile_settings(spark, d), "profile")
+    c = c.where(predicates.passes(F.col("score"), F.col("threshold")) & predicates.in_years(F.col("year"), F.col("year_from"), F.col("year_to")) & predicates.topic_on(F.col("source_topic"), F.col("own"), F.col("on"), F.col("listed")))
+    return predicates.not_seed(c, a.where("seed")).select("profile", "paper_id")
 
 
 def pooled(spark, d):
+    """Every candidate with its scores over the pool of its profile; those outside the pool have nulls."""
     _, cand = split(spark, d)
     query_vector = table(spark, d, "embeddings").where("vec_id = 0").select(doubles(F.col("embedding")).alias("qv"))
     logit = cand.crossJoin(F.broadcast(query_vector)).select("profile", "paper_id", F.when(F.col("paper_id") % 5 != 0, cosine(F.col("v"), F.col("qv"))).alias("logit"))  # one row
-    return pool.rescored(scores(spark, d).select("profile", "paper_id", F.col("score").alias("score_raw")).join(logit, ["profile", "paper_id"]))
+    rows = scores(spark, d).select("profile", "paper_id", F.col("score").alias("score_raw")).join(logit, ["profile", "paper_id"])
+    rows = rows.join(eligible(spark, d).withColumn("in_pool", F.lit(True)), ["profile", "paper_id"], "left")
+    return pool.rescored_members(rows.withColumn("in_pool", F.coalesce("in_pool", F.lit(False))), "in_pool")
 
 
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -127,11 +165,10 @@ def a20(spark, d):
     return s.groupBy("profile", "theta").agg(F.count("*").alias("n"), F.min_by("paper_id", F.struct(-F.round("score", 9), "paper_id")).alias("top"))
 
 
-@query("a21_score_axis", BASE + "SELECT profile, round(greatest(0, lo - greatest(0.005, (hi - lo) * 0.05)), 3) AS axis_from, round(least(1, hi + greatest(0.005, (hi - lo) * 0.05)), 3) AS axis_to FROM (SELECT profile, min(score) lo, max(score) hi FROM sc GROUP BY profile)")
+@query("a21_score_axis", BASE + """, x AS (SELECT coalesce(s.profile, bd.profile) AS profile, least(lo, seed_min) AS lo, greatest(hi, seed_max) AS hi FROM (SELECT profile, min(score) lo, max(score) hi FROM sc GROUP BY profile) s FULL JOIN bd ON bd.profile = s.profile)
+SELECT profile, round(greatest(0, lo - greatest(0.005, (hi - lo) * 0.05)), 3) AS axis_from, round(least(1, hi + greatest(0.005, (hi - lo) * 0.05)), 3) AS axis_to FROM x""")
 def a21(spark, d):
-    s = scores(spark, d).groupBy("profile").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    pad = F.greatest(F.lit(0.005), (F.col("hi") - F.col("lo")) * 0.05)
-    return s.select("profile", F.round(F.greatest(F.lit(0.0), F.col("lo") - pad), 3).alias("axis_from"), F.round(F.least(F.lit(1.0), F.col("hi") + pad), 3).alias("axis_to"))
+    return selection.score_axis(scores(spark, d), selection.seed_band(split(spark, d)[0]))
 
 
 @query("a23_pool_rescore", BASE + "SELECT profile, paper_id, round(sel_norm, 6) AS sel_norm, round(rr_norm, 6) AS rr_norm, round(blended, 6) AS blended, round(pct, 6) AS pct FROM pl")
@@ -139,10 +176,10 @@ def a23(spark, d):
     return pooled(spark, d).select("profile", "paper_id", R("sel_norm"), R("rr_norm"), R("blended"), R("pct"))
 
 
-@query("a26_rank_changes", BASE + """, rk AS (SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY round(score_raw, 9) DESC, paper_id) - row_number() OVER (PARTITION BY profile ORDER BY round(blended, 9) DESC, paper_id) AS moved FROM pl)
+@query("a26_rank_changes", BASE + """, rk AS (SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY round(score_raw, 9) DESC, paper_id) - row_number() OVER (PARTITION BY profile ORDER BY round(blended, 9) DESC, paper_id) AS moved FROM pl WHERE in_pool)
 SELECT profile, round(avg(abs(moved)), 6) AS mean_move, max(moved) AS most_up, min(moved) AS most_down FROM rk GROUP BY profile""")
 def a26(spark, d):
-    m = pool.rank_changes(pooled(spark, d))
+    m = pool.rank_changes(pooled(spark, d).where("in_pool"))
     return m.groupBy("profile").agg(F.round(F.avg(F.abs("moved")), 6).alias("mean_move"), F.max("moved").cast("long").alias("most_up"), F.min("moved").cast("long").alias("most_down"))
 
 
@@ -152,15 +189,16 @@ FEED = BASE + """, f AS (SELECT pl.*, th.threshold, th.seed_min, CASE WHEN score
 
 def feed(spark, d):
     t = thresholds(spark, d)
-    f = pooled(spark, d).join(F.broadcast(t), "profile")  # a row for each profile
+    f = pooled(spark, d).join(t, "profile")
     return f.withColumn("bucket", predicates.bucket(F.col("score_raw"), F.col("threshold"), F.col("seed_min"), F.col("pct")))
 
 
-@query("flagship_feed", FEED + "SELECT profile, paper_id, bucket, round(score_raw, 6) AS score, round(pct, 6) AS pct, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY round(blended, 9) DESC, paper_id) AS k FROM f WHERE bucket <> 'low') WHERE k <= 20")
+@query("flagship_feed", FEED + "SELECT profile, paper_id, bucket, round(score_raw, 6) AS score, round(pct, 6) AS pct, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY paper_id % 13 = 5, round(blended, 9) DESC, paper_id) AS k FROM f WHERE in_pool) WHERE k <= 20")
 def flagship(spark, d):
-    """T-01: the best passing papers of each profile."""
-    k = F.row_number().over(Window.partitionBy("profile").orderBy(F.round("blended", 9).desc(), "paper_id"))
-    f = feed(spark, d).where(predicates.passes(F.col("score_raw"), F.col("threshold"))).withColumn("rank", k).where("rank <= 20")
+    """T-01, P-06: the best papers of each profile's pool, those that were unsaved again last."""
+    unsaved = F.col("paper_id") % 13 == 5
+    k = F.row_number().over(Window.partitionBy("profile").orderBy(unsaved, F.round("blended", 9).desc(), "paper_id"))
+    f = feed(spark, d).where("in_pool").withColumn("rank", k).where("rank <= 20")
     return f.select("profile", "paper_id", "bucket", F.round("score_raw", 6).alias("score"), R("pct"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -182,11 +220,10 @@ def t03(spark, d):
     return pool.fair_shares(n, 60)
 
 
-@query("j08_topic_neighbours", BASE + f"SELECT paper_id, profile AS topic, sim, k AS rank FROM (SELECT e.paper_id, cen.profile, round({cos('e.v', 'cen.c')}, 6) AS sim, row_number() OVER (PARTITION BY e.paper_id ORDER BY round({cos('e.v', 'cen.c')}, 9) DESC, cen.profile) AS k FROM e, cen WHERE {cos('e.v', 'cen.c')} >= 0.05) WHERE k <= 3")
+@query("j08_topic_neighbours", BASE + f"SELECT paper_id, profile AS topic, sim, k AS rank FROM (SELECT e.paper_id, cen.profile, round(round({cos('e.v', 'cen.c')}, 9), 6) AS sim, row_number() OVER (PARTITION BY e.paper_id ORDER BY round({cos('e.v', 'cen.c')}, 9) DESC, cen.profile) AS k FROM e, cen WHERE {cos('e.v', 'cen.c')} >= 0.05) WHERE k <= 3")
 def j08(spark, d):
-    """Each paper's nearest topics. The topic index is small (about 4,500 entries of a fixed vocabulary) and sent whole."""
+    """Each paper's nearest topics, by blocks of the index."""
     v = vectors(spark, d)
-    index = F.broadcast(selection.centroids(v.where("seed")).select(F.col("profile").alias("topic"), "centroid"))
-    near = v.join(index, F.lit(True)).withColumn("c", cosine(F.col("v"), F.col("centroid"))).where("c >= 0.05")
-    k = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.round("c", 9).desc(), "topic"))
-    return near.withColumn("rank", k).where("rank <= 3").select("paper_id", "topic", F.round("c", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    index = selection.centroids(v.where("seed")).select(F.col("profile").alias("topic_id"), F.col("centroid").alias("v"))
+    near = nearest_topics(v.select("paper_id", "v"), index, 3, 0.05)
+    return near.select("paper_id", F.col("topic_id").alias("topic"), F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))

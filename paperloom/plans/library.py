@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import merge, topics
+from paperloom.functions.vectors import doubles
+from paperloom.operators import merge, predicates, retrieval, topics
+from paperloom.plans.interest import cos
 from paperloom.plans.registry import query, table
 
 P = """WITH p AS (SELECT doc_id AS paper_id, text, lang, source, string_split(text, chr(10))[1] AS title, 2000 + doc_id % 25 AS year, (doc_id * 37) % 101 AS cited,
@@ -52,20 +54,31 @@ def f12(spark, d):
 
 @query("f23_read_minutes", P + "SELECT paper_id, greatest(2, round_even(len(ws) / 200.0, 0))::INT AS minutes, CASE WHEN year BETWEEN 1000 AND 2025 THEN year END AS year, floor(cited / 101.0 * 10000 + 1e-9) / 10000 AS cited4 FROM w")
 def f23(spark, d):
-    return papers(spark, d).select("paper_id", T.read_minutes(F.col("text")).alias("minutes"), F.when(F.col("year").between(1000, 2025), F.col("year")).alias("year"), T.floor4(F.col("cited") / 101.0).alias("cited4"))
+    return papers(spark, d).select("paper_id", T.read_minutes(F.col("text")).alias("minutes"), predicates.plausible_year(F.col("year"), 2024).alias("year"), T.floor4(F.col("cited") / 101.0).alias("cited4"))
 
 
-@query("f33_redaction", P + "SELECT paper_id, substr(regexp_replace('see https://x.org/a?key=' || CAST(paper_id AS VARCHAR) || ' or mail a' || CAST(paper_id AS VARCHAR) || '@b.org', '(https?://[^\\s?]+)\\?\\S+', '\\1?...', 'g'), 1, 24) AS head FROM p")
+REDACTED = "regexp_replace(regexp_replace(c, '(https?://[^\\s?''\"<>]+)\\?[^\\s''\"<>]*', '\\1', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g')"
+
+
+def _message(text):
+    """An error text with a query and an address, before the document's own text."""
+    i = F.col("paper_id").cast("string")
+    return F.concat(F.lit("see https://x.org/a?key="), i, F.lit(" or mail a"), i, F.lit("@b.org "), text)
+
+
+def _redaction_sql(text: str) -> str:
+    return P + f", c AS (SELECT paper_id, 'see https://x.org/a?key=' || CAST(paper_id AS VARCHAR) || ' or mail a' || CAST(paper_id AS VARCHAR) || '@b.org ' || {text} AS c FROM p), x AS (SELECT paper_id, {REDACTED} AS x FROM c) SELECT paper_id, CASE WHEN length(x) <= 500 THEN x ELSE substr(x, 1, 499) || '…' END AS redacted FROM x"
+
+
+@query("f33_redaction", _redaction_sql("coalesce(source, '')"))
 def f33(spark, d):
-    c = F.concat(F.lit("see https://x.org/a?key="), F.col("paper_id").cast("string"), F.lit(" or mail a"), F.col("paper_id").cast("string"), F.lit("@b.org"))
-    return papers(spark, d).select("paper_id", F.substring(T.redact(c), 1, 24).alias("head"))
+    return papers(spark, d).select("paper_id", T.redact(_message(F.coalesce("source", F.lit("")))).alias("redacted"))
 
 
-@query("f33_redaction_whole", P + ", c AS (SELECT paper_id, 'see https://x.org/a?key=' || CAST(paper_id AS VARCHAR) || ' or mail a' || CAST(paper_id AS VARCHAR) || '@b.org ' || coalesce(text, '') AS c FROM p) SELECT paper_id, substr(regexp_replace(regexp_replace(c, '(https?://[^\\s?]+)\\?\\S+', '\\1?...', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g'), 1, 500) AS redacted FROM c")
+@query("f33_redaction_whole", _redaction_sql("coalesce(text, '')"))
 def f33_whole(spark, d):
-    """The whole made-up string and the document's text, up to the 500 characters of the feature itself."""
-    c = F.concat(F.lit("see https://x.org/a?key="), F.col("paper_id").cast("string"), F.lit(" or mail a"), F.col("paper_id").cast("string"), F.lit("@b.org "), F.coalesce("text", F.lit("")))
-    return papers(spark, d).select("paper_id", T.redact(c).alias("redacted"))
+    """Over the whole text, up to the 500 characters of the feature itself."""
+    return papers(spark, d).select("paper_id", T.redact(_message(F.coalesce("text", F.lit("")))).alias("redacted"))
 
 
 @query("w09_title_dedupe", P + """, o AS (SELECT *, CASE WHEN length(norm) >= 30 THEN norm ELSE '' END AS tk FROM k),
@@ -88,12 +101,13 @@ def w06(spark, d):
     return merge.first_of(p, F.col("work"), [F.desc(F.col("lang") == "en"), F.desc("cited"), F.col("paper_id")]).select("work", "paper_id", "cited")
 
 
-@query("w07_copies_under_original", P + ", g AS (SELECT paper_id, coalesce(dk, CAST(paper_id AS VARCHAR)) AS g FROM k) SELECT paper_id, row_number() OVER (ORDER BY f, paper_id) AS position FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY g) AS f FROM g) WHERE f < 50")
+@query("w07_copies_under_original", P + ", g AS (SELECT paper_id, coalesce(dk, CAST(paper_id AS VARCHAR)) AS g FROM k) SELECT paper_id, f, row_number() OVER (PARTITION BY f ORDER BY paper_id) AS position FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY g) AS f FROM g)")
 def w07(spark, d):
-    """The first fifty works, each with its copies right below (a page of a list)."""
+    """Every paper, each work's copies right below its first: the list is in the order of (f, position), range-sorted."""
     p = papers(spark, d).select("paper_id", F.coalesce(T.doi_key(F.col("doi")), F.col("paper_id").cast("string")).alias("g"))
-    f = p.groupBy("g").agg(F.min("paper_id").alias("f")).where("f < 50")
-    return p.join(f, "g").select("paper_id", F.row_number().over(Window.orderBy("f", "paper_id")).cast("long").alias("position"))
+    f = p.groupBy("g").agg(F.min("paper_id").alias("f"))
+    position = F.row_number().over(Window.partitionBy("f").orderBy("paper_id")).cast("long")
+    return p.join(f, "g").select("paper_id", "f", position.alias("position")).orderBy("f", "position")
 
 
 @query("w07_all_copies_under_original", P + ", g AS (SELECT paper_id, coalesce(dk, CAST(paper_id AS VARCHAR)) AS g FROM k) SELECT paper_id, min(paper_id) OVER (PARTITION BY g) AS f, row_number() OVER (PARTITION BY g ORDER BY paper_id) AS position FROM g")
@@ -108,7 +122,7 @@ def w07_all(spark, d):
 SELECT paper_id, min(o) AS owner FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY key) AS o FROM e) GROUP BY paper_id""")
 def j10(spark, d):
     """The least owner of any key of a paper; owners by key are aggregated before the join, so common keys do no harm."""
-    e = papers(spark, d).select("paper_id", F.explode(T.paper_keys(F.col("doi"), F.col("title"))).alias("key"))
+    e = papers(spark, d).select("paper_id", F.explode(T.paper_keys(T.doi_key(F.col("doi")), F.col("title"))).alias("key"))
     return e.join(e.groupBy("key").agg(F.min("paper_id").alias("o")), "key").groupBy("paper_id").agg(F.min("o").alias("owner"))
 
 
@@ -185,17 +199,26 @@ def w04x(spark, d):
     return topics.round_robin(r, 30).select("profile", "paper_id", "position")
 
 
-@query("v08_chunk_retrieval", P + """, c AS (SELECT paper_id, unnest(range(0, greatest(0, ceil((len(ws) - 120) / 100.0))::BIGINT + 1)) AS i, ws FROM w WHERE len(ws) > 0),
-s AS (SELECT paper_id, i, len(list_filter(ws[i * 100 + 1 : i * 100 + 120], lambda x: x IN ('the', 'of', 'and'))) AS score FROM c),
-a AS (SELECT * FROM s ORDER BY score DESC, paper_id, i LIMIT 80), b AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, i) AS n FROM a)
-SELECT paper_id, CAST(i AS INT) AS chunk_index, CAST(score AS INT) AS score FROM b WHERE n <= 4 ORDER BY score DESC, paper_id, i LIMIT 20""")
+COLLECTION = "WITH c AS (SELECT vec_id AS chunk_id, vec_id // 8 AS paper_id, CASE vec_id % 4 WHEN 0 THEN '|p' || label || '|' WHEN 1 THEN '|p' || label || '|extra|' ELSE '|p' || label % 5 || '|' END AS slugs, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)\n"
+
+
+def collection(spark, d):
+    """Stored chunks: eight vectors a paper, tagged with the slugs of its profiles."""
+    i, own = F.col("vec_id"), F.concat(F.lit("|p"), F.col("label"), F.lit("|"))
+    slugs = F.when(i % 4 == 0, own).when(i % 4 == 1, F.concat(own, F.lit("extra|"))).otherwise(F.concat(F.lit("|p"), F.col("label") % 5, F.lit("|")))
+    return table(spark, d, "embeddings").select(i.alias("chunk_id"), F.floor(i / 8).alias("paper_id"), slugs.alias("slugs"), doubles(F.col("embedding")).alias("v"))
+
+
+@query("v08_chunk_retrieval", COLLECTION[:-1] + f""", q AS (SELECT chunk_id AS question, v AS w FROM c WHERE chunk_id IN (0, 111, 222)),
+s AS (SELECT question, c.chunk_id, paper_id, round(1 - {cos('v', 'w')}, 9) AS far FROM c, q WHERE slugs IN ('|p1|', '|p2|', '|p3|')),
+a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question ORDER BY far, chunk_id) <= 80),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY question, paper_id ORDER BY far, chunk_id) <= 4)
+SELECT question, chunk_id, paper_id, round(greatest(0, least(1, 1 - far)), 6) AS score, row_number() OVER (PARTITION BY question ORDER BY far, chunk_id) AS rank FROM b QUALIFY rank <= 20""")
 def v08(spark, d):
-    """W-03: of the best 80 chunks for a query at most 4 of a paper, then 20 (the score is a count of query words)."""
-    c = papers(spark, d).select("paper_id", F.posexplode(T.chunks(F.col("text"), 120, 20)).alias("chunk_index", "body"))
-    s = c.select("paper_id", "chunk_index", F.size(F.filter(F.split("body", " "), lambda x: x.isin("the", "of", "and"))).alias("score"))
-    best = s.orderBy(F.desc("score"), "paper_id", "chunk_index").limit(80)
-    n = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("score"), "chunk_index"))
-    return best.withColumn("n", n).where("n <= 4").orderBy(F.desc("score"), "paper_id", "chunk_index").limit(20).drop("n")
+    """W-03, F-35, F-36: passages for three questions within the scope of three profiles."""
+    c = collection(spark, d)
+    questions = c.where(F.col("chunk_id").isin(0, 111, 222)).select(F.col("chunk_id").alias("question"), F.col("v").alias("w"))
+    return retrieval.retrieved(c, questions, ["p1", "p2", "p3"], 20).select("question", "chunk_id", "paper_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("s11_last_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")

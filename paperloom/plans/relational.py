@@ -33,9 +33,11 @@ def semi(spark, d):
     return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("j04_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j04_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000)")
 def anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large urgent order."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 100000")
+    return table(spark, d, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j14_null_safe_join", "WITH a AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier), b AS (SELECT k, count(*) AS n FROM a GROUP BY k) SELECT s_suppkey, n FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.state import triage
+from paperloom.operators.state import folded, folded_again
 
 ACTIONS = ("saved", "dismissed", "unsaved", "shown", "snoozed")
 
@@ -21,13 +21,25 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "action").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "action", "n")
 
 
+def latest(state: str) -> str | None:
+    """The snapshot that the last finished batch left, by its number; None before the first."""
+    import glob
+
+    done = sorted(glob.glob(f"{state}/snapshot/batch=*/_SUCCESS"), key=lambda p: int(p.split("batch=")[1].split("/")[0]))
+    return done[-1].removesuffix("/_SUCCESS") if done else None
+
+
 def keep_triage(events: DataFrame, state: str, checkpoint: str):
-    """Events of each batch are added to the log once, by batch number, and the triage snapshot is folded from the log."""
+    """The triage of each card as a partial fold that takes in one batch at a time: a batch's events are folded by card and
+    merged with the last snapshot, which is all that is read. A batch repeated after a failure starts from the snapshot
+    before its own number again, so that it counts once. Snapshots are numbered; the largest finished one is current."""
 
     def batch(df: DataFrame, number: int):
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{state}/log/batch={number}")
-        log = spark.read.parquet(f"{state}/log").drop("batch")
-        triage(log).write.mode("overwrite").parquet(f"{state}/snapshot/{number % 2}")
+        before = f"{state}/snapshot/batch={number - 1}"
+        new = folded(df)
+        if number:
+            new = folded_again(spark.read.parquet(before).unionByName(new))
+        new.write.mode("overwrite").parquet(f"{state}/snapshot/batch={number}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
