@@ -63,10 +63,14 @@ def repeated_keys(buckets: DataFrame) -> DataFrame:
 
     With a boolean column own, a key must be some id's own as well: ids that only probe it are no candidates of each other.
     """
-    own = F.max("own") if "own" in buckets.columns else F.lit(True)
-    keys = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), own.alias("own"))
-    shared = saved(keys.where("lo <> hi and own").select("key"), "keys")
-    return saved(buckets.select("key", "id").join(bounded(shared), "key").distinct(), "members")
+    keys = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = saved(keys.where("lo <> hi").select("key"), "keys")
+    members = buckets.join(bounded(shared), "key")
+    if "own" not in buckets.columns:
+        return saved(members.distinct(), "members")
+    members = saved(members.groupBy("key", "id").agg(F.max("own").alias("own")), "sided")
+    owned = saved(members.where("own").select("key").distinct(), "owned")
+    return saved(members.select("key", "id").join(bounded(owned), "key"), "members")
 
 
 def _carried(batches):
