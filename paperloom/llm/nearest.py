@@ -135,8 +135,11 @@ def scan(index: Index, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, x: np.n
     exact = index.rounded(q)
     best_s, best_i, filled = np.zeros((n, 0)), np.zeros((n, 0), np.int64), np.zeros((n, 0), bool)
     reach = np.full(n, np.inf)  # squared distance of the k-th best so far
-    for at in range(0, len(x), AT_ONCE):
-        part = slice(at, at + AT_ONCE)
+    # few vectors first, as nothing can be given up before k are known
+    sizes = [64 << i for i in range(64) if 64 << i < AT_ONCE]
+    cuts = np.unique(np.minimum(np.concatenate(([0], np.cumsum(sizes), np.arange(sum(sizes), len(x) + AT_ONCE, AT_ONCE))), len(x)))
+    for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part = slice(at, end)
         alive, seen = qrow[:, None] != rows[None, part], 0
         far = np.zeros(alive.shape)
         bar = lambda seen: (reach if seen >= dims else reach * seen / dims * (1 + EPSILON / np.sqrt(seen)) ** 2) + SLACK
