@@ -24,15 +24,14 @@ def surname(c: Column) -> Column:
 
 
 def doi_key(c: Column) -> Column:
-    """Lower case without URL or scheme prefix; null unless it begins 10."""
-    k = F.regexp_replace(F.lower(F.trim(c)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", "")
-    k = F.regexp_replace(k, r"[.,;)\]]+$", "")
-    return F.when(k.startswith("10."), k)
+    """Lower case without URL or scheme prefix and final punctuation; null unless it begins 10."""
+    k = F.trim(F.regexp_replace(F.lower(F.trim(c)), r"^(https?://(dx\.)?doi\.org/|doi:)", ""))
+    return F.when(k.startswith("10."), F.regexp_replace(k, "[.,;]+$", ""))
 
 
 def plain_doi(c: Column) -> Column:
     """As paper keys have it: lower case, without URL or scheme prefix, whatever is left."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"^(https?://doi\.org/|doi:)", "")
+    return F.regexp_replace(F.lower(F.trim(c)), r"^(https://doi\.org/)?(http://doi\.org/)?(doi:)?", "")
 
 
 def paper_keys(doi: Column, title: Column, year: Column | None = None, authors: Column | None = None) -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
     """A new snapshot of old with new merged in. Rules by column: new (replaces), keep (old wins), fill (new unless null),
-    text (new unless null or empty). `is_new` tells rows that old did not have."""
+    fill_missing (old unless null), text (new unless null or empty). `is_new` tells rows that old did not have."""
     o = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in rules], F.lit(True).alias("o_there"))
     n = new.select(*keys, *[F.col(c).alias(f"n_{c}") for c in rules], F.lit(True).alias("n_there"))
     pick = {
         "new": lambda a, b: F.when(F.col("n_there"), b).otherwise(a),
         "keep": lambda a, b: F.when(F.col("o_there"), a).otherwise(b),
         "fill": lambda a, b: F.coalesce(b, a),
+        "fill_missing": lambda a, b: F.coalesce(a, b),
         "text": lambda a, b: F.coalesce(F.nullif(b, F.lit("")), a),
     }
     out = o.join(n, keys, "full_outer")
@@ -39,3 +40,8 @@ def unused(rows: DataFrame, key: str, *uses: DataFrame) -> DataFrame:
     for u in uses[1:]:
         used = used.unionByName(u.select(key))
     return rows.join(used, key, "left_anti")
+
+
+def swapped(rows: DataFrame, draft: DataFrame, key: str) -> DataFrame:
+    """rows with those of the keys that draft has taken out and the draft's own put in."""
+    return rows.join(draft.select(key).distinct(), key, "left_anti").unionByName(draft)

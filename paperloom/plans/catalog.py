@@ -1,6 +1,6 @@
 """All queries of the package by name, and their SQL."""
 
-from paperloom.plans import interest, labels, library, relational, triage  # noqa: F401
+from paperloom.plans import cards, interest, labels, library, relational, triage, vault  # noqa: F401
 from paperloom.plans.registry import ORACLES, QUERIES
 
 
