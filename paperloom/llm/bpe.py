@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 2 << 20, 500_000
+CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 100_000, 64, 1 << 20, 250_000
 #: Fixed values of the tokenizer file's rules; white space is Unicode's, without the separators 0x1C to 0x1F.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -54,7 +54,9 @@ STILL = (
 #: Lower case that str.lower does not know yet.
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-ODD = regex.compile(f"[{LATER}{STILL}{''.join(map(chr, LOWER))}]")
+ODD = re.compile(f"[{LATER}{STILL}{''.join(map(chr, LOWER))}]")
+#: All odd code points lie from the first of LATER on, where few texts have any.
+FAR = re.compile("[^\x00-\u0557]")
 STILL_ONE = regex.compile(f"([{STILL}])")
 ODD_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{LATER}]]+|[\p{{N}}--[{LATER}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER}]]+", regex.V1)
 
@@ -136,11 +138,12 @@ class TrieEncoder:
 
         tail: the last symbols of the prefix; starts: the places in the word, ascending, from where the prefix before
         the last symbol still began a token."""
-        ids, follows, out = self.ids, self.follows, len(states) - len(tail)  # so many symbols lie before the tail
-        for k in starts:
-            token = tail[k - out :] + end
+        ids, follows = self.ids, self.follows
+        out = len(states) - self.longest  # so many symbols, if any, lie before the tail
+        for k in starts if out <= 0 else [s - out for s in starts]:
+            token = tail[k:] + end
             if token in ids:
-                before = states[k]
+                before = states[k if out <= 0 else k + out]
                 pair = (before and before[0], token)
                 ok = follows.get(pair)
                 if ok is None:
@@ -177,9 +180,12 @@ class TrieEncoder:
                     state = state[1]
                 out[below] = ids[::-1]
             else:
-                tail = (tails[-1] + symbol)[-longest:]
-                at = len(states) - len(tail)
-                live = [k for k in starts[-1] if tail[k - at :] in begun]
+                tail, at = tails[-1] + symbol, len(states) - longest
+                if at <= 0:
+                    live = [k for k in starts[-1] if tail[k:] in begun]
+                else:
+                    tail = tail[-longest:]
+                    live = [k for k in starts[-1] if tail[k - at :] in begun]
                 states.append(self.last_token(tail, "", states, live))
                 starts.append([*live, len(states) - 1])
                 tails.append(tail)
@@ -190,7 +196,7 @@ class TrieEncoder:
         """The words of a text without special tokens: composed, lower-cased by code point (a final sigma is as any)."""
         if text.isascii():
             return ASCII_WORD.findall(text.lower())
-        if ODD.search(text):
+        if FAR.search(text) and ODD.search(text):
             text = "".join([unicodedata.normalize("NFC", part) for part in STILL_ONE.split(text)]).replace("\u03a3", "\u03c3")
             return ODD_WORD.findall(text.translate(LOWER).lower())
         return WORD.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
