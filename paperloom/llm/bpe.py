@@ -27,7 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 1 << 20, 250_000
+CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 2 << 20, 250_000
+#: Symbols of a word from which on it is walked alone.
+DEEP = 200
 #: Fixed values of the tokenizer file's rules; white space is Unicode's, without the separators 0x1C to 0x1F.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -84,7 +86,9 @@ class TrieEncoder:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
-        self.text_of = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        text_of = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        # tokens as decimal ids, and as decoding gives them back: joined by spaces, as files without a decoder say
+        self.number, self.text = {t: str(i) for t, i in self.ids.items()}, {t: text_of[i] for t, i in self.ids.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
         self.begun = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
@@ -133,65 +137,94 @@ class TrieEncoder:
             else:
                 bar, b = y + 1, halves[b][0]
 
-    def last_token(self, tail: str, end: str, states: list, starts: list[int]) -> tuple:
-        """The state of a prefix (with end, of a word) from the states of all shorter ones.
-
-        tail: the last symbols of the prefix; starts: the places in the word, ascending, from where the prefix before
-        the last symbol still began a token."""
-        ids, follows = self.ids, self.follows
-        out = len(states) - self.longest  # so many symbols, if any, lie before the tail
-        for k in starts if out <= 0 else [s - out for s in starts]:
-            token = tail[k:] + end
-            if token in ids:
-                before = states[k if out <= 0 else k + out]
-                pair = (before and before[0], token)
-                ok = follows.get(pair)
-                if ok is None:
-                    if len(follows) > PAIRS:
-                        follows.clear()
-                    ok = follows[pair] = self.may_follow(*pair)
-                if ok:
-                    return (token, before)
-        raise ValueError(f"no token ends {tail!r}")
-
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Words of byte symbols, without end mark -> ids."""
+    def stands(self, pair: tuple[str | None, str]) -> bool:
+        """may_follow, remembered."""
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
+        ok = self.follows[pair] = self.may_follow(*pair)
+        return ok
+
+    def encode_words(self, words: set[str]) -> dict[str, list[str]]:
+        """Words of byte symbols, without end mark -> their tokens.
+
+        A node is entered with its prefix and the places, ascending, from where the prefix still begins a token; states
+        holds the states of all prefixes above."""
         trie: dict = {}
         for w in words:
             node = trie
             for c in w[:-1]:
                 node = node.setdefault(c, {})
-            node[w[-1], self.end] = w
-        out, tails, states, stack, begun, longest = {}, [""], [None], [iter(trie.items())], self.begun, self.longest
-        starts: list[list[int]] = [[0]]
-        while stack:
-            step = next(stack[-1], None)
-            if step is None:
-                stack.pop()
-                tails.pop()
+            node[w[-1],] = w
+        ids, begun, follows, end, stands = self.ids, self.begun, self.follows, self.end, self.stands
+        out: dict[str, list[str]] = {}
+        states: list[tuple | None] = [None]
+
+        def enter(node: dict, prefix: str, starts: list[int]):
+            for symbol, below in node.items():
+                last = None
+                if below.__class__ is str:  # a complete word
+                    for k in starts:
+                        token = below[k:] + end
+                        if token in ids:
+                            before = states[k]
+                            pair = (before and before[0], token)
+                            ok = follows.get(pair)
+                            if stands(pair) if ok is None else ok:
+                                last = (token, before)
+                                break
+                    out[below] = self.tokens(last, below)
+                    continue
+                here, live = prefix + symbol, []
+                for k in starts:
+                    token = here[k:]
+                    if token in begun:
+                        live.append(k)
+                        if last is None and token in ids:
+                            before = states[k]
+                            pair = (before and before[0], token)
+                            ok = follows.get(pair)
+                            if stands(pair) if ok is None else ok:
+                                last = (token, before)
+                live.append(len(states))
+                states.append(last)
+                enter(below, here, live)
                 states.pop()
-                starts.pop()
-                continue
-            symbol, below = step
-            if isinstance(below, str):  # a complete word
-                state, ids = self.last_token((tails[-1] + below[-1])[-longest:], self.end, states, starts[-1]), []
-                while state:
-                    ids.append(self.ids[state[0]])
-                    state = state[1]
-                out[below] = ids[::-1]
-            else:
-                tail, at = tails[-1] + symbol, len(states) - longest
-                if at <= 0:
-                    live = [k for k in starts[-1] if tail[k:] in begun]
-                else:
-                    tail = tail[-longest:]
-                    live = [k for k in starts[-1] if tail[k - at :] in begun]
-                states.append(self.last_token(tail, "", states, live))
-                starts.append([*live, len(states) - 1])
-                tails.append(tail)
-                stack.append(iter(below.items()))
+
+        enter(trie, "", [0])
+        enter = None  # else it would hold itself, and the words
         return out
 
+    def encode_long(self, word: str) -> list[str]:
+        """The same for one long word, from its first symbol to its last; only as many symbols back as a token has."""
+        states, starts, ids, longest = [None], [0], self.ids, self.longest
+        for n in range(1, len(word) + 1):
+            end = self.end if n == len(word) else ""
+            part = word[max(0, n - longest) : n]
+            gone, last, live = n - len(part), None, []
+            for k in starts:
+                token = part[k - gone :] + end
+                if not end and token not in self.begun:
+                    continue
+                live.append(k)
+                if last is None and token in ids:
+                    pair = (states[k] and states[k][0], token)
+                    ok = self.follows.get(pair)
+                    if self.stands(pair) if ok is None else ok:
+                        last = (token, states[k])
+            states.append(last)
+            starts = [*live, n]
+        return self.tokens(states[-1], word)
+
+    @staticmethod
+    def tokens(state: tuple | None, word: str) -> list[str]:
+        if state is None:
+            raise ValueError(f"no token ends {word!r}")
+        out = []
+        while state:
+            out.append(state[0])
+            state = state[1]
+        return out[::-1]
+
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens: composed, lower-cased by code point (a final sigma is as any)."""
         if text.isascii():
@@ -201,19 +234,18 @@ class TrieEncoder:
             return ODD_WORD.findall(text.translate(LOWER).lower())
         return WORD.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as files without a decoder say; special tokens stay."""
-        return " ".join([self.text_of[i] for i in ids])
-
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
         """Ids as text, their number and the decoding of each word."""
         symbols = {w: "".join([self.bytes[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words}
         gc.disable()  # tries and states are many and hold no cycles
         try:
-            ids = self.encode_words(set(symbols.values()))
+            short = {s for s in symbols.values() if len(s) <= DEEP}
+            tokens = self.encode_words(short)
+            tokens.update((s, self.encode_long(s)) for s in symbols.values() if len(s) > DEEP)
         finally:
             gc.enable()
-        return {w: (" ".join(map(str, i)), len(i), self.decode(i)) for w, s in symbols.items() for i in (ids[s],)}
+        number, text = self.number, self.text
+        return {w: (" ".join([number[x] for x in t]), len(t), " ".join([text[x] for x in t])) for w, s in symbols.items() for t in (tokens[s],)}
 
     def split(self, text: str) -> list[str]:
         """Words, and special tokens (upper case or not, they are no words) as they stand."""
