@@ -144,4 +144,4 @@ def test_streams_equal_batches(spark, tmp_path):
     assert feedback.latest(f"{tmp_path}/state").endswith("batch=1")
     q = feedback.windowed_counts(read()).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("w").agg(F.sum("n")).first()[0] == 120
+    assert spark.table("w").agg(F.sum("n")).first()[0] == 150
