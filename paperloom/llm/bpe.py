@@ -147,50 +147,75 @@ class TrieEncoder:
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
         """Words of byte symbols, without end mark -> their tokens.
 
-        A node is entered with its prefix and the places, ascending, from where the prefix still begins a token; states
-        holds the states of all prefixes above."""
+        In the trie a word hangs where no other shares its way any more; its end, where others go on, is under None. A node
+        is entered with its prefix, the places, ascending, from where the prefix still begins a token, and those of the
+        prefix before it; states holds the states of all prefixes above."""
         trie: dict = {}
         for w in words:
-            node = trie
-            for c in w[:-1]:
-                node = node.setdefault(c, {})
-            node[w[-1],] = w
+            node, i, n = trie, 0, len(w)
+            while True:
+                below = node.get(w[i])
+                if below is None:
+                    node[w[i]] = w
+                    break
+                if below.__class__ is str:
+                    node[w[i]] = {below[i + 1] if len(below) > i + 1 else None: below}
+                    below = node[w[i]]
+                node, i = below, i + 1
+                if i == n:
+                    node[None] = w
+                    break
         ids, begun, follows, end, stands = self.ids, self.begun, self.follows, self.end, self.stands
         out: dict[str, list[str]] = {}
         states: list[tuple | None] = [None]
 
-        def enter(node: dict, prefix: str, starts: list[int]):
+        def after(starts: list[int], word: str, to: int, live: list[int]) -> tuple | None:
+            """The state of word[:to]; the starts from which that begins a token are added to live."""
+            last = None
+            for k in starts:
+                token = word[k:to]
+                if token in begun:
+                    live.append(k)
+                    if last is None and token in ids:
+                        before = states[k]
+                        pair = (before and before[0], token)
+                        ok = follows.get(pair)
+                        if stands(pair) if ok is None else ok:
+                            last = (token, before)
+            live.append(to)
+            return last
+
+        def complete(starts: list[int], word: str):
+            for k in starts:
+                token = word[k:] + end
+                if token in ids:
+                    before = states[k]
+                    pair = (before and before[0], token)
+                    ok = follows.get(pair)
+                    if stands(pair) if ok is None else ok:
+                        out[word] = self.tokens((token, before), word)
+                        return
+            raise ValueError(f"no token ends {word!r}")
+
+        def enter(node: dict, prefix: str, starts: list[int], above: list[int]):
             for symbol, below in node.items():
-                last = None
-                if below.__class__ is str:  # a complete word
-                    for k in starts:
-                        token = below[k:] + end
-                        if token in ids:
-                            before = states[k]
-                            pair = (before and before[0], token)
-                            ok = follows.get(pair)
-                            if stands(pair) if ok is None else ok:
-                                last = (token, before)
-                                break
-                    out[below] = self.tokens(last, below)
-                    continue
-                here, live = prefix + symbol, []
-                for k in starts:
-                    token = here[k:]
-                    if token in begun:
-                        live.append(k)
-                        if last is None and token in ids:
-                            before = states[k]
-                            pair = (before and before[0], token)
-                            ok = follows.get(pair)
-                            if stands(pair) if ok is None else ok:
-                                last = (token, before)
-                live.append(len(states))
-                states.append(last)
-                enter(below, here, live)
-                states.pop()
-
-        enter(trie, "", [0])
+                if symbol is None:
+                    complete(above, below)
+                elif below.__class__ is str:  # the rest of one word
+                    depth, at = len(states), starts
+                    for to in range(depth, len(below)):
+                        live: list[int] = []
+                        states.append(after(at, below, to, live))
+                        at = live
+                    complete(at, below)
+                    del states[depth:]
+                else:
+                    live, here = [], prefix + symbol
+                    states.append(after(starts, here, len(here), live))
+                    enter(below, here, live, starts)
+                    states.pop()
+
+        enter(trie, "", [0], [])
         enter = None  # else it would hold itself, and the words
         return out
 
