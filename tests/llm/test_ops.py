@@ -476,6 +476,30 @@ def test_a_key_of_many_unlike_members(spark):
     assert got == {(i + 1, i) for i in range(0, n, 300) if distance(text[i], text[i + 1]) <= 2}
 
 
+def test_personal_report_on_random_texts(spark):
+    """The literal contract of op8 on random texts: counts, digest and order."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    r = random.Random(16)
+    parts = ["4111 1111 1111 1111", "4111-1111", "5500000000000004", "+49 (30) 1234567", "+1", "10.0.0.1", "256.1.1.1", ".", " ", "-", "7", "a@b.org", "@", "é", "x", "\n", "()"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(1500)]
+
+    def valid(kind, t):
+        digits = re.sub("[^0-9]", "", t)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in t.split("."))
+        if kind == "card":
+            twice = [sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))]
+            return 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    out = {x["doc_id"]: x for x in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found = {k: [(m.start(), m.end()) for m in re.finditer(p, t) if valid(k, m[0])] for k, p in patterns.items()}
+        assert [out[i][f"n_{k}"] for k in patterns] == [len(v) for v in found.values()], t
+        want = ",".join(f"{k}:{a}:{b}" for k, v in found.items() for a, b in v)
+        assert out[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_very_long_texts(spark):
     hexes = " ".join(f"{i:020x}" for i in range(40_000))
     t = time.time()
