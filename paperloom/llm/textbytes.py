@@ -63,6 +63,26 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
+def parts(texts: pa.Array, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Like pieces(), with the index of each text; but a text longer than PIECE comes in several parts of about PIECE bytes,
+    each cut behind a byte that is not inside, so that no run of inside bytes (a table by byte) is ever cut."""
+    for at, end, buf, offs in pieces(texts):
+        if len(buf) <= PIECE:
+            yield np.arange(at, end), buf, offs
+            continue
+        start = 0
+        while start < len(buf):
+            stop, looked = min(len(buf), start + PIECE), start
+            while stop < len(buf):
+                outside = np.flatnonzero(~inside[buf[looked:stop]])
+                if len(outside):
+                    stop = looked + int(outside[-1]) + 1
+                    break
+                looked, stop = stop, min(len(buf), stop + PIECE)
+            yield np.array([at]), buf[start:stop], np.array([0, stop - start])
+            start = stop
+
+
 def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True, cut at the offsets."""
     if not len(inside):
