@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.selection import rank_percentile
+from paperloom.operators.ranking import placed, quantiles, share
 
 ALPHA, BETA = 0.4, 0.6
 
@@ -12,15 +12,15 @@ def rescored(pool: DataFrame, alpha: float = ALPHA, beta: float = BETA) -> DataF
     """pool (profile, paper_id, score_raw, logit) plus sel_norm, rr_norm, blended, pct.
 
     A flat pool has span 1. A missing logit counts as the median of the normalised logits, and without any logit the
-    selector ranks alone. Statistics are aggregated by profile and joined back; the percentile is a window by profile.
+    selector ranks alone. Statistics are aggregated by profile and joined back; median and percentile are read off ranges.
     """
-    stats = pool.groupBy("profile").agg(F.min("score_raw").alias("s0"), F.max("score_raw").alias("s1"), F.min("logit").alias("r0"), F.max("logit").alias("r1"), F.percentile("logit", 0.5).alias("rm"))
+    stats = pool.groupBy("profile").agg(F.min("score_raw").alias("s0"), F.max("score_raw").alias("s1"), F.min("logit").alias("r0"), F.max("logit").alias("r1")).join(quantiles(pool, ["profile"], "logit", {"rm": 0.5}).drop("members"), "profile", "left")
     span = lambda lo, hi: F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)).otherwise(1.0)
     out = pool.join(stats, "profile").withColumn("sel_norm", F.coalesce((F.col("score_raw") - F.col("s0")) / span("s0", "s1"), F.lit(0.0)))
     out = out.withColumn("rr_norm", (F.col("logit") - F.col("r0")) / span("r0", "r1"))
     out = out.withColumn("blended", alpha * F.col("sel_norm") + beta * F.coalesce("rr_norm", (F.col("rm") - F.col("r0")) / span("r0", "r1")))
-    out = out.withColumn("pct", rank_percentile([F.round(F.coalesce("blended", "sel_norm"), 9).desc(), F.col("paper_id")], "profile"))
-    return out.drop("s0", "s1", "r0", "r1", "rm")
+    out = placed(out.drop("s0", "s1", "r0", "r1", "rm"), ["profile"], F.round(F.coalesce("blended", "sel_norm"), 9).desc(), F.col("paper_id").asc())
+    return out.withColumn("pct", share(F.col("place"), F.col("members"))).drop("place", "members")
 
 
 def rescored_members(rows: DataFrame, member: str, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
@@ -31,9 +31,8 @@ def rescored_members(rows: DataFrame, member: str, alpha: float = ALPHA, beta: f
 
 def rank_changes(pool: DataFrame) -> DataFrame:
     """Ranks by selector and by blend, and how far each row moved (positive: up)."""
-    w = Window.partitionBy("profile")
-    by = lambda c: F.row_number().over(w.orderBy(F.round(c, 9).desc(), "paper_id"))
-    return pool.withColumn("old_rank", by("score_raw")).withColumn("new_rank", by("blended")).withColumn("moved", F.col("old_rank") - F.col("new_rank"))
+    by = lambda df, c, name: placed(df, ["profile"], F.round(c, 9).desc(), F.col("paper_id").asc()).withColumn(name, F.col("place") + 1).drop("place", "members")
+    return by(by(pool, "score_raw", "old_rank"), "blended", "new_rank").withColumn("moved", F.col("old_rank") - F.col("new_rank"))
 
 
 def fair_shares(sizes: DataFrame, limit: int) -> DataFrame:

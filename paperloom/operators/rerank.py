@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.vectors import dot, mean_vector, norm
 from paperloom.operators.pool import ALPHA, BETA
-from paperloom.operators.selection import rank_percentile
+from paperloom.operators.ranking import placed, share
 
 #: Chunks whose best similarities are averaged, share of the pooled score, queries of a profile.
 TOP_CHUNKS, POOLED, MOST_QUERIES = 3, 0.5, 30
@@ -26,7 +26,8 @@ def batch_blend(rows: DataFrame, alpha: float = ALPHA, beta: float = BETA) -> Da
     out = rows.join(s, ["profile", "batch"])
     out = out.withColumn("sel_norm", (F.col("score_raw") - F.col("s0")) / span("s0", "s1")).withColumn("rr_norm", (F.col("logit") - F.col("r0")) / span("r0", "r1"))
     out = out.withColumn("blended", alpha * F.col("sel_norm") + beta * F.col("rr_norm")).drop("s0", "s1", "r0", "r1")
-    return out.withColumn("pct", rank_percentile([F.round("blended", 9).desc(), F.col("paper_id")], "profile", "batch"))
+    out = placed(out, ["profile", "batch"], F.round("blended", 9).desc(), F.col("paper_id").asc())
+    return out.withColumn("pct", share(F.col("place"), F.col("members"))).drop("place", "members")
 
 
 def unit_chunks(chunks: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Which rows are one work: first owners of keys, fuzzy titles, lookups with redirection, a ladder of identifiers."""
 
+import tempfile
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -11,19 +13,23 @@ from pyspark.sql.types import DoubleType
 SAME_TITLE = 0.90
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); a new local one only where the setting is absent."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset")
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that the cluster shares (spark.checkpoint.dir), so that rounds do not pile up plans."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset")
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="paperloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+    """df, written once to the shared folder and read again: plans do not pile up, lost executors cost a task, and Spark
+    knows the table's size when it joins it."""
+    at = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def first_owners(batch: DataFrame, stored: DataFrame) -> DataFrame:

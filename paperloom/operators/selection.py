@@ -9,22 +9,19 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import bar_floor
 from paperloom.functions.vectors import cosine, dot, mean_vector, norm, safe_cosine
+from paperloom.operators.ranking import order_statistics, placed, share
 
 #: Fixed values of the threshold rule.
 MARGIN, LEAST_PCT, MOST_PCT, ALONE_PCT, ENOUGH, FALLBACK = 0.01, 0.75, 0.98, 0.90, 10, 0.90
 
 
-def rank_percentile(order: list[Column], *partition: str) -> Column:
-    """(n - 1 - rank) / (n - 1), 1 for a lone row; ties are broken by the order given, not shared."""
-    n = F.count("*").over(Window.partitionBy(*partition))
-    r = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
-    return F.when(n <= 1, 1.0).otherwise((n - 1 - r) / (n - 1))
+def seeds_of(vectors: DataFrame, k: Column, most: int) -> DataFrame:
+    """The vectors of the k least paper_ids of each profile; k may depend on the profile and is at most `most`.
 
-
-def seeds_of(vectors: DataFrame, k: Column) -> DataFrame:
-    """The k least paper_ids of each profile (k may depend on it), as `seed`."""
+    Only ids are ranked, of which a task keeps no more than `most` a profile before any shuffle."""
     r = F.row_number().over(Window.partitionBy("profile").orderBy("paper_id"))
-    return vectors.withColumn("seed", r <= k)
+    first = vectors.select("profile", "paper_id").withColumn("r", r).where(F.col("r") <= most).where(F.col("r") <= k)
+    return vectors.join(first.select("profile", "paper_id"), ["profile", "paper_id"])
 
 
 def centroids(seeds: DataFrame) -> DataFrame:
@@ -32,7 +29,7 @@ def centroids(seeds: DataFrame) -> DataFrame:
 
 
 def scored(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """paper_id, profile, score (to the centroid), max_seed, median_seed; the percentile precedes any threshold.
+    """candidates with score (to the centroid), max_seed, median_seed in place of their vectors.
 
     A profile's seeds, few, lie with their norms in one array beside its centroid, so that a candidate meets them in its
     own row; the join with these rows, one a profile, is broadcast or shuffled by their measured size."""
@@ -40,11 +37,18 @@ def scored(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     own = own.join(centroids(seeds), "profile")
     at = candidates.join(own, "profile").withColumn("n", norm(F.col("v")))
     sims = F.sort_array(F.transform("seeds", lambda s: safe_cosine(dot(F.col("v"), s["v"]), F.col("n") * s["n"])))
-    at = at.select("profile", "paper_id", cosine(F.col("v"), F.col("centroid")).alias("score"), sims.alias("sims"))
+    keep = [c for c in candidates.columns if c != "v"]
+    at = at.select(*keep, cosine(F.col("v"), F.col("centroid")).alias("score"), sims.alias("sims"))
     k = F.size("sims")
     middle = (F.element_at("sims", F.floor((k + 1) / 2).cast("int")) + F.element_at("sims", F.floor((k + 2) / 2).cast("int"))) / 2
-    out = at.select("profile", "paper_id", "score", F.element_at("sims", -1).alias("max_seed"), middle.alias("median_seed"))
-    return out.withColumn("score_pct", rank_percentile([F.round("score", 9).desc(), F.col("paper_id")], "profile"))
+    return at.select(*keep, "score", F.element_at("sims", -1).alias("max_seed"), middle.alias("median_seed"))
+
+
+def by_score(scores: DataFrame) -> DataFrame:
+    """scores with place and members of the profile's rows from the best to the least, and score_pct; this precedes any
+    threshold. Scores count up to nine digits, ties go by paper_id."""
+    out = placed(scores, ["profile"], F.round("score", 9).desc(), F.col("paper_id").asc())
+    return out.withColumn("score_pct", share(F.col("place"), F.col("members")))
 
 
 def seed_pairs(seeds: DataFrame) -> DataFrame:
@@ -88,10 +92,13 @@ def seed_band(seeds: DataFrame) -> DataFrame:
 def suggested_threshold(profiles: DataFrame, scores: DataFrame, band: DataFrame) -> DataFrame:
     """seed_min and threshold for each of profiles: a little under the least typical seed, within the range where it
     parts the candidates; from the candidates alone without a band; a fixed value with neither."""
-    q = scores.groupBy("profile").agg(F.percentile("score", F.array(F.lit(LEAST_PCT), F.lit(MOST_PCT), F.lit(ALONE_PCT))).alias("q"), F.count("*").alias("n"))
-    raw, enough = F.col("seed_min") - MARGIN, F.coalesce(F.col("n") >= ENOUGH, F.lit(False))
-    by_band = bar_floor(F.when(enough, F.least(F.greatest(raw, F.col("q")[0]), F.col("q")[1])).otherwise(raw))
-    alone = F.when(enough, bar_floor(F.col("q")[2])).otherwise(FALLBACK)
+    if "place" not in scores.columns:
+        scores = by_score(scores)
+    up = F.col("members") - 1 - F.col("place")
+    q = order_statistics(scores, ["profile"], "score", {"least": LEAST_PCT, "most": MOST_PCT, "lone": ALONE_PCT}, up)
+    raw, enough = F.col("seed_min") - MARGIN, F.coalesce(F.col("members") >= ENOUGH, F.lit(False))
+    by_band = bar_floor(F.when(enough, F.least(F.greatest(raw, F.col("least")), F.col("most"))).otherwise(raw))
+    alone = F.when(enough, bar_floor(F.col("lone"))).otherwise(FALLBACK)
     out = profiles.select("profile").distinct().join(q, "profile", "left").join(band, "profile", "left")
     return out.select("profile", "seed_min", F.when(F.col("seed_min").isNotNull(), by_band).otherwise(alone).alias("threshold"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions.vectors import cosine, doubles
-from paperloom.operators import calibration, rerank, resolve, topiclists
+from paperloom.operators import calibration, ranking, rerank, resolve, topiclists
 from paperloom.plans.interest import BASE, R, cos, feed, pooled, scores, split
 from paperloom.plans.library import P, papers
 from paperloom.plans.registry import query, table
@@ -149,9 +149,9 @@ def a16(spark, d):
     from paperloom.operators import selection
     from paperloom.plans.interest import vectors
 
-    v = vectors(spark, d)
-    n = v.groupBy("profile").agg(F.count_if("seed").alias("n"))
-    c = selection.coherence(v.where("seed")).select("profile", (F.col("median") * 0.14 + 0.86).alias("median"), "iqr")
+    seeds, _ = split(spark, d)
+    n = vectors(spark, d).select("profile").distinct().join(seeds.groupBy("profile").agg(F.count("*").alias("n")), "profile", "left").fillna(0)
+    c = selection.coherence(seeds).select("profile", (F.col("median") * 0.14 + 0.86).alias("median"), "iqr")
     a = n.join(c, "profile", "left")
     score = calibration.agreement(F.col("median"))
     return a.select("profile", score.alias("agreement"), calibration.label(F.col("median"), F.col("iqr"), F.col("n")).alias("label"), calibration.health(F.col("median"), F.col("n")).alias("health"))
@@ -168,21 +168,20 @@ SELECT profile, count(*) FILTER (now <> was) AS moved, round(max(abs(score - sto
 def a36(spark, d):
     """Stored against recomputed scores: how many ranks differ, and the largest drift."""
     s = scores(spark, d).withColumn("stored", F.col("score") + F.when(F.col("paper_id") % 9 == 0, 0.01).otherwise(0.0))
-    by = lambda c: F.row_number().over(Window.partitionBy("profile").orderBy(F.round(c, 9).desc(), "paper_id"))
-    k = s.withColumn("now", by("score")).withColumn("was", by("stored"))
+    k = ranking.placed(s, ["profile"], F.round("score", 9).desc(), F.col("paper_id").asc()).withColumn("now", F.col("place")).drop("place", "members")
+    k = ranking.placed(k, ["profile"], F.round("stored", 9).desc(), F.col("paper_id").asc()).withColumn("was", F.col("place"))
     return k.groupBy("profile").agg(F.count_if(F.col("now") != F.col("was")).alias("moved"), F.round(F.max(F.abs(F.col("score") - F.col("stored"))), 6).alias("drift"))
 
 
-@query("v07_rescored_rows", BASE + """, sx AS (SELECT profile, vec FROM (SELECT DISTINCT profile FROM e) x, (SELECT unnest(range(0, 40)) * 7 AS vec) y), c AS (SELECT sx.profile, vec, e.v FROM sx LEFT JOIN e ON e.paper_id = vec AND vec % 21 <> 0)
-SELECT c.profile, count(*) FILTER (v IS NULL) AS skipped, count(v) AS rescored, round(max(""".replace("WITH e AS", "WITH e AS") + cos("c.v", "cen.c") + """), 6) AS best FROM c JOIN cen ON cen.profile = c.profile GROUP BY c.profile""")
+@query("v07_rescored_rows", BASE + """, c AS (SELECT profile, v, paper_id % 21 = 0 AS none FROM e)
+SELECT c.profile, count(*) FILTER (none) AS skipped, count(*) FILTER (NOT none) AS rescored, round(max(CASE WHEN NOT none THEN """ + cos("c.v", "cen.c") + """ END), 6) AS best FROM c JOIN cen ON cen.profile = c.profile GROUP BY c.profile""")
 def v07(spark, d):
-    """Stored candidates against the current fit; those without a vector are counted and skipped."""
+    """Every stored row against the current fit of its profile; those without a vector are counted and skipped."""
     from paperloom.operators import selection
+    from paperloom.plans.interest import vectors
 
-    seeds, _ = split(spark, d)
-    e = table(spark, d, "embeddings").where("vec_id % 21 <> 0").select(F.col("vec_id").alias("vec"), doubles(F.col("embedding")).alias("v"))
-    stored = table(spark, d, "embeddings").select(F.col("label").alias("profile")).distinct().withColumn("vec", F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i.cast("long") * 7)))
-    c = stored.join(e, "vec", "left").join(selection.centroids(seeds), "profile")
+    fit = selection.centroids(split(spark, d)[0])
+    c = vectors(spark, d).withColumn("v", F.when(F.col("paper_id") % 21 != 0, F.col("v"))).join(fit, "profile")
     return c.groupBy("profile").agg(F.count_if(F.col("v").isNull()).alias("skipped"), F.count("v").alias("rescored"), F.round(F.max(F.when(F.col("v").isNotNull(), cosine(F.col("v"), F.col("centroid")))), 6).alias("best"))
 
 

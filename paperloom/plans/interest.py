@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.vectors import cosine, doubles
 from paperloom.operators import pool, predicates, selection
 from paperloom.operators.labels import nearest_topics
+from paperloom.operators.resolve import cut
 from paperloom.plans.registry import query, table
 
 SEEDS = "CASE profile WHEN 8 THEN 1 WHEN 9 THEN 0 ELSE 8 END"
@@ -53,13 +54,39 @@ pl AS (SELECT al0.*, sel_norm, rr_norm, blended, pct FROM al0 LEFT JOIN pl3 ON p
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("paper_id"), F.col("label").alias("profile"), doubles(F.col("embedding")).alias("v"))
-    return selection.seeds_of(v, F.expr(SEEDS))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("paper_id"), F.col("label").alias("profile"), doubles(F.col("embedding")).alias("v"))
 
 
 def split(spark, d):
+    """Seeds, written once (a few a profile), and the other vectors."""
     v = vectors(spark, d)
-    return v.where("seed").drop("seed"), v.where("not seed").drop("seed")
+    seeds = cut(selection.seeds_of(v, F.expr(SEEDS), 8))
+    return seeds, v.join(seeds.select("profile", "paper_id"), ["profile", "paper_id"], "left_anti")
+
+
+class Study:
+    """What the feed's questions share, written once: seeds, and each candidate's scores, logit and place."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+        self.seeds, candidates = split(spark, d)
+        query_vector = table(spark, d, "embeddings").where("vec_id = 0").select(doubles(F.col("embedding")).alias("qv"))
+        logit = F.when(F.col("paper_id") % 5 != 0, cosine(F.col("v"), F.col("qv")))
+        candidates = candidates.crossJoin(F.broadcast(query_vector)).withColumn("logit", logit).drop("qv")  # one row
+        self.scores = cut(selection.by_score(selection.scored(candidates, self.seeds)))
+        self.profiles = self.scores.select("profile").union(self.seeds.select("profile")).union(vectors(spark, d).select("profile")).distinct()
+        self.band = selection.seed_band(self.seeds)
+        self.thresholds = cut(selection.suggested_threshold(self.profiles, self.scores, self.band))
+
+    def pooled(self) -> DataFrame:
+        """Every candidate with its scores over the pool of its profile; those outside the pool have nulls."""
+        pool_of = eligible(self.scores, self.seeds, self.thresholds).withColumn("in_pool", F.lit(True))
+        rows = self.scores.select("profile", "paper_id", F.col("score").alias("score_raw"), "logit").join(pool_of, ["profile", "paper_id"], "left")
+        return pool.rescored_members(cut(rows.withColumn("in_pool", F.coalesce("in_pool", F.lit(False)))), "in_pool")
+
+    def feed(self) -> DataFrame:
+        f = self.pooled().join(self.thresholds, "profile")
+        return f.withColumn("bucket", predicates.bucket(F.col("score_raw"), F.col("threshold"), F.col("seed_min"), F.col("pct")))
 
 
 def scores(spark, d):
@@ -68,39 +95,35 @@ def scores(spark, d):
 
 
 def thresholds(spark, d):
-    v = vectors(spark, d)
-    return selection.suggested_threshold(v, scores(spark, d), selection.seed_band(v.where("seed")))
+    return Study(spark, d).thresholds
+
+
+def pooled(spark, d):
+    return Study(spark, d).pooled()
 
 
-def attributes(spark, d):
+def feed(spark, d):
+    return Study(spark, d).feed()
+
+
+def attributes(papers):
     """What a paper brings to the feed's predicates: year, the topic that brought it in, its own topics, DOI, public record."""
     i = F.col("paper_id")
-    return vectors(spark, d).select("profile", "paper_id", "seed", F.when(i % 11 != 0, 1990 + i % 37).alias("year"), F.when(i % 4 != 0, i % 7).alias("source_topic"), F.array(i % 5, i % 6).alias("own"), (i % 450).cast("string").alias("doi"), F.when(i % 3 == 0, i + 20).alias("canonical_id"))
+    return papers.withColumns({"year": F.when(i % 11 != 0, 1990 + i % 37), "source_topic": F.when(i % 4 != 0, i % 7), "own": F.array(i % 5, i % 6), "doi": (i % 450).cast("string"), "canonical_id": F.when(i % 3 == 0, i + 20)})
 
 
-def profile_settings(spark, d):
+def profile_settings(bars):
     """Threshold, years and topics of each profile."""
     p = F.col("profile")
     on = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda t: (t + p) % 3 == 0).cast("array<bigint>")
-    return thresholds(spark, d).select("profile", "seed_min", "threshold", F.when(p % 3 != 0, 1995).alias("year_from"), F.when(p % 4 != 0, 2022).alias("year_to"), on.alias("on"), (p % 5 != 4).alias("listed"))
+    return bars.select("profile", "seed_min", "threshold", F.when(p % 3 != 0, 1995).alias("year_from"), F.when(p % 4 != 0, 2022).alias("year_to"), on.alias("on"), (p % 5 != 4).alias("listed"))
 
 
-def eligible(spark, d):
+def eligible(scored, seeds, bars):
     """profile, paper_id of the candidates that the feed can show: passing, in years, with a topic on, no seeds."""
-    a = attributes(spark, d)
-    c = scores(spark, d).join(a.drop("seed"), ["profile", "paper_id"]).join(profile_settings(spark, d), "profile")
+    c = attributes(scored.select("profile", "paper_id", "score")).join(profile_settings(bars), "profile")
     c = c.where(predicates.passes(F.col("score"), F.col("threshold")) & predicates.in_years(F.col("year"), F.col("year_from"), F.col("year_to")) & predicates.topic_on(F.col("source_topic"), F.col("own"), F.col("on"), F.col("listed")))
-    return predicates.not_seed(c, a.where("seed")).select("profile", "paper_id")
-
-
-def pooled(spark, d):
-    """Every candidate with its scores over the pool of its profile; those outside the pool have nulls."""
-    _, cand = split(spark, d)
-    query_vector = table(spark, d, "embeddings").where("vec_id = 0").select(doubles(F.col("embedding")).alias("qv"))
-    logit = cand.crossJoin(F.broadcast(query_vector)).select("profile", "paper_id", F.when(F.col("paper_id") % 5 != 0, cosine(F.col("v"), F.col("qv"))).alias("logit"))  # one row
-    rows = scores(spark, d).select("profile", "paper_id", F.col("score").alias("score_raw")).join(logit, ["profile", "paper_id"])
-    rows = rows.join(eligible(spark, d).withColumn("in_pool", F.lit(True)), ["profile", "paper_id"], "left")
-    return pool.rescored_members(rows.withColumn("in_pool", F.coalesce("in_pool", F.lit(False))), "in_pool")
+    return predicates.not_seed(c, attributes(seeds.select("profile", "paper_id"))).select("profile", "paper_id")
 
 
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -113,7 +136,7 @@ def a10(spark, d):
 
 @query("v01_centroid_selector", BASE + "SELECT profile, paper_id, round(score, 6) AS score, round(max_seed, 6) AS max_seed, round(median_seed, 6) AS median_seed, round(score_pct, 6) AS score_pct FROM sc")
 def v01(spark, d):
-    return scores(spark, d).select("profile", "paper_id", R("score"), R("max_seed"), R("median_seed"), R("score_pct"))
+    return selection.by_score(scores(spark, d)).select("profile", "paper_id", R("score"), R("max_seed"), R("median_seed"), R("score_pct"))
 
 
 @query("v02_max_seed_selector", BASE + "SELECT profile, paper_id, round(max_seed, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY round(max_seed, 9) DESC, paper_id) AS k FROM sc) WHERE k <= 20")
@@ -187,12 +210,6 @@ FEED = BASE + """, f AS (SELECT pl.*, th.threshold, th.seed_min, CASE WHEN score
 """
 
 
-def feed(spark, d):
-    t = thresholds(spark, d)
-    f = pooled(spark, d).join(t, "profile")
-    return f.withColumn("bucket", predicates.bucket(F.col("score_raw"), F.col("threshold"), F.col("seed_min"), F.col("pct")))
-
-
 @query("flagship_feed", FEED + "SELECT profile, paper_id, bucket, round(score_raw, 6) AS score, round(pct, 6) AS pct, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY paper_id % 13 = 5, round(blended, 9) DESC, paper_id) AS k FROM f WHERE in_pool) WHERE k <= 20")
 def flagship(spark, d):
     """T-01, P-06: the best papers of each profile's pool, those that were unsaved again last."""
@@ -224,6 +241,6 @@ def t03(spark, d):
 def j08(spark, d):
     """Each paper's nearest topics, by blocks of the index."""
     v = vectors(spark, d)
-    index = selection.centroids(v.where("seed")).select(F.col("profile").alias("topic_id"), F.col("centroid").alias("v"))
+    index = selection.centroids(split(spark, d)[0]).select(F.col("profile").alias("topic_id"), F.col("centroid").alias("v"))
     near = nearest_topics(v.select("paper_id", "v"), index, 3, 0.05)
     return near.select("paper_id", F.col("topic_id").alias("topic"), F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))

@@ -173,15 +173,16 @@ def w11(spark, d):
     return out.select(F.col("c_nationkey").alias("user"), k.alias("researcher"), F.col("place").cast("long").alias("place"))
 
 
-@query("w13_moved_in_list", """WITH x AS (SELECT c_nationkey AS g, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer), m AS (SELECT CASE WHEN id % 10 = 0 THEN 3 ELSE g END AS g, id, CASE WHEN id % 10 = 0 AND g <> 3 THEN 100000 ELSE place END AS place FROM x)
-SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY place, id) - 1 AS place FROM m""")
+@query("w13_moved_in_list", """WITH x AS (SELECT c_nationkey AS g, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer), m AS (SELECT CASE WHEN id % 10 = 0 THEN 3 ELSE g END AS g, id, id % 10 = 0 AND g <> 3 AS moved, place FROM x)
+SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY moved, CASE WHEN NOT moved THEN place END, id) - 1 AS place FROM m""")
 def w13(spark, d):
     """Elements that change group go to the end of the new one; places are dense again in both."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"))
     x = vault.ordered(c, "g", "id")
     move = F.col("id") % 10 == 0
-    m = x.select(F.when(move, 3).otherwise(F.col("g")).alias("g"), "id", F.when(move & (F.col("g") != 3), 100000).otherwise(F.col("place")).alias("old"))
-    return vault.ordered(m, "g", "old", "id").select("g", "id", F.col("place").cast("long").alias("place"))
+    moved = move & (F.col("g") != 3)
+    m = x.select(F.when(move, 3).otherwise(F.col("g")).alias("g"), "id", moved.alias("moved"), F.when(~moved, F.col("place")).alias("old"))
+    return vault.ordered(m, "g", "moved", "old", "id").select("g", "id", F.col("place").cast("long").alias("place"))
 
 
 @query("j18_seed_twins", V + """, x AS (SELECT paper_id, sha256(text) AS file, 'D' || paper_id % 400 AS doi FROM pp), s AS (SELECT profile, x.* FROM sd JOIN x ON x.paper_id = sd.paper_id),

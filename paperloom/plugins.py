@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import works
-from paperloom.operators import rerank, selection
+from paperloom.operators import ranking, rerank, selection
 
 #: Scores pass whatever they are; in place of a threshold, which else is the fitted one.
 KEEP_ALL = float("-inf")
@@ -66,7 +66,8 @@ class _Base:
 
 def _by(raw: DataFrame, column: str) -> DataFrame:
     out = raw.select("profile", "paper_id", F.col(column).alias("score_raw"))
-    return out.withColumn("score", selection.rank_percentile([F.round("score_raw", 9).desc(), F.col("paper_id")], "profile"))
+    out = ranking.placed(out, ["profile"], F.round("score_raw", 9).desc(), F.col("paper_id").asc())
+    return out.withColumn("score", ranking.share(F.col("place"), F.col("members"))).drop("place", "members")
 
 
 @_registered(SELECTORS)
