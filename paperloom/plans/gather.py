@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions.vectors import cosine, doubles
-from paperloom.operators import calibration, ranking, rerank, resolve, topiclists
+from paperloom.operators import calibration, ranking, rerank, resolve, titles, topiclists
 from paperloom.plans.interest import BASE, R, cos, feed, pooled, scores, split
 from paperloom.plans.library import P, papers
 from paperloom.plans.registry import query, table
@@ -27,14 +27,13 @@ def k05(spark, d):
 
 @query("j09_fuzzy_titles")
 def j09(spark, d):
-    """No SQL: the ratio is that of matching blocks; compared with plain Python in the tests."""
+    """No SQL: the ratio is that of matching blocks; compared with all pairs in plain Python in the tests."""
     i = F.col("paper_id")
     p = papers(spark, d)
     rec = p.select(i.alias("record"), F.when(i % 3 == 0, F.upper("title")).when(i % 3 == 1, F.concat("title", F.lit(" a"))).otherwise(F.reverse("title")).alias("title"), F.when(i % 7 != 0, F.col("year")).alias("year"), F.col("source").alias("author"))
     works = p.select(i.alias("work"), F.col("title").alias("w_title"), (F.col("year") + F.when(i % 11 == 0, 2).otherwise(0)).alias("w_year"), F.col("source").alias("w_author"), "cited")
-    # what a search gives for a record: works of its author around its id
-    hits = rec.join(works, F.col("author") == F.col("w_author")).where("abs(record - work) <= 60")
-    return resolve.best_titles(hits.withColumn("place", F.col("cited"))).withColumn("ratio", F.round("ratio", 6))
+    found = titles.matched_titles(rec, works.withColumnRenamed("cited", "place"))
+    return found.withColumn("ratio", F.round("ratio", 6))
 
 
 @query("j11_full_ladder", P + """, x AS (SELECT paper_id AS work, 'W' || paper_id AS work_id, dk AS doi, CASE WHEN paper_id % 4 = 0 THEN 'PMC' || paper_id END AS pmcid, CASE WHEN length(norm) >= 30 THEN norm END AS title FROM k WHERE paper_id % 2 = 0),
