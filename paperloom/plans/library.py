@@ -1,5 +1,7 @@
 """Queries on papers (`documents`), chunks, topics and gathering."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -7,7 +9,9 @@ from paperloom.functions import text as T
 from paperloom.functions.vectors import doubles
 from paperloom.operators import merge, predicates, retrieval, topics
 from paperloom.plans.interest import cos
+from paperloom.operators.resolve import shared_folder
 from paperloom.plans.registry import query, table
+from paperloom.sources import vectorindex
 
 P = """WITH p AS (SELECT doc_id AS paper_id, text, lang, source, string_split(text, chr(10))[1] AS title, 2000 + doc_id % 25 AS year, (doc_id * 37) % 101 AS cited,
   CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1000/' || CAST(doc_id % 400 AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'doi:10.1000/' || CAST(doc_id % 400 AS VARCHAR) || '.' END AS doi FROM documents),
@@ -221,6 +225,22 @@ def v08(spark, d):
     return retrieval.retrieved(c, questions, ["p1", "p2", "p3"], 20).select("question", "chunk_id", "paper_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("v09_stored_index", COLLECTION[:-1] + f""", q AS (SELECT chunk_id AS question, v AS w FROM c WHERE chunk_id % 50 = 0),
+s AS (SELECT question, chunk_id, paper_id, round({cos('v', 'w')}, 9) AS score FROM c, q WHERE chunk_id % 9 <> 4 AND slugs <> '|p3|')
+SELECT question, chunk_id, paper_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""")
+def v09(spark, d):
+    """S-12, V-09: chunks stored as an index in two parts, some deleted, asked within a scope. All lists are looked at, since
+    the test vectors have no clusters; how few lists do is a matter of the tests."""
+    c, at = collection(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    later = F.col("chunk_id") % 7 == 3
+    vectorindex.build(c.where(~later), at, "test", 16)
+    vectorindex.add(c.where(later), at, "test")
+    vectorindex.delete(c.where(F.col("chunk_id") % 9 == 4).select("chunk_id"), at)
+    questions = c.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("question"), F.col("v").alias("w"))
+    out = vectorindex.nearest(spark, at, questions, 10, 16, F.col("slugs") != "|p3|")
+    return out.select("question", "chunk_id", "paper_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("s11_last_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def s11(spark, d):
     """T-07: the last three turns of each chat."""
