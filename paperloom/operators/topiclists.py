@@ -79,3 +79,34 @@ def voted(mapped: DataFrame, have: DataFrame) -> DataFrame:
     votes = chosen.groupBy("profile", "topic_id").agg(F.count("*").alias("votes"), F.max("similarity").alias("similarity"))
     place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("votes"), F.desc("similarity"), "topic_id"))
     return votes.withColumn("place", place).where(F.col("place") <= OF_ALL)
+
+
+def adopted(stored: DataFrame, proposed: DataFrame, choices: DataFrame) -> DataFrame:
+    """A reader's profile folded into topic lists: stored (profile, topic, source, is_on), proposed (profile, topic, wanted)
+    and choices (profile, topic, choice), joined on the topic.
+
+    A wanted topic is marked `interest` where it is listed, and else comes in, on, as `researcher`. An unwanted one goes by
+    its choice: `filter` marks it `not_interest` where it is listed, `add` wants it, `keep` leaves it as it is; without a
+    choice it is kept where another source lists it or the profile wants it too, and filtered otherwise. `before` says
+    whether a row was in the list; only rows of no list before are of the profile alone."""
+    p = proposed.groupBy("profile", "topic").agg(F.max(F.col("wanted").cast("int")).alias("want"), F.min(F.col("wanted").cast("int")).alias("all"))
+    c = choices.where(F.col("choice").isin("filter", "keep", "add")).groupBy("profile", "topic").agg(F.min("choice").alias("choice"))
+    # a row without a source is of the seeds; rows that an earlier adoption brought are no other source
+    other = F.col("before") & (F.coalesce("source", F.lit("seeds")) != "researcher")
+    x = stored.withColumn("before", F.lit(True)).join(p, ["profile", "topic"], "full_outer").join(c, ["profile", "topic"], "left")
+    choice = F.coalesce("choice", F.when(F.coalesce(other, F.lit(False)) | (F.col("want") == 1), "keep").otherwise("filter"))
+    unwanted = F.col("all") == 0
+    mark = F.when(unwanted & (choice == "add"), "interest").when(unwanted & (choice == "filter") & F.col("before"), "not_interest").when(F.col("want") == 1, "interest")
+    out = x.withColumn("mark", mark).withColumn("choice", F.when(unwanted, choice)).where("before or mark is not null")
+    listed = F.coalesce("before", F.lit(False))
+    return out.select("profile", "topic", F.when(listed, F.col("source")).otherwise("researcher").alias("source"), F.coalesce("is_on", F.lit(True)).alias("is_on"), "mark", "choice", listed.alias("before"))
+
+
+def stripped(lists: DataFrame) -> DataFrame:
+    """adopted() taken back: the stored list, without the profile's own rows, of this or an earlier adoption, and marks."""
+    return lists.where(F.col("before") & (F.coalesce("source", F.lit("seeds")) != "researcher")).select("profile", "topic", "source", "is_on")
+
+
+def kept_as_own(lists: DataFrame) -> DataFrame:
+    """Adopted rows as the list's own: the profile's rows become `adopted`, marks go, every switch stays."""
+    return lists.select("profile", "topic", F.when(F.col("source") == "researcher", "adopted").otherwise(F.col("source")).alias("source"), "is_on")

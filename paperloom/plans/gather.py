@@ -416,3 +416,36 @@ def st06(spark, d):
     done = p.where(i % 5 == 0)
     failed = p.where(i % 7 == 0).withColumn("hours_ago", i % 48).where("hours_ago < 6")
     return p.join(done, "paper_id", "left_anti").join(failed, "paper_id", "left_anti")
+
+
+ADOPTION = """WITH s AS (SELECT c_nationkey AS profile, c_custkey % 97 AS topic, any_value(CASE WHEN c_custkey % 97 % 3 = 0 THEN 'labels' WHEN c_custkey % 97 % 3 = 1 THEN 'researcher' END) AS source, min(c_acctbal) > 0 AS is_on FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1, 2),
+p AS (SELECT c_nationkey AS profile, c_custkey % 131 AS topic, max((c_acctbal > 4000)::INT) AS want, min((c_acctbal > 4000)::INT) AS every FROM customer GROUP BY 1, 2),
+ch AS (SELECT n_nationkey AS profile, t.i AS topic, ['filter', 'keep', 'add', 'odd'][(n_nationkey + t.i) % 4 + 1] AS choice FROM nation, range(0, 131) t(i) WHERE (n_nationkey * t.i) % 5 = 1 AND (n_nationkey + t.i) % 4 < 3),
+x AS (SELECT coalesce(s.profile, p.profile) AS profile, coalesce(s.topic, p.topic) AS topic, source, is_on, s.profile IS NOT NULL AS before, want, every FROM s FULL JOIN p ON p.profile = s.profile AND p.topic = s.topic),
+y AS (SELECT x.*, CASE WHEN every = 0 THEN coalesce(ch.choice, CASE WHEN (before AND coalesce(source, 'seeds') <> 'researcher') OR want = 1 THEN 'keep' ELSE 'filter' END) END AS choice FROM x LEFT JOIN ch ON ch.profile = x.profile AND ch.topic = x.topic),
+z AS (SELECT profile, topic, CASE WHEN before THEN source ELSE 'researcher' END AS source, coalesce(is_on, TRUE) AS is_on, CASE WHEN choice = 'add' THEN 'interest' WHEN choice = 'filter' AND before THEN 'not_interest' WHEN want = 1 THEN 'interest' END AS mark, choice, before FROM y)
+"""
+
+
+def adoption(spark, d):
+    """Lists, proposals and choices over customers: topics of a nation, the wish of an account, choices by a rule."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    t = k % 97
+    stored = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_nationkey").alias("profile"), t.alias("topic"), F.when(t % 3 == 0, "labels").when(t % 3 == 1, "researcher").alias("source"), "c_acctbal")
+    stored = stored.groupBy("profile", "topic").agg(F.min("source").alias("source"), (F.min("c_acctbal") > 0).alias("is_on"))
+    proposed = c.select(F.col("c_nationkey").alias("profile"), (k % 131).alias("topic"), (F.col("c_acctbal") > 4000).alias("wanted"))
+    n = F.col("n_nationkey")
+    ways = F.element_at(F.array(*map(F.lit, ("filter", "keep", "add", "odd"))), (n + F.col("topic")).cast("int") % 4 + 1)
+    choices = table(spark, d, "nation").withColumn("topic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(130).cast("long")))).where("(n_nationkey * topic) % 5 = 1").select(n.alias("profile"), "topic", ways.alias("choice"))
+    return stored, proposed, choices
+
+
+@query("m03_adopted_profile", ADOPTION + "SELECT profile, topic, source, is_on, mark, choice, before FROM z WHERE before OR mark IS NOT NULL")
+def m03(spark, d):
+    return topiclists.adopted(*adoption(spark, d))
+
+
+@query("m03_stripped_profile", ADOPTION + "SELECT profile, topic, source, is_on FROM s WHERE coalesce(source, 'seeds') <> 'researcher'")
+def m03_strip(spark, d):
+    """Stripping what was adopted gives the stored lists again, but for rows of an earlier adoption."""
+    return topiclists.stripped(topiclists.adopted(*adoption(spark, d)))
