@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions.vectors import cosine, doubles
-from paperloom.operators import calibration, ranking, rerank, resolve, titles, topiclists
+from paperloom.operators import calibration, matching, ranking, rerank, resolve, titles, topiclists
 from paperloom.plans.interest import BASE, R, cos, feed, pooled, scores, split
 from paperloom.plans.library import P, papers
 from paperloom.plans.registry import query, table
@@ -449,3 +449,39 @@ def m03(spark, d):
 def m03_strip(spark, d):
     """Stripping what was adopted gives the stored lists again, but for rows of an earlier adoption."""
     return topiclists.stripped(topiclists.adopted(*adoption(spark, d)))
+
+
+FOLD = "trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+SQUASH = "regexp_replace({0}, '[^a-z]+', '', 'g')"
+
+
+def _named_sql(g: str, f: str, group: str, token: str) -> str:
+    return f"CASE WHEN {group} THEN length({token}) >= 4 AND contains(head, {token}) ELSE length({f}) >= 2 AND {g} <> '' AND (regexp_matches(head, {g} || '[a-z]{{0,4}}' || {f}) OR (length({f}) >= 3 AND regexp_matches(spaced, '(^|[^a-z])' || left({g}, 1) || '( [a-z]){{0,2}} ' || {f} || '[a-z]?([^a-z]|$)'))) END"
+
+
+MATCHES = P + f""", a AS (SELECT *, string_split_regex(trim(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g')), ' ') AS wd FROM p),
+x AS (SELECT paper_id AS work, dk, CASE WHEN paper_id % 5 = 0 THEN title || ': more' WHEN paper_id % 5 = 1 THEN 'Else' ELSE title END AS w_title, coalesce(wd[2], '') AS g1, coalesce(wd[3], '') AS f1, coalesce(wd[5], '') AS g2, coalesce(wd[6], '') AS f2 FROM a JOIN k USING (paper_id, text, title) WHERE dk IS NOT NULL),
+r AS (SELECT paper_id AS record, dk, CASE WHEN paper_id % 7 = 0 THEN 'Other' ELSE title END AS title, CASE paper_id % 3 WHEN 0 THEN 'doi' ELSE 'title' END AS way, text FROM k WHERE dk IS NOT NULL),
+h AS (SELECT record, work, way, {FOLD.format('title')} AS own, {FOLD.format("split_part(title, ':', 1)")} AS own_main, {FOLD.format('w_title')} AS of, {FOLD.format("split_part(w_title, ':', 1)")} AS of_main,
+  {SQUASH.format(FOLD.format("left(text, 3000)"))} AS page, {SQUASH.format(FOLD.format("left(text, 6000)"))} AS head, regexp_replace({FOLD.format("left(text, 6000)")}, '[0-9]+', ' ', 'g') AS spaced,
+  CASE work % 4 WHEN 1 THEN left({SQUASH.format(FOLD.format('g1'))}, 1) WHEN 2 THEN '' ELSE {SQUASH.format(FOLD.format('g1'))} END AS ag, {SQUASH.format(FOLD.format('f1'))} AS af, work % 4 = 2 OR (work % 4 <> 0 AND g1 = '') AS grp, {SQUASH.format(FOLD.format('g2'))} AS bg, {SQUASH.format(FOLD.format('f2'))} AS bf, g2 = '' OR f2 = '' AS lone FROM r JOIN x USING (dk)),
+v AS (SELECT *, own <> '' AND of <> '' AND (own = of OR own_main = of OR own = of_main OR contains(page, {SQUASH.format('of')})) AS title_ok, head <> '' AND {_named_sql('ag', 'af', 'grp', 'af')} AS first_ok, {_named_sql('bg', 'bf', 'FALSE', 'bf')} AS second_ok FROM h)
+"""
+
+
+@query("j12_verified_matches", MATCHES + "SELECT record, work, title_ok, first_ok AND (lone OR grp OR second_ok) AS authors_ok, CASE WHEN way = 'doi' THEN title_ok OR first_ok ELSE title_ok AND first_ok AND (lone OR grp OR second_ok) END AS verified FROM v")
+def j12(spark, d):
+    """F-20: papers of one DOI as hits of each other; words of a work's text stand for its authors' names, in four forms."""
+    i = F.col("paper_id")
+    p = papers(spark, d).withColumn("dk", T.doi_key(F.col("doi"))).where("dk is not null")
+    w = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")
+    at = lambda n: F.coalesce(F.get(w, F.lit(n)), F.lit(""))
+    name = F.when(i % 4 == 0, F.concat(at(2), F.lit(", "), at(1))).when(i % 4 == 1, F.concat(F.substring(at(1), 1, 1), F.lit(" "), at(2))).when(i % 4 == 2, at(2)).otherwise(F.concat(at(1), F.lit(" "), at(2)))
+    works = p.select(i.alias("work"), "dk", F.when(i % 5 == 0, F.concat("title", F.lit(": more"))).when(i % 5 == 1, "Else").otherwise(F.col("title")).alias("w_title"), name.alias("first"), F.concat(at(4), F.lit(" "), at(5)).alias("second"), F.when((at(4) == "") | (at(5) == ""), 1).otherwise(2).alias("n"))
+    head = F.substring("text", 1, matching.HEAD)
+    rec = p.select(i.alias("record"), "dk", F.when(i % 7 == 0, "Other").otherwise(F.col("title")).alias("title"), F.when(i % 3 == 0, "doi").otherwise("title").alias("way"), "text", matching.squashed(matching.folded(head)).alias("head"), matching.spaced(head).alias("spaced"))
+    h = rec.join(works, "dk")
+    first = matching.authors_fit(F.col("first"), F.lit(True), F.col("n"), F.col("head"), F.col("spaced"), first_alone=True)
+    all_of = matching.authors_fit(F.col("first"), matching.named(F.col("second"), F.col("head"), F.col("spaced")), F.col("n"), F.col("head"), F.col("spaced"))
+    h = h.withColumns({"title_ok": matching.title_fits(F.col("title"), F.col("text"), F.col("w_title")), "first_ok": first, "authors_ok": all_of})
+    return h.select("record", "work", "title_ok", "authors_ok", matching.verified(F.col("title_ok"), F.col("authors_ok"), F.col("first_ok"), F.col("way")).alias("verified"))
