@@ -116,5 +116,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """Counts, digest and listing of the spans of each document, and scores, of each span in that order."""
     s = F.col("spans")
-    return personal_data(docs).select("doc_id", *[number(s, k).alias(f"n_{k}") for k in BASE], digest(s, BASE).alias("base_sha256"), listing(s).alias("spans"))
+    scores = F.array_join(F.transform(s, lambda x: F.format_number(x["score"], 4)), ",")
+    return personal_data(docs).select("doc_id", *[number(s, k).alias(f"n_{k}") for k in BASE], digest(s, BASE).alias("base_sha256"), listing(s).alias("spans"), scores.alias("scores"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from paperloom.llm import secrets
+from paperloom.llm import pii, secrets
 from paperloom.llm.store import saved
 
 
@@ -32,3 +32,11 @@ def test_added_spans_of_a_table(spark):
     added = secrets.secret_spans(docs).select("doc_id", F.explode(F.filter("spans", lambda s: s["kind"] == "model")).alias("s")).join(docs, "doc_id")
     plain = added.where(F.expr("substring(text, s.start + 1, s.end - s.start)").rlike("^(?:[A-Z]?[a-z]+|[A-Z]+)$")).count()
     assert plain < 5 * docs.count() / 1000
+
+
+def test_scores_of_personal_data(spark):
+    docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111, mail a@b.org and 10.0.0.1"), (2, "4111 1111 1111 1111"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"].split(","), r["scores"].split(",")) for r in pii.report(docs).collect()}
+    assert got[3] == ([""], [""]) and [len(x) for x in got[1]] == [3, 3]
+    # the word beside it raises the score of a card
+    assert float(got[1][1][0]) > float(got[2][1][0])
