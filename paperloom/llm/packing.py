@@ -34,6 +34,22 @@ STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x00-&(-@\\[-`{-\x7f].*)?", re.DO
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class Known(dict):
+    """Ids of words; those that are missing come from older ones or are learnt."""
+
+    def __init__(self, ids: "WordIds", older: dict | None = None):
+        self[""] = b""
+        self.learn, self.older = ids.learn, dict(older or {})
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.learn(word)
+        if len(word) <= LONG_WORD:
+            self[word] = got
+        return got
+
+
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
@@ -48,8 +64,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.symbol = byte_symbols()
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self)
         self.parts: dict[str, bytes] = {}
 
     def _stem(self, letters: str) -> bytes:
@@ -60,7 +75,7 @@ class WordIds:
     def _rest(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def learn(self, word: str) -> bytes:
         m = STEM.fullmatch(word)
         if not m:
             return self._rest(word)
@@ -76,22 +91,12 @@ class WordIds:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > WORDS:
-            self.older, self.known = self.known, {"": b""}
+            self.known = Known(self, self.known)
         if len(self.parts) > WORDS:
             self.parts = {}
-        known, older = self.known, self.older
-        long = []
-        for w in set().union(*cut).difference(known):
-            got = older.get(w)
-            known[w] = self._word(w) if got is None else got
-            if len(w) > LONG_WORD:
-                long.append(w)
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in long:
-            del known[w]
-        return out
+        of = self.known.__getitem__
+        return [b"".join(map(of, t.replace("\n", " ").split(" "))) for t in texts]
 
     def whole(self, text: str) -> bytes:
         """The ids of one text of any length."""
