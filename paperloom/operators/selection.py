@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import bar_floor
 from paperloom.functions.vectors import cosine, dot, mean_vector, norm, safe_cosine
-from paperloom.operators.ranking import order_statistics, placed, share
+from paperloom.operators.ranking import order_statistics, placed, quantiles, share
 
 #: Fixed values of the threshold rule.
 MARGIN, LEAST_PCT, MOST_PCT, ALONE_PCT, ENOUGH, FALLBACK = 0.01, 0.75, 0.98, 0.90, 10, 0.90
@@ -92,10 +92,9 @@ def seed_band(seeds: DataFrame) -> DataFrame:
 def suggested_threshold(profiles: DataFrame, scores: DataFrame, band: DataFrame) -> DataFrame:
     """seed_min and threshold for each of profiles: a little under the least typical seed, within the range where it
     parts the candidates; from the candidates alone without a band; a fixed value with neither."""
-    if "place" not in scores.columns:
-        scores = by_score(scores)
+    at = {"least": LEAST_PCT, "most": MOST_PCT, "lone": ALONE_PCT}
     up = F.col("members") - 1 - F.col("place")
-    q = order_statistics(scores, ["profile"], "score", {"least": LEAST_PCT, "most": MOST_PCT, "lone": ALONE_PCT}, up)
+    q = order_statistics(scores, ["profile"], "score", at, up) if "place" in scores.columns else quantiles(scores, ["profile"], "score", at)
     raw, enough = F.col("seed_min") - MARGIN, F.coalesce(F.col("members") >= ENOUGH, F.lit(False))
     by_band = bar_floor(F.when(enough, F.least(F.greatest(raw, F.col("least")), F.col("most"))).otherwise(raw))
     alone = F.when(enough, bar_floor(F.col("lone"))).otherwise(FALLBACK)
