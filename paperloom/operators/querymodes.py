@@ -83,17 +83,17 @@ def bm25(queries: DataFrame, articles: DataFrame, members: DataFrame) -> DataFra
     return mine.groupBy("profile", "paper_id", "query_no").agg(F.sum("part").alias("logit"))
 
 
-def lexical_scores(queries: DataFrame, articles: DataFrame, members: DataFrame, how: str = "max") -> DataFrame:
-    """-> profile, paper_id, logit, best_query, queries, key for every member of a profile that has queries: the largest or
-    mean logit over all of them, those that share no word being 0, and the first best query. Members of a profile without
-    queries are left out, as the stage is skipped for them."""
+def lexical_scores(queries: DataFrame, articles: DataFrame, members: DataFrame) -> DataFrame:
+    """-> profile, paper_id, logit, mean, best_query, queries, key for every member of a profile that has queries: the
+    largest and the mean logit over all of them, those that share no word being 0, and the first best query. Members of a
+    profile without queries are left out, as the stage is skipped for them."""
     hits = bm25(queries, articles, members)
     order = F.struct(F.round("logit", 9).alias("l"), (-F.col("query_no")).alias("q"))
     by = hits.groupBy("profile", "paper_id").agg(F.max("logit").alias("most"), F.sum("logit").alias("total"), F.max_by("query_no", order).alias("first"))
     asked = queries.groupBy("profile").agg(F.count("*").alias("queries"), F.min("query_no").alias("lowest")).join(query_key(queries), "profile")
     out = members.join(asked, "profile").join(by, ["profile", "paper_id"], "left")
-    value = F.col("most") if how == "max" else F.col("total") / F.col("queries")
-    return out.select("profile", "paper_id", F.coalesce(value, F.lit(0.0)).alias("logit"), F.coalesce("first", "lowest").alias("best_query"), "queries", "key")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("profile", "paper_id", zero(F.col("most")).alias("logit"), zero(F.col("total") / F.col("queries")).alias("mean"), F.coalesce("first", "lowest").alias("best_query"), "queries", "key")
 
 
 def model_scores(queries: DataFrame, articles: DataFrame, members: DataFrame, score) -> DataFrame:
