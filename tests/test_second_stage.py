@@ -120,3 +120,22 @@ def test_set_only_what_was_seen(spark):
     rows = spark.createDataFrame([("p", 1, 0.0, 1.0, "old"), ("p", 2, 0.0, 1.0, "theirs"), ("p", 3, 0.0, None, None), ("p", 4, 0.0, 1.0, "old")], C)
     scored = spark.createDataFrame([("p", 1, "old", 9.0, "now"), ("p", 2, "old", 9.0, "now"), ("p", 3, None, 9.0, "now"), ("p", 4, "old", float("nan"), "now")], "profile string, paper_id long, seen_key string, new_logit double, key string")
     assert {r["paper_id"]: (r["logit"], r["query_key"]) for r in logits.set_logits(rows, scored).collect()} == {1: (9.0, "now"), 2: (1.0, "theirs"), 3: (9.0, "now"), 4: (1.0, "old")}
+
+
+def test_upsert(spark):
+    s = "profile string, paper_id long, score double, logit double, query_key string, topic string, saved_at long"
+    stored = spark.createDataFrame([("p", 1, 0.1, 1.0, "old", "t1", 7), ("p", 2, 0.2, None, None, None, None), ("p", 3, 0.3, 3.0, "old", "t3", None)], s)
+    found = spark.createDataFrame([("p", 1, 0.9, None, "new", "t9", None), ("p", 2, None, 2.5, "new", "t9", 8), ("p", 4, 0.4, None, None, None, None)], s)
+    got = {r["paper_id"]: (r["score"], r["logit"], r["query_key"], r["topic"], r["saved_at"], r["is_new"]) for r in logits.upserted(stored, found).collect()}
+    assert got == {1: (0.9, 1.0, "old", "t1", 7, False), 2: (None, 2.5, "new", "t9", None, False), 3: (0.3, 3.0, "old", "t3", None, False), 4: (0.4, None, None, None, None, True)}
+
+
+def test_stale_fits(spark):
+    t = spark.createDataFrame([("same", False, True, None), ("added", False, True, 1), ("swapped", False, True, 2), ("draft", True, True, 1), ("old", False, False, 2), ("old fewer", False, False, 3), ("untold", False, False, None), ("empty", None, True, None)], "profile string, is_draft boolean, recorded boolean, n_matrix long")
+    pairs = lambda d: spark.createDataFrame([(p, i) for p, ids in d.items() for i in ids], "profile string, paper_id long")
+    was = {"same": [1, 2, 2], "added": [1], "swapped": [1, 2], "draft": [1], "old": [5, 6]}
+    now = {"same": [2, 1], "added": [1, 2], "swapped": [1, 3], "draft": [2], "old": [1, 2], "old fewer": [1, 2], "untold": [1]}
+    from paperloom.operators import fits
+
+    got = {r["profile"]: (r["stale"], r["added"], r["removed"]) for r in fits.stale_fits(t, pairs(was), pairs(now)).collect()}
+    assert got == {"same": (False, 0, 0), "added": (True, 1, 0), "swapped": (True, 1, 1), "draft": (False, 1, 1), "old": (False, 2, 2), "old fewer": (True, 2, 0), "untold": (True, 1, 0), "empty": (False, 0, 0)}
