@@ -45,3 +45,26 @@ def unused(rows: DataFrame, key: str, *uses: DataFrame) -> DataFrame:
 def swapped(rows: DataFrame, draft: DataFrame, key: str) -> DataFrame:
     """rows with those of the keys that draft has taken out and the draft's own put in."""
     return rows.join(draft.select(key).distinct(), key, "left_anti").unionByName(draft)
+
+
+def opened(rows: DataFrame, key: str, drafts: DataFrame) -> DataFrame:
+    """rows and, for each of drafts (key, draft), a copy of the key's rows under the draft: what an edit begins from."""
+    copies = rows.join(drafts, key).withColumn(key, F.col("draft")).drop("draft")
+    return rows.unionByName(copies)
+
+
+def version_rank(claimed: Column, doi: Column, abstract: Column, cited: Column) -> Column:
+    """What makes a copy the better one: claimed by its author over unknown over not claimed, then a DOI, an abstract, citations."""
+    return F.struct(
+        F.when(claimed, 2).when(~claimed, 0).otherwise(1).alias("claim"),
+        (F.coalesce(doi, F.lit("")) != "").alias("doi"),
+        F.coalesce(abstract, F.lit(False)).alias("abstract"),
+        F.coalesce(cited.cast("long"), F.lit(0).cast("long")).alias("cited"),
+    )
+
+
+def marked_copies(rows: DataFrame, keys: list[str], place: str, rank: Column) -> DataFrame:
+    """rows (paper_id and others) with duplicate_of: the best copy of the same keys by rank, the first by place of equal
+    ones; null for that one itself and where a key is null. Best copies are aggregated before the join."""
+    best = rows.withColumn("rank", rank).dropna(subset=keys).groupBy(*keys).agg(F.max_by("paper_id", F.struct("rank", -F.col(place))).alias("best"))
+    return rows.join(best, keys, "left").withColumn("duplicate_of", F.when(F.col("best") != F.col("paper_id"), F.col("best"))).drop("best")

@@ -58,3 +58,18 @@ def round_robin(rows: DataFrame, limit: int) -> DataFrame:
         return got.assign(position=range(1, len(got) + 1))
 
     return rows.groupBy("profile").applyInPandas(deal, rows.schema.simpleString()[7:-1].replace(":", " ") + ", position long")
+
+
+#: Levels of a topic: the topic itself and the fields of its struct.
+LEVELS = ("topic", "subfield", "field", "domain")
+
+
+def level_mentions(works: DataFrame) -> DataFrame:
+    """works (paper_id, primary_topic, topics; a topic: id, display_name and subfield, field, domain of id and display_name)
+    -> a row (paper_id, pos, level, id, name) for each level of the primary topic and of each topic listed, in that order.
+
+    A primary topic that is listed too is mentioned twice; what has no id is not mentioned."""
+    every = F.concat(F.array("primary_topic"), F.coalesce("topics", F.array().cast(works.schema["topics"].dataType)))
+    one = works.select("paper_id", F.posexplode(every).alias("pos", "t")).where("t is not null")
+    node = lambda level: F.struct(F.lit(level).alias("level"), F.col("t.id" if level == "topic" else f"t.{level}.id").alias("id"), F.col("t.display_name" if level == "topic" else f"t.{level}.display_name").alias("name"))
+    return one.select("paper_id", "pos", F.inline(F.array(*map(node, LEVELS)))).where(F.coalesce("id", F.lit("")) != "")

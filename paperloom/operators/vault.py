@@ -54,3 +54,48 @@ def twins(seeds: DataFrame, papers: DataFrame, versions: DataFrame) -> DataFrame
 def ordered(rows: DataFrame, group: str, *order) -> DataFrame:
     """rows with their place, from 0, in a list of each group."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+
+
+#: Columns of a private version that follow its public record; not title or abstract, which its vector was made from.
+FOLLOWED = ("doi", "year", "venue", "publication_date", "authors", "pdf_url", "oa_status")
+
+
+def following(papers: DataFrame, versions: DataFrame) -> DataFrame:
+    """papers (paper_id and FOLLOWED among others) in which versions (version_id, canonical_id) have what their public records
+    have of FOLLOWED; where a record has nothing, or is not there, a version keeps its own."""
+    public = papers.select(F.col("paper_id").alias("canonical_id"), *[F.col(c).alias(f"public_{c}") for c in FOLLOWED])
+    told = versions.select(F.col("version_id").alias("paper_id"), "canonical_id").join(public, "canonical_id").drop("canonical_id")
+    out = papers.join(told, "paper_id", "left")
+    return out.select(*[F.coalesce(f"public_{c}", c).alias(c) if c in FOLLOWED else F.col(c) for c in papers.columns])
+
+
+def refreshed(works: DataFrame, stored: DataFrame, marks: DataFrame) -> DataFrame:
+    """works (researcher, work, doi) that a source lists now, with state: saved, skipped or new.
+
+    stored (researcher, paper_id, source_id, doi, resolved, synthetic): a work is saved if its id or DOI is there, in rows
+    that are not to be repaired (never resolved, and no synthetic id), or if marks (researcher, work, mark) say that it is a
+    duplicate of a saved one; skipped if they say so. Empty DOIs match nothing."""
+    good = stored.where(F.col("resolved") | F.col("synthetic"))
+    keys = F.array(F.concat(F.lit("id:"), "paper_id"), F.concat(F.lit("id:"), "source_id"), F.concat(F.lit("doi:"), F.nullif("doi", F.lit(""))))
+    there = good.select("researcher", F.explode(F.array_compact(keys)).alias("key")).distinct()
+    asked = F.array_compact(F.array(F.concat(F.lit("id:"), "work"), F.concat(F.lit("doi:"), F.nullif("doi", F.lit("")))))
+    known = works.select("researcher", "work", F.explode(asked).alias("key")).join(there, ["researcher", "key"], "left_semi").select("researcher", "work").distinct()
+    mark = marks.groupBy("researcher", "work").agg(F.max(F.col("mark") == "duplicate").alias("again"), F.max(F.col("mark") == "skipped").alias("skip"))
+    out = works.join(known.withColumn("known", F.lit(True)), ["researcher", "work"], "left").join(mark, ["researcher", "work"], "left")
+    return out.select("researcher", "work", F.when(F.col("known") | F.col("again"), "saved").when(F.col("skip"), "skipped").otherwise("new").alias("state"))
+
+
+def discarded(brought: DataFrame, uses: DataFrame, versions: DataFrame) -> DataFrame:
+    """brought (draft, paper_id), uses (paper_id) of anything but these drafts -> the rows of brought that go with their draft.
+
+    Versions (version_id, canonical_id) are looked at first: one that does not go with the same draft is a use of its public record. What several
+    drafts brought in stays, for it is the other draft's too."""
+    once = brought.distinct()
+    alone = once.groupBy("paper_id").agg(F.min("draft").alias("draft"), F.count("*").alias("n")).where("n = 1").drop("n")
+    unused = alone.join(uses.select("paper_id").distinct(), "paper_id", "left_anti")
+    gone = unused.join(versions.select(F.col("version_id").alias("paper_id")), "paper_id", "left_semi")
+    of = versions.join(gone.select(F.col("paper_id").alias("version_id"), F.col("draft").alias("with")), "version_id", "left").select(F.col("canonical_id").alias("paper_id"), "with")
+    rest = unused.join(versions.select(F.col("version_id").alias("paper_id")), "paper_id", "left_anti")
+    held = rest.join(of, "paper_id").where(~F.col("with").eqNullSafe(F.col("draft"))).select("paper_id").distinct()
+    public = rest.join(held, "paper_id", "left_anti")
+    return gone.unionByName(public).select("draft", "paper_id")

@@ -1,6 +1,6 @@
 """All queries of the package by name, and their SQL."""
 
-from paperloom.plans import cards, gather, interest, labels, library, mentions, relational, second_stage, triage, vault  # noqa: F401
+from paperloom.plans import cards, gather, interest, labels, library, mentions, records, relational, second_stage, triage, vault  # noqa: F401
 from paperloom.plans.registry import ORACLES, QUERIES
 
 
