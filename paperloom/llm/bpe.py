@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 2 << 20, 250_000
-#: Symbols of a word from which on it is walked alone.
-DEEP = 200
 #: Fixed values of the tokenizer file's rules; white space is Unicode's, without the separators 0x1C to 0x1F.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -148,8 +146,9 @@ class TrieEncoder:
         """Words of byte symbols, without end mark -> their tokens.
 
         In the trie a word hangs where no other shares its way any more; its end, where others go on, is under None. A node
-        is entered with its prefix, the places, ascending, from where the prefix still begins a token, and those of the
-        prefix before it; states holds the states of all prefixes above."""
+        is a word that goes through it, which gives its prefix, and what comes below. It is entered with the places,
+        ascending, from where the prefix still begins a token, and those of the prefix before it; states holds the states of
+        all prefixes above. The way down is a list, so that words of any length share prefixes of any length."""
         trie: dict = {}
         for w in words:
             node, i, n = trie, 0, len(w)
@@ -159,9 +158,8 @@ class TrieEncoder:
                     node[w[i]] = w
                     break
                 if below.__class__ is str:
-                    node[w[i]] = {below[i + 1] if len(below) > i + 1 else None: below}
-                    below = node[w[i]]
-                node, i = below, i + 1
+                    below = node[w[i]] = (below, {below[i + 1] if len(below) > i + 1 else None: below})
+                node, i = below[1], i + 1
                 if i == n:
                     node[None] = w
                     break
@@ -197,8 +195,10 @@ class TrieEncoder:
                         return
             raise ValueError(f"no token ends {word!r}")
 
-        def enter(node: dict, prefix: str, starts: list[int], above: list[int]):
-            for symbol, below in node.items():
+        way: list[tuple] = [(iter(trie.items()), [0], [])]
+        while way:
+            items, starts, above = way[-1]
+            for symbol, below in items:
                 if symbol is None:
                     complete(above, below)
                 elif below.__class__ is str:  # the rest of one word
@@ -210,36 +210,15 @@ class TrieEncoder:
                     complete(at, below)
                     del states[depth:]
                 else:
-                    live, here = [], prefix + symbol
-                    states.append(after(starts, here, len(here), live))
-                    enter(below, here, live, starts)
-                    states.pop()
-
-        enter(trie, "", [0], [])
-        enter = None  # else it would hold itself, and the words
+                    live = []
+                    states.append(after(starts, below[0], len(states), live))
+                    way.append((iter(below[1].items()), live, starts))
+                    break
+            else:
+                way.pop()
+                states.pop()
         return out
 
-    def encode_long(self, word: str) -> list[str]:
-        """The same for one long word, from its first symbol to its last; only as many symbols back as a token has."""
-        states, starts, ids, longest = [None], [0], self.ids, self.longest
-        for n in range(1, len(word) + 1):
-            end = self.end if n == len(word) else ""
-            part = word[max(0, n - longest) : n]
-            gone, last, live = n - len(part), None, []
-            for k in starts:
-                token = part[k - gone :] + end
-                if not end and token not in self.begun:
-                    continue
-                live.append(k)
-                if last is None and token in ids:
-                    pair = (states[k] and states[k][0], token)
-                    ok = self.follows.get(pair)
-                    if self.stands(pair) if ok is None else ok:
-                        last = (token, states[k])
-            states.append(last)
-            starts = [*live, n]
-        return self.tokens(states[-1], word)
-
     @staticmethod
     def tokens(state: tuple | None, word: str) -> list[str]:
         if state is None:
@@ -264,9 +243,7 @@ class TrieEncoder:
         symbols = {w: "".join([self.bytes[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words}
         gc.disable()  # tries and states are many and hold no cycles
         try:
-            short = {s for s in symbols.values() if len(s) <= DEEP}
-            tokens = self.encode_words(short)
-            tokens.update((s, self.encode_long(s)) for s in symbols.values() if len(s) > DEEP)
+            tokens = self.encode_words(set(symbols.values()))
         finally:
             gc.enable()
         number, text = self.number, self.text

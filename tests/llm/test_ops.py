@@ -251,6 +251,20 @@ def test_bpe_of_long_words():
         assert time.time() - t < 8 and ids == " ".join(map(str, lib.encode(w, add_special_tokens=False).ids))
 
 
+def test_bpe_of_long_shared_prefixes():
+    """Words that part only after 200, 5,000 or 150,000 symbols go through one trie."""
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    lib, encoder = Tokenizer.from_file(path), bpe.TrieEncoder(path)
+    base = "".join(r.choice("abcdeor") for _ in range(150_000))
+    words = [base[:n] + tail for n in (1, 199, 200, 201, 1_000, 5_000, 150_000) for tail in ("", "s", "ing", "é")]
+    t = time.time()
+    got = [x[0] for x in encoder.encode_batch(words)]
+    assert time.time() - t < 20
+    assert got == [" ".join(map(str, lib.encode(w, add_special_tokens=False).ids)) for w in words]
+
+
 def test_personal_data(odd, none):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     r = random.Random(5)
