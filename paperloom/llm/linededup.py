@@ -1,15 +1,16 @@
 """Line de-duplication by a segment-partition edit join.
 
-Unit: \\n-split lines of at least MIN_CHARS code points, as they are. Two lines are the same if their edit distance
-(insertions, deletions, substitutions of code points) is at most EDITS, or if such steps connect them; of each class
-the occurrence with the least (doc_id, line number) stays and the others leave their texts. Shorter lines that are not
-blank (ASCII white space) are classes by equality: two edits are too much of a short line.
+Unit: \\n-split lines that are not blank (ASCII white space), as they are. Two lines are the same if their edit distance
+(insertions, deletions, substitutions of code points) is at most what the shorter one allows, one edit for each PER_EDIT
+of its code points and EDITS at most, or if such steps connect them; of each class the occurrence with the least
+(doc_id, line number) stays and the others leave their texts. Lines that allow no edit are the same if they are equal.
 
-A line is cut into EDITS + 1 even segments. EDITS edits leave one segment whole, so a line within that distance holds
-it at one of few starts, which follow from both lengths; each line is filed under its own segments and under the
-substrings at those starts. Lines that share a key are compared by a banded bit-parallel edit distance.
+A line that allows e edits is cut into e + 1 even segments. So many edits leave one segment whole, so a line within that
+distance holds it at one of few starts, which follow from both lengths; each line is filed under its own segments and
+under the substrings at those starts, for each length that the shorter line may have. Lines that share a key are
+compared by a banded bit-parallel edit distance.
 
-Defined cases: null text and null doc_id pass unchanged and take no part; blank short lines are left alone; rows that share
+Defined cases: null text and null doc_id pass unchanged and take no part; blank lines are left alone; rows that share
 a doc_id lose the same line numbers; a text whose every line leaves becomes empty; an empty table gives an empty
 table; all columns stay, whatever their names.
 """
@@ -24,7 +25,7 @@ from paperloom.llm import textbytes as tb
 from paperloom.llm.links import linked, repeated_keys
 from paperloom.llm.store import bounded, named, numbered, saved
 
-EDITS, MIN_CHARS = 2, 30
+EDITS, PER_EDIT = 2, 15
 #: Cells of a padded matrix of code points at once; columns between two looks at which pairs are still near.
 CELLS, LOOK = 1 << 20, 12
 
@@ -100,18 +101,35 @@ def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return out
 
 
-def _long_lines(batch, min_chars: int, short: bool = False):
-    """For each piece: buf, its code points' places, and of the long enough lines starts, ends, document, number, hash.
+def allowed(length: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
+    """The edits that lines of such lengths allow."""
+    return np.minimum(length // per_edit, edits)
 
-    With `short`, also of shorter lines that are not blank."""
+
+def near(edits: int, per_edit: int):
+    """For data, x, y: whether data[x[i]] and data[y[i]] are within the edits that the shorter of them allows."""
+
+    def run(data: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        most, out = allowed(np.minimum(size[x], size[y]), edits, per_edit), np.zeros(len(x), bool)
+        for e in range(1, edits + 1):
+            of = np.flatnonzero(most == e)
+            if len(of):
+                out[of] = within(data, x[of], y[of], e)
+        return out
+
+    return run
+
+
+def _lines(batch, least: int = 0):
+    """For each piece: buf, its code points' places, and of the lines that are not blank and have at least so many code
+    points starts, ends, first code point and their number, document, line number, hash."""
     for at, _, buf, offs in tb.pieces(batch.column("text")):
         start, end, first = tb.lines(buf, offs)
         point = np.flatnonzero((buf & 0xC0) != 0x80)
         a, b = np.searchsorted(point, start), np.searchsorted(point, end)
-        keep = b - a >= min_chars
-        if short:
-            seen = np.concatenate(([0], np.cumsum(~tb.SPACE[buf])))
-            keep |= seen[end] > seen[start]
+        seen = np.concatenate(([0], np.cumsum(~tb.SPACE[buf])))
+        keep = (b - a >= least) & (seen[end] > seen[start])
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         number = np.arange(len(start)) - first[doc]
         hasher = tb.Hasher(buf)
@@ -119,19 +137,16 @@ def _long_lines(batch, min_chars: int, short: bool = False):
         yield buf, np.append(point, len(buf)), hasher, start, end, a, b - a, doc + at, number, hasher(start, end).view(np.int64)
 
 
-def _occurrences(min_chars: int, short: bool):
-    def run(batches):
-        for batch in batches:
-            for *_, doc, number, h in _long_lines(batch, min_chars, short):
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int64())], ["h", "doc_id", "line"])
+def _occurrences(batches):
+    for batch in batches:
+        for *_, doc, number, h in _lines(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int64())], ["h", "doc_id", "line"])
 
-    return run
 
-
-def _texts(min_chars: int):
+def _texts(least: int):
     def run(batches):
         for batch in batches:
-            for buf, _, _, start, end, *_, h in _long_lines(batch, min_chars):
+            for buf, _, _, start, end, *_, h in _lines(batch, least):
                 once = np.unique(h, return_index=True)[1]
                 raw = buf.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array([raw[s:e].decode() for s, e in zip(start[once].tolist(), end[once].tolist(), strict=True)], pa.string())], ["id", "data"])
@@ -139,29 +154,31 @@ def _texts(min_chars: int):
     return run
 
 
-def segments(length: np.ndarray, edits: int):
+def segments(length: np.ndarray, edits: int, per_edit: int):
     """For lines of such lengths: (length of the partner, number of the segment, start, size, in bounds, own) of each filing.
 
     own: a line's segment of itself; the others are where it may hold a segment of a line that is no longer."""
-    for shorter in range(edits + 1):
-        partner = length - shorter
-        base, extra = partner // (edits + 1), partner % (edits + 1)
-        for i in range(edits + 1):
-            size = base + (i >= edits + 1 - extra)
-            place = i * base + np.maximum(0, i - (edits + 1 - extra))
-            for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                start = place + off
-                yield partner, i, start, size, (start >= 0) & (start + size <= length) & (size > 0), not shorter and not off
-
-
-def _filings(min_chars: int, edits: int):
+    for e in range(1, edits + 1):
+        for shorter in range(e + 1):
+            partner = length - shorter
+            cut = allowed(partner, edits, per_edit) == e
+            base, extra = partner // (e + 1), partner % (e + 1)
+            for i in range(e + 1):
+                size = base + (i >= e + 1 - extra)
+                place = i * base + np.maximum(0, i - (e + 1 - extra))
+                for off in range(max(-i, shorter - (e - i)), min(i, shorter + e - i) + 1):
+                    start = place + off
+                    yield partner, i, start, size, cut & (start >= 0) & (start + size <= length) & (size > 0), not shorter and not off
+
+
+def _filings(edits: int, per_edit: int):
     def run(batches):
         for batch in batches:
-            for _, point, hasher, _, _, a, length, *_, h in _long_lines(batch, min_chars):
+            for _, point, hasher, _, _, a, length, *_, h in _lines(batch, per_edit):
                 once = np.unique(h, return_index=True)[1]
                 a, length, h = a[once], length[once], h[once]
                 keys, ids, owned = [], [], []
-                for partner, i, start, size, ok, own in segments(length, edits):
+                for partner, i, start, size, ok, own in segments(length, edits, per_edit):
                     s = a[ok] + start[ok]
                     key = tb.mixed(hasher(point[s], point[s + size[ok]]) + (partner[ok] * 64 + i).astype(np.uint64) * np.uint64(0x9E37_79B9_7F4A_7C15))
                     keys.append(key.view(np.int64))
@@ -172,17 +189,15 @@ def _filings(min_chars: int, edits: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, gone: the numbers of the lines that leave each document, for those that lose any.
-
-    With `short`, equal lines under min_chars that are not blank are classes too."""
+def repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, gone: the numbers of the lines that leave each document, for those that lose any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    members = repeated_keys(docs.mapInArrow(_filings(max(min_chars, edits + 1), edits), "key long, id long, own boolean"))
+    members = repeated_keys(docs.mapInArrow(_filings(edits, per_edit), "key long, id long, own boolean"))
     ids = saved(members.select("id").distinct(), "ids")
-    lines = docs.mapInArrow(_texts(min_chars), "id long, data string")
+    lines = docs.mapInArrow(_texts(per_edit), "id long, data string")
     payload = saved(lines.join(bounded(ids), "id").dropDuplicates(["id"]), "lines")
-    labels = linked(members, payload, within)
-    found = saved(docs.mapInArrow(_occurrences(min_chars, short), "h long, doc_id long, line long"), "occurrences")
+    labels = linked(members, payload, near(edits, per_edit))
+    found = saved(docs.mapInArrow(_occurrences, "h long, doc_id long, line long"), "occurrences")
     found = found.join(bounded(labels.withColumnRenamed("id", "h")), "h", "left").select(F.coalesce("label", "h").alias("g"), "doc_id", "line")
     first = found.groupBy("g").agg(F.min("doc_id").alias("doc0"), F.count("*").alias("n")).where("n > 1").select("g", "doc0")
     again = found.join(bounded(saved(first, "first")), "g").groupBy("doc_id", "g", "doc0").agg(F.collect_set("line").alias("at"))
@@ -202,24 +217,24 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _removed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _removed(docs: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """numbered(docs), its texts without their repeated lines, plus removed, the number of these."""
     plain, c = numbered(docs)
-    gone = repeated_lines(plain.select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["text"]).alias("text")), edits, min_chars, short=True)
+    gone = repeated_lines(plain.select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["text"]).alias("text")), edits, per_edit)
     out = plain.join(gone, F.col(c["doc_id"]) == F.col("doc_id"), "left")
     return out.withColumn(c["text"], _without(c["text"], "gone")).withColumn("removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
 
 
-def line_removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_removals(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """doc_id, text without its repeated lines, and removed, the number of these, for each row of docs."""
     c = numbered(docs)[1]
-    return _removed(docs, edits, min_chars).select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["text"]).alias("text"), "removed")
+    return _removed(docs, edits, per_edit).select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["text"]).alias("text"), "removed")
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """docs with the repeated lines taken out of text; every row and column stays, and n_chars, if there, follows."""
     c = numbered(docs)[1]
-    out = _removed(docs, edits, min_chars)
+    out = _removed(docs, edits, per_edit)
     if "n_chars" in c:
         changed = F.when(F.col("removed") > 0, F.length(c["text"]).cast("long")).otherwise(F.col(c["n_chars"]).cast("long"))
         out = out.withColumn(c["n_chars"], changed)

@@ -112,8 +112,10 @@ def test_repeated_lines(spark, odd, none):
     r = random.Random(9)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(25, 60))) for _ in range(25)]
     docs = [(i, "\n".join([changed(r.choice(base), r) for _ in range(6)] + ["ok", ""])) for i in range(40)]
+    docs += [(100 + i, "\n".join(changed(r.choice(base)[: r.choice([8, 14, 15, 16, 24, 29, 30, 31])], r) for _ in range(8))) for i in range(60)]
+    docs.append((200, " " * 40 + "\n \n\n" + " " * 40))
     got = {(x["doc_id"], n) for x in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() for n in x["gone"]}
-    lines = [(i, n, s) for i, t in docs for n, s in enumerate(t.split("\n")) if len(s) >= linededup.MIN_CHARS]
+    lines = [(i, n, s) for i, t in docs for n, s in enumerate(t.split("\n")) if s.strip(" ")]
     kinds = sorted({s for *_, s in lines})
     top = {s: s for s in kinds}
 
@@ -124,7 +126,8 @@ def test_repeated_lines(spark, odd, none):
 
     for i, a in enumerate(kinds):
         for b in kinds[:i]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            most = min(2, len(a) // 15, len(b) // 15)
+            if most and abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 top[find(a)] = find(b)
     seen, want = set(), set()
     for i, n, s in lines:
@@ -140,11 +143,11 @@ def test_repeated_lines(spark, odd, none):
 
 def test_repeated_short_lines(spark):
     keep = "a line that no other document has"
-    rows = [(1, f"All rights reserved.\n\n{keep} 1x\nAll rights reserved."), (2, "All rights reserved.\n\n \nAll right reserved."), (3, "é\n\n \né"), (4, None)]
+    rows = [(1, f"All rights reserved.\n\n{keep} 1x\nAll rights reserved.\nShare this"), (2, "All rights reserved.\n\n \nAll right reserved.\nA light reserved\nShare thus"), (3, "é\n\n \né"), (4, None)]
     out = linededup.line_removals(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["doc_id"]: (r["text"], r["removed"]) for r in out.collect()}
-    # blank lines stay, and so does a short line that is only near another one
-    assert got == {1: (f"All rights reserved.\n\n{keep} 1x", 1), 2: ("\n \nAll right reserved.", 1), 3: ("é\n\n ", 1), 4: (None, 0)}
+    # blank lines stay, and so do a line several edits away and one too short for an edit
+    assert got == {1: (f"All rights reserved.\n\n{keep} 1x\nShare this", 1), 2: ("\n \nA light reserved\nShare thus", 2), 3: ("é\n\n ", 1), 4: (None, 0)}
 
 
 def test_quality(spark, odd, none):

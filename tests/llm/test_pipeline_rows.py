@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 
-from paperloom.llm import linededup, quality
+from paperloom.llm import quality
 from tests.llm.test_ops import WORD, distance
 
 D = "/root/testdata/sf0.001"
@@ -47,8 +47,8 @@ class Classes(dict):
 
 
 def without_lines(docs):
-    """All pairs of long enough lines; what the counts of their characters rule out is not measured."""
-    kinds = sorted({s for t, *_ in docs.values() for s in t.split("\n") if len(s) >= linededup.MIN_CHARS}, key=len)
+    """All pairs of lines; what the counts of their characters rule out is not measured."""
+    kinds = sorted({s for t, *_ in docs.values() for s in t.split("\n") if s.strip(" \t\n\v\f\r")}, key=len)
     chars = {c: n for n, c in enumerate(sorted({c for s in kinds for c in s}))}
     table = np.zeros((len(kinds), len(chars)), np.int32)
     for row, s in zip(table, kinds, strict=True):
@@ -58,13 +58,13 @@ def without_lines(docs):
     for i, s in enumerate(kinds):
         to = np.searchsorted(size, len(s) + 2, "right")
         for j in np.flatnonzero(np.abs(table[i + 1 : to] - table[i]).sum(axis=1) <= 4) + i + 1:
-            if distance(s, kinds[j]) <= 2:
+            if len(s) >= 15 and distance(s, kinds[j]) <= min(2, len(s) // 15):
                 classes.join(s, kinds[j])
     seen, out = set(), {}
     for i in sorted(docs):
         kept = []
         for s in docs[i][0].split("\n"):
-            one = classes.find(s) if len(s) >= linededup.MIN_CHARS else s
+            one = classes.find(s)
             if not s.strip(" \t\n\v\f\r") or one not in seen:
                 kept.append(s)
             seen.add(one)
