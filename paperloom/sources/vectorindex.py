@@ -11,15 +11,19 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from paperloom.functions.vectors import cosine, norm
+from paperloom.functions.vectors import norm
+from paperloom.operators.resolve import cut
 
-#: Vectors that centres are fitted on, rounds of fitting, questions of one look-up.
-SAMPLE, ROUNDS, QUESTIONS = 20_000, 8, 1_000
+#: Vectors that centres are fitted on, rounds of fitting; rows and questions of a block; questions scored at once; scores
+#: that sums in another order, or rounding to nine places, may tell apart.
+SAMPLE, ROUNDS, ROWS, QUESTIONS, ASKED, NEAR = 20_000, 8, 4_096, 4_096, 256, 1e-8
 META = "version string, model string, size int, made double, centres array<array<double>>"
 
 
@@ -109,19 +113,69 @@ def opened(spark: SparkSession, path: str, lists: list[int] | None = None) -> Da
     return rows.join(gone, "chunk_id", "left").where(F.col("gone").isNull() | (F.col("gone") < F.col("added"))).drop("gone", "added")
 
 
+def _listed(centres: np.ndarray, probes: int):
+    """The nearest lists of each vector."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(w: pd.Series) -> pd.Series:
+        return pd.Series([np.argsort(-(centres @ v), kind="stable")[:probes].tolist() for v in w])
+
+    return run
+
+
+def _best(k: int, columns: list[str]):
+    """Of the rows and the questions of one group the rows that may be among a question's k nearest of all, scored in the
+    order of sums that Spark has; of rows with one score, k at most, the least chunk_id first."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        of, at, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(rows) and len(asked):
+            v, w = (np.stack(t.column(c).to_numpy()) for t, c in ((rows, "v"), (asked, "w")))
+            ids = rows.column("chunk_id").combine_chunks()
+            place = np.empty(len(ids), np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            long, wide = (np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1]) for x in (v, w))
+            for first in range(0, len(w), ASKED):
+                rough = w[first : first + ASKED] @ v.T / (np.outer(wide[first : first + ASKED], long) + 1e-12)
+                least = np.partition(rough, -k, axis=1)[:, -k] - NEAR if len(v) > k else np.full(len(rough), -np.inf)
+                for q, (line, low) in enumerate(zip(rough, least, strict=True), first):
+                    some = np.flatnonzero(~(line < low))
+                    exact = np.add.accumulate(v[some] * w[q], axis=1)[:, -1] / (long[some] * wide[q] + 1e-12)
+                    exact[np.isnan(exact)] = 0.0
+                    order = np.lexsort((place[some], -exact))
+                    some, exact = some[order], exact[order]
+                    run_of = np.flatnonzero(np.concatenate(([True], exact[1:] != exact[:-1])))
+                    turn = np.arange(len(some)) - np.repeat(run_of, np.diff(np.append(run_of, len(some))))
+                    some, exact = some[turn < k], exact[turn < k]
+                    of.append(np.full(len(some), q))
+                    at.append(some)
+                    score.append(exact)
+        found = rows.take(pa.array(np.concatenate(at))).select(columns)
+        question = asked.column("question").take(pa.array(np.concatenate(of)))
+        return pa.Table.from_arrays([question, pa.array(np.concatenate(score)), *found.columns], names=["question", "score", *columns])
+
+    return run
+
+
 def nearest(spark: SparkSession, path: str, questions: DataFrame, k: int, probes: int, scope: Column | None = None) -> DataFrame:
-    """questions (question, w; at most QUESTIONS) -> question, score, rank and the columns of its k nearest rows within the
-    scope, a condition on the index's columns, out of its `probes` nearest lists."""
-    asked = questions.select("question", "w").limit(QUESTIONS + 1).collect()
-    if len(asked) > QUESTIONS:
-        raise ValueError(f"more than {QUESTIONS} questions")
-    centres = np.array(meta(spark, path)["centres"])
-    near = {r["question"]: np.argsort(-(centres @ np.array(r["w"])), kind="stable")[:probes].tolist() for r in asked}
-    rows = opened(spark, path, sorted(set().union(*near.values())))
+    """questions (question, w) -> question, score, rank and the columns of its k nearest rows within the scope, a condition
+    on the index's columns, out of its `probes` nearest lists.
+
+    The rows of a list are dealt into blocks of some ROWS, its questions into blocks of some QUESTIONS; each block of rows
+    meets each block of questions in a group, which yields k rows a question, but for rows within NEAR of the last."""
+    told = cut(questions.select("question", "w", F.explode(_listed(np.array(meta(spark, path)["centres"]), probes)("w")).alias("list")))
+    asked = told.groupBy("list").count().collect()  # a row a list at most
+    rows = opened(spark, path, sorted(r["list"] for r in asked))
     rows = rows if scope is None else rows.where(scope)
-    kind = dict(questions.dtypes)["question"]
-    told = spark.createDataFrame([(q, [float(x) for x in r["w"]], i) for r in asked for q in [r["question"]] for i in near[q]], f"question {kind}, w array<double>, list int")
-    met = rows.join(F.broadcast(told), "list")  # at most QUESTIONS * probes rows
-    met = met.withColumn("score", F.round(cosine(F.col("v"), F.col("w")), 9)).drop("w", "v", "list")
+    held = rows.groupBy("list").count().agg(F.max("count")).first()[0] or 0
+    parts, turns = max(1, -(-held // ROWS)), max([1, *(-(-r["count"] // QUESTIONS) for r in asked)])
+    columns = [c for c in rows.columns if c not in ("v", "list")]
+    block = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("part", block("chunk_id", parts)).withColumn("turn", every(turns)).groupBy("list", "part", "turn")
+    right = told.withColumn("turn", block("question", turns)).withColumn("part", every(parts)).groupBy("list", "part", "turn")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"question {dict(questions.dtypes)['question']}, score double, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    met = left.cogroup(right).applyInArrow(_best(k, columns), schema).withColumn("score", F.round("score", 9))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "chunk_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -68,3 +68,21 @@ def test_added_and_deleted(spark, tmp_path):
     with pytest.raises(ValueError, match="no vector"):
         V.build(table([(1, 1, "x", None)]), at, "m", 4)
     assert V.opened(spark, at).count() == 20
+
+
+def test_many_questions_and_equal_rows(spark, tmp_path, monkeypatch):
+    """More questions than a block holds, blocks of few rows, and more equal rows than are asked for: as all pairs tell."""
+    monkeypatch.setattr(V, "ROWS", 300)
+    monkeypatch.setattr(V, "QUESTIONS", 400)
+    at, rows = f"{tmp_path}/i", clustered(1200)
+    rows += [(5000 + i, 1, "|a|", rows[7][3]) for i in range(60)]
+    V.build(spark.createDataFrame(rows, SCHEMA), at, "m", 3)
+    asked = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(-1, [0.0] * 16)], "question long, w array<double>")
+    got = {}
+    for r in V.nearest(spark, at, asked, 4, 3, F.col("slugs") == "|a|").collect():
+        got.setdefault(r["question"], []).append((r["rank"], r["chunk_id"], r["paper_id"]))
+    of = {r[0]: r for r in rows}
+    assert len(got) == 1261 and [i for _, i, _ in sorted(got[-1])] == sorted(i for i, r in of.items() if r[2] == "|a|")[:4]
+    for q in [*range(0, 1200, 40), 7, 5000, 5059]:
+        want = exact(of, of[q][3], 4, lambda r: r[2] == "|a|")
+        assert sorted(got[q]) == [(n, i, of[i][1]) for n, i in enumerate(want, 1)]
