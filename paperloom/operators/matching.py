@@ -41,12 +41,24 @@ def main_title(title: Column) -> Column:
     return F.element_at(F.split(F.coalesce(title, F.lit("")), ":", 2), 1)
 
 
+def title_keys(title: Column) -> Column:
+    """What titles are compared by, made once a row: folded whole, without its subtitle, and squashed."""
+    return F.struct(folded(title).alias("all"), folded(main_title(title)).alias("main"), squashed(folded(title)).alias("letters"))
+
+
+def page_letters(front: Column) -> Column:
+    return squashed(folded(first_page(front)))
+
+
+def keys_fit(own: Column, page: Column, of: Column) -> Column:
+    """title_fits() of two title_keys() and page_letters(), for pairs of rows."""
+    same = (own["all"] == of["all"]) | (own["main"] == of["all"]) | (own["all"] == of["main"])
+    return (own["all"] != "") & (of["all"] != "") & (same | F.contains(page, of["letters"]))
+
+
 def title_fits(title: Column, front: Column, w_title: Column) -> Column:
     """Both titles are one, or one is the other without its subtitle, or the work's is printed on the first page."""
-    own, of = folded(title), folded(w_title)
-    same = (own == of) | (folded(main_title(title)) == of) | (own == folded(main_title(w_title)))
-    printed = F.contains(squashed(folded(first_page(front))), squashed(of))
-    return (own != "") & (of != "") & (same | printed)
+    return keys_fit(title_keys(title), page_letters(front), title_keys(w_title))
 
 
 def is_group(name: Column) -> Column:
@@ -64,17 +76,28 @@ def parts(name: Column) -> tuple[Column, Column]:
     return squashed(folded(given)), squashed(folded(family))
 
 
+def name_keys(name: Column) -> Column:
+    """What a name is looked for by, made once a row."""
+    given, family = parts(name)
+    return F.struct(is_group(name).alias("group"), given.alias("given"), family.alias("family"), squashed(folded(name)).alias("token"))
+
+
+def keys_named(key: Column, head: Column, spaced: Column) -> Column:
+    """named() of name_keys(), for pairs of rows: patterns are tried only where their letters are there."""
+    given, family, token = key["given"], key["family"], key["token"]
+    full = F.contains(head, family) & F.contains(head, given) & F.rlike(head, F.concat(given, F.lit(f"[a-z]{{0,{BETWEEN}}}"), family))
+    pattern = F.concat(F.lit("(^|[^a-z])"), F.substring(given, 1, 1), F.lit("( [a-z]){0,2} "), family, F.lit("[a-z]?([^a-z]|$)"))
+    short = (F.length(family) >= 3) & F.contains(spaced, F.concat(F.lit(" "), family)) & F.rlike(spaced, pattern)
+    person = (F.length(family) >= 2) & (given != "") & (full | short)
+    return F.coalesce(F.when(key["group"], (F.length(token) >= 4) & F.contains(head, token)).otherwise(person), F.lit(False))
+
+
 def named(name: Column, head: Column, spaced: Column) -> Column:
     """Whether an author is printed: head is squashed text, spaced folded text without digits.
 
     A group's name has four letters or more; of a person, given and family name with at most BETWEEN letters between, or the
     initial, at most two more, and a family name of three letters or more, which a letter may follow."""
-    given, family = parts(name)
-    full = F.rlike(head, F.concat(given, F.lit(f"[a-z]{{0,{BETWEEN}}}"), family))
-    short = F.rlike(spaced, F.concat(F.lit("(^|[^a-z])"), F.substring(given, 1, 1), F.lit("( [a-z]){0,2} "), family, F.lit("[a-z]?([^a-z]|$)")))
-    person = (F.length(family) >= 2) & (given != "") & (full | ((F.length(family) >= 3) & short))
-    token = squashed(folded(name))
-    return F.coalesce(F.when(is_group(name), (F.length(token) >= 4) & F.contains(head, token)).otherwise(person), F.lit(False))
+    return keys_named(name_keys(name), head, spaced)
 
 
 def spaced(text: Column) -> Column:
@@ -85,7 +108,11 @@ def spaced(text: Column) -> Column:
 def authors_fit(first: Column, others_named: Column, n_authors: Column, head: Column, words: Column, first_alone: bool = False) -> Column:
     """The first author is printed, and a second one too, unless there is no other or the first is a group."""
     ok = (head != "") & named(first, head, words)
-    return ok if first_alone else ok & ((n_authors == 1) | is_group(first) | others_named)
+    return ok if first_alone else with_others(ok, is_group(first), others_named, n_authors)
+
+
+def with_others(first_ok: Column, group: Column, others_named: Column, n_authors: Column) -> Column:
+    return first_ok & ((n_authors == 1) | group | others_named)
 
 
 def verified(title_ok: Column, authors_ok: Column, first_ok: Column, by: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions.vectors import cosine, doubles
 from paperloom.operators import calibration, matching, ranking, rerank, resolve, titles, topiclists
+from paperloom.operators.resolve import cut
 from paperloom.plans.interest import BASE, R, cos, feed, pooled, scores, split
 from paperloom.plans.library import P, papers
 from paperloom.plans.registry import query, table
@@ -477,11 +478,13 @@ def j12(spark, d):
     w = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")
     at = lambda n: F.coalesce(F.get(w, F.lit(n)), F.lit(""))
     name = F.when(i % 4 == 0, F.concat(at(2), F.lit(", "), at(1))).when(i % 4 == 1, F.concat(F.substring(at(1), 1, 1), F.lit(" "), at(2))).when(i % 4 == 2, at(2)).otherwise(F.concat(at(1), F.lit(" "), at(2)))
-    works = p.select(i.alias("work"), "dk", F.when(i % 5 == 0, F.concat("title", F.lit(": more"))).when(i % 5 == 1, "Else").otherwise(F.col("title")).alias("w_title"), name.alias("first"), F.concat(at(4), F.lit(" "), at(5)).alias("second"), F.when((at(4) == "") | (at(5) == ""), 1).otherwise(2).alias("n"))
+    w_title = F.when(i % 5 == 0, F.concat("title", F.lit(": more"))).when(i % 5 == 1, "Else").otherwise(F.col("title"))
+    works = p.select(i.alias("work"), "dk", w_title.alias("w_title"), name.alias("first"), F.concat(at(4), F.lit(" "), at(5)).alias("second"), F.when((at(4) == "") | (at(5) == ""), 1).otherwise(2).alias("n"))
+    # all that a row alone tells is made once, before its DOI brings it together with others
+    works = cut(works.select("work", "dk", "n", matching.title_keys(F.col("w_title")).alias("of"), matching.name_keys(F.col("first")).alias("first"), matching.name_keys(F.col("second")).alias("second")))
     head = F.substring("text", 1, matching.HEAD)
     rec = p.select(i.alias("record"), "dk", F.when(i % 7 == 0, "Other").otherwise(F.col("title")).alias("title"), F.when(i % 3 == 0, "doi").otherwise("title").alias("way"), "text", matching.squashed(matching.folded(head)).alias("head"), matching.spaced(head).alias("spaced"))
-    h = rec.join(works, "dk")
-    first = matching.authors_fit(F.col("first"), F.lit(True), F.col("n"), F.col("head"), F.col("spaced"), first_alone=True)
-    all_of = matching.authors_fit(F.col("first"), matching.named(F.col("second"), F.col("head"), F.col("spaced")), F.col("n"), F.col("head"), F.col("spaced"))
-    h = h.withColumns({"title_ok": matching.title_fits(F.col("title"), F.col("text"), F.col("w_title")), "first_ok": first, "authors_ok": all_of})
+    rec = cut(rec.select("record", "dk", "way", "head", "spaced", matching.title_keys(F.col("title")).alias("own"), matching.page_letters(F.col("text")).alias("page")))
+    h = rec.join(works, "dk").withColumns({"title_ok": matching.keys_fit(F.col("own"), F.col("page"), F.col("of")), "first_ok": (F.col("head") != "") & matching.keys_named(F.col("first"), F.col("head"), F.col("spaced"))})
+    h = h.withColumn("authors_ok", matching.with_others(F.col("first_ok"), F.col("first.group"), matching.keys_named(F.col("second"), F.col("head"), F.col("spaced")), F.col("n")))
     return h.select("record", "work", "title_ok", "authors_ok", matching.verified(F.col("title_ok"), F.col("authors_ok"), F.col("first_ok"), F.col("way")).alias("verified"))

@@ -49,3 +49,11 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, "t boolean, a boolean, f boolean, how string")
     for r in df.select("*", M.verified(F.col("t"), F.col("a"), F.col("f"), F.col("how")).alias("ok")).collect():
         assert r["ok"] == ((r["t"] or r["f"]) if r["how"] == "doi" else (r["t"] and r["a"]))
+
+
+def test_pairs_fold_nothing(spark):
+    """No Python runs above the join of records with works: what a row alone tells is made before."""
+    from paperloom.plans import catalog
+
+    plan = catalog.queries()["j12_verified_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "EvalPython" not in plan.split("Join")[0]
