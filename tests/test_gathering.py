@@ -5,6 +5,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,13 @@ def test_placeholder_vectors(spark):
     assert len({tuple(r["v"]) for r in out}) > 1
 
 
+def test_placeholder_vectors_in_one_buffer():
+    texts = ["a", None, "", "Ünder"] * 50
+    got = works.unit_normals(pa.array(texts))
+    assert got.to_pylist() == [works.unit_normal(t) for t in texts] and got.nbytes < 200 * 128 * 8 + 2000
+    assert len(works.unit_normals(pa.array([], pa.string()))) == 0
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "m.csv").write_text('Title,DOI,Year\n"Known, by doi",https://doi.org/10.1/A,\nKnown title,,2020\nKnown title,,1999\nKnown title,,\n,10.9/zz,x\n')
     known = [(1, "10.1/a", "Known by DOI", 2001, "abs"), (2, None, "Known title!", 2020, ""), (3, "10.3/c", "Other", 2002, None)]
