@@ -6,6 +6,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import logits, querymodes
 from paperloom.sources.snapshots import Conflict, Snapshots
@@ -139,3 +140,15 @@ def test_stale_fits(spark):
 
     got = {r["profile"]: (r["stale"], r["added"], r["removed"]) for r in fits.stale_fits(t, pairs(was), pairs(now)).collect()}
     assert got == {"same": (False, 0, 0), "added": (True, 1, 0), "swapped": (True, 1, 1), "draft": (False, 1, 1), "old": (False, 2, 2), "old fewer": (True, 2, 0), "untold": (True, 1, 0), "empty": (False, 0, 0)}
+
+
+def test_only_words_that_are_asked_for_are_counted(spark, monkeypatch):
+    """Texts are cut into words once, and of their words those of queries alone are shuffled."""
+    kept = []
+    monkeypatch.setattr(querymodes, "cut", lambda df, cut=querymodes.cut: kept.append(cut(df)) or kept[-1])
+    queries = spark.createDataFrame([("p", 0, "red fish"), ("p", 1, "fish")], "profile string, query_no long, query string")
+    articles = spark.createDataFrame([(1, "One fish, two fish"), (2, "red door"), (3, "none"), (4, None)], "paper_id long, text string")
+    out = querymodes.bm25(queries, articles, articles.select(F.lit("p").alias("profile"), "paper_id"))
+    assert {(r["paper_id"], r["query_no"]) for r in out.collect()} == {(1, 0), (1, 1), (2, 0)}
+    counts = [t for t in kept if "tf" in t.columns]
+    assert len(counts) == 1 and {(r["paper_id"], r["length"], r["word"], r["tf"]) for r in counts[0].collect()} == {(1, 4, "fish", 2), (2, 2, "red", 1)}
