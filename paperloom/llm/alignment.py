@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.bpe import byte_symbols
 from paperloom.llm.store import BROADCAST_ROWS, bounded, saved
 
-LONG, RANGE, FAN, WORDS, LONG_WORD, BLOCK_ROWS, BLOCK_BYTES, HUB = 1 << 16, 1 << 15, 8, 120_000, 48, 4096, 8 << 20, 10_000
+LONG, RANGE, FAN, WORDS, LONG_WORD, BLOCK_ROWS, BLOCK_BYTES, HUB, ALONE = 1 << 16, 1 << 15, 8, 120_000, 48, 4096, 8 << 20, 10_000, 8
 #: A blank behind a visible character begins a word of both tokenizers.
 WORD = re.compile(r"[ \n][^ \n]*(?:(?<=\s)[ \n][^ \n]*)*")
 #: Where A may be cut: before white space, behind ASCII letters, and before full-width punctuation behind CJK letters.
@@ -71,6 +71,10 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = {i: len(x) for i, x in self.a_bytes.items()}, [len(x) for x in self.b_bytes]
+        top = max(max(self.a_len), len(pieces) - 1) + 1
+        self.sizes = np.array([self.a_len.get(i, 0) for i in range(top)]), np.array(self.b_len)
+        #: Each id as it stands in groups: before another, as the last of A, as the last of B.
+        self.shown = [np.array([f"{i}{c}" for i in range(top)], object) for c in ",|;"]
         #: Characters that some entry of B joins, blanks as such.
         self.joined = {p[i : i + 2].replace("▁", " ") for i_, p in enumerate(pieces) if not self.b.is_byte(i_) for i in range(len(p) - 1)}
         self.line = self.b.encode("\n")
@@ -96,14 +100,48 @@ class Pair:
         return at
 
     def learn(self, words: list[str]) -> dict[str, tuple]:
-        """(number of A tokens, B tokens, groups, links; groups as text; pairs of ids) of each word, None for unlike bytes."""
-        out = {}
-        for w, a, b in zip(words, self.a_ids(words), self.b_ids(words), strict=True):
+        """(number of A tokens, groups as text, pairs of ids) of each word, None for unlike bytes.
+
+        Words that end visibly are aligned in one stream; where its bytes differ or no common end is at a word's, in two."""
+        inside = [w for w in words if not w[-1].isspace()]
+        out = self.streamed(inside) if len(inside) > ALONE else None
+        if out is None and len(inside) > ALONE:
+            half = len(inside) // 2
+            out = self.learn(inside[:half]) | self.learn(inside[half:])
+        rest = [w for w in words if w[-1].isspace()] if out else words
+        out = out or {}
+        for w, a, b in zip(rest, self.a_ids(rest), self.b_ids(rest), strict=True):
             if not self.same(w, a, b):
                 out[w] = None
                 continue
-            groups, n, links = aligned(a, [self.a_len[i] for i in a], b, [self.b_len[i] for i in b])
-            out[w] = (len(a), len(b), n, len(links), groups, np.array(links, np.int64).tobytes())
+            groups, _, links = aligned(a, [self.a_len[i] for i in a], b, [self.b_len[i] for i in b])
+            out[w] = (len(a), groups, np.array(links, np.int64).tobytes())
+        return out
+
+    def streamed(self, words: list[str]) -> dict[str, tuple] | None:
+        """learn(), for all words behind each other: a link for each end of a token, a group for each common end."""
+        text = "".join(words)
+        (a,), (b,) = self.a_ids([text]), self.b_ids([text])
+        if not self.same(text, a, b):
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ea, eb = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        ends = np.union1d(ea, eb)
+        ia, ib = np.searchsorted(ea, ends), np.searchsorted(eb, ends)
+        common = ends[ea[ia] == eb[ib]]
+        stops = np.cumsum([len(w.encode()) for w in words])
+        at = np.searchsorted(common, stops)
+        if (common[np.minimum(at, len(common) - 1)] != stops).any():
+            return None
+        links = (a[ia] << 32 | b[ib]).tobytes()
+        ga, gb = np.searchsorted(common, ea), np.searchsorted(common, eb)
+        shown = np.concatenate((np.where(common[ga] == ea, self.shown[1][a], self.shown[0][a]), np.where(common[gb] == eb, self.shown[2][b], self.shown[0][b])))
+        shown = shown[np.argsort(np.concatenate((2 * ga, 2 * gb + 1)), kind="stable")].tolist()
+        na, n, to = (np.searchsorted(x, stops, "right").tolist() for x in (ea, ends, np.sort(np.concatenate((ea, eb)), kind="stable")))
+        out, x, y, z = {}, 0, 0, 0
+        for w, i, j, k in zip(words, na, n, to, strict=True):
+            out[w] = (i - x, "".join(shown[z:k])[:-1], links[8 * y : 8 * j])
+            x, y, z = i, j, k
         return out
 
     def fragments(self, words: set[str]) -> dict[str, tuple]:
@@ -115,7 +153,7 @@ class Pair:
                 known[w] = older[w]
             else:
                 new.append(w)
-        for w, x in self.learn(new).items():
+        for w, x in self.learn(new).items() if new else ():
             if len(w) <= LONG_WORD:
                 known[w] = x
             else:
@@ -229,9 +267,12 @@ def _short(paths: tuple[str, str], digest: bool):
                     got = [known[w] for w in words]
                     if None in got:
                         got = []
-                    groups = ";".join([g[4] for g in got])
-                    pairs, times = np.unique(np.frombuffer(b"".join([g[5] for g in got]), np.int64), return_counts=True)
-                    n_a, n_b, n_groups, n_links = [sum(x) for x in zip(*[g[:4] for g in got], strict=True)] or [0] * 4
+                    groups = ";".join([g[1] for g in got])
+                    links = np.frombuffer(b"".join([g[2] for g in got]), np.int64)
+                    pairs, times = np.unique(links, return_counts=True)
+                    # a group has a comma less on either side than tokens there
+                    n_a, n_groups, n_links = sum([g[0] for g in got]), groups.count("|"), len(links)
+                    n_b = groups.count(",") + 2 * n_groups - n_a
                     docs.append({"doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": hashlib.sha256(groups.encode()).hexdigest() if digest and got else groups})
                     codes.append((pairs, times))
                     size += len(text) + (0 if digest else len(groups))

@@ -266,3 +266,27 @@ def test_parts_of_long_texts():
         assert [got[i].decode() for i in range(5)] == [t or "" for t in texts.to_pylist()]
     finally:
         tb.PIECE = before
+
+
+def test_words_are_learned_in_one_stream():
+    """Both libraries see all new words behind each other; what they say of each is what they say of it alone."""
+    both, rng = alignment.Pair(A_PATH, B_PATH), random.Random(8)
+    words = sorted({rng.choice(" \n") + "".join(rng.choice("abetñ中9.,&\U0001f600") for _ in range(rng.randrange(1, 14))) for _ in range(700)})
+    odd = [" ", " \n ", " a\t", " ①", " ﬁne", " x\u200by", " ▁x"]
+
+    def alone(w):
+        a, b = both.a_ids([w])[0], both.b_ids([w])[0]
+        if not both.same(w, a, b):
+            return None
+        groups, _, links = alignment.aligned(a, [both.a_len[i] for i in a], b, [both.b_len[i] for i in b])
+        return len(a), groups, b"".join(x.to_bytes(8, "little") for x in links)
+
+    calls, whole = [], both.a_ids
+    both.a_ids = lambda texts: calls.append(len(texts)) or whole(texts)
+    got = both.learn(words)
+    assert max(calls) <= 1
+    both.a_ids = whole
+    assert got == {w: alone(w) for w in words} and None not in got.values()
+    mixed = words[:300] + odd + words[300:]
+    assert both.learn(mixed) == {w: alone(w) for w in mixed} and both.learn([]) == {}
+    assert both.learn([" ▁x"]) == {" ▁x": None}
