@@ -40,3 +40,19 @@ def test_scores_of_personal_data(spark):
     assert got[3] == ([""], [""]) and [len(x) for x in got[1]] == [3, 3]
     # the word beside it raises the score of a card
     assert float(got[1][1][0]) > float(got[2][1][0])
+
+
+def test_all_findings_train(spark):
+    """No document, finding of a document or word is left out of the fit, and how rows lie in partitions changes nothing."""
+    text = " ".join(f"token={i:04d}abcdefgh{i:04d}" for i in range(20))
+    docs = spark.createDataFrame([(i, text.replace("abc", f"q{i}z") + " Unquestionable" + "abcdefghij"[i % 10] * 9) for i in range(450)], "doc_id long, text string")
+    found = saved(docs.mapInArrow(secrets._look, f"doc_id long, found {secrets.FOUND}"), "found")
+    every = secrets.labelled_findings(found).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in every} == {"assign": 450 * 20, "word": 10}
+    before, secrets.ROUNDS = secrets.ROUNDS, 2
+    try:
+        one, two = (secrets.trained(x) for x in (found, found.unionByName(found).repartition(5)))
+    finally:
+        secrets.ROUNDS = before
+    assert one.threshold == two.threshold and (one.state() == two.state()).all()
+    assert one.t == 2 * (one.t // 2) and one.t < 2 * 200  # shards, not one pass over all
