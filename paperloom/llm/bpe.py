@@ -7,7 +7,7 @@ trie, and prefixes that words share are encoded once. A word's last symbol carri
 complete words.
 
 The tokenizer file (path parameter) gives vocabulary, merges, end mark and special tokens. Text is split at its special
-tokens, composed (NFC), lower-cased by code point, and cut into words. A worker remembers the encodings of the last CACHE to 2 * CACHE words.
+tokens, composed (NFC), lower-cased by code point, and cut into words. A worker remembers the encodings of the last CACHE to 2 * CACHE words, until a task of another kind begins.
 The file's rules go by the Unicode tables of the tokenizers library, which are older or newer than those of the modules
 here for some code points; these are stated below and take their own way. A word's cost is linear in its length: of a
 prefix only its last symbols, as many as the longest token has, are ever looked at.
@@ -27,7 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 2 << 20, 250_000
+from paperloom.llm import textbytes as tb
+
+CACHE, LONG_WORD, BATCH_BYTES, PAIRS = 120_000, 64, 1 << 20, 250_000
 #: Fixed values of the tokenizer file's rules; white space is Unicode's, without the separators 0x1C to 0x1F.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -279,12 +281,9 @@ class TrieEncoder:
             yield " ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def _encode(path: str):
     def run(batches):
-        encoder = _encoders.get(path) or _encoders.setdefault(path, TrieEncoder(path))
+        encoder = tb.KEPT.get(path) or tb.KEPT.setdefault(path, TrieEncoder(path))
         for batch in batches:
             text, at = batch.column("text"), 0
             sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()

@@ -20,6 +20,8 @@ BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E6D_62D0_6F6A_9A9B)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: What the last tasks of a worker left for the next of their kind, by owner; the first task of another kind drops it.
+KEPT: dict[str, object] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +46,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after the other, and the n + 1 offsets."""
+    KEPT.clear()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from paperloom.llm import alignment, lexical, packing
+from paperloom.llm import alignment, bpe, lexical, packing
 from paperloom.llm import textbytes as tb
 
 WORDS_PATH, A_PATH, B_PATH = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -290,3 +290,14 @@ def test_words_are_learned_in_one_stream():
     mixed = words[:300] + odd + words[300:]
     assert both.learn(mixed) == {w: alone(w) for w in mixed} and both.learn([]) == {}
     assert both.learn([" ▁x"]) == {" ▁x": None}
+
+
+def test_encoders_leave_with_their_stage():
+    """A worker keeps the encoder from task to task, but not into those of other operators."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["some words", None])], ["doc_id", "text"])
+    tb.KEPT.clear()
+    want = [b.to_pylist() for b in bpe._encode(WORDS_PATH)(iter([batch]))]
+    first = tb.KEPT[WORDS_PATH]
+    assert [b.to_pylist() for b in bpe._encode(WORDS_PATH)(iter([batch]))] == want and tb.KEPT[WORDS_PATH] is first
+    tb.count_words(batch.column("text"))
+    assert not tb.KEPT
