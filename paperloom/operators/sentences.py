@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import predicates
-
 #: A sentence under SHORT characters takes the next one with it; of a longer context than MOST the part
 #: around the mention counts; a paper has at most CONCEPTS concepts, a concept at most MENTIONS mentions.
 SHORT, MOST, CONCEPTS, MENTIONS = 120, 1000, 30, 3
@@ -65,28 +63,62 @@ def context(text: str, begins: list[int], ends: list[int], start: int, size: int
     return text[a:b]
 
 
-def contexts(texts: DataFrame, mentions: DataFrame) -> DataFrame:
+#: predicates.usable_mention in Python: white space, words and line ends as Java's patterns have them.
+TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
+WORD = re.compile("[A-Za-z][a-z]{2,}[.,;:)]?[\x85\u2028\u2029]?")
+
+
+def usable(word: str, sentence: str, defined: bool) -> bool:
+    """Whether predicates.usable_mention holds."""
+    if not defined and len(re.sub("[^A-Za-z0-9]", "", word)) <= 3:
+        return False
+    tokens = TOKEN.findall(sentence)
+    return bool(tokens) and 2 * sum(WORD.fullmatch(t) is not None for t in tokens) >= len(tokens)
+
+
+def contexts(texts: DataFrame, mentions: DataFrame, each: int | None = None) -> DataFrame:
     """texts (paper_id, text), mentions (paper_id, concept, confidence, start, word, defined) -> mentions with sentence.
 
+    With each, only the usable ones that may count: the surest of a concept in a sentence, for the first `each` sentences.
     A paper's mentions travel to its text as one list, which is no longer than the text that it stands beside; the
     sentences leave in batches. Mentions of papers without a text, or in a blank one, go."""
-    listed = mentions.groupBy("paper_id").agg(F.collect_set(F.struct("concept", "confidence", "start", "word", "defined")).alias("ms"))
+    names = ["paper_id", "concept", "confidence", "start", "word", "defined", "sentence"]
+    listed = mentions.groupBy("paper_id").agg(F.collect_set(F.struct(*names[1:6])).alias("ms"))
+
+    def of_paper(text, ms):
+        found = list(spans(text))
+        if not found:
+            return
+        begins, ends = map(list, zip(*found, strict=True))
+        if each is not None:
+            ms = sorted(ms, key=lambda m: (-m["confidence"], m["start"], m["word"]))
+        taken: dict[str, list[str]] = {}
+        for m in ms:
+            mine = taken.setdefault(m["concept"], [])
+            if each is not None and len(mine) >= each:
+                continue
+            s = context(text, begins, ends, m["start"], len(m["word"]))
+            if each is None:
+                yield m, s
+            elif s not in mine and usable(m["word"], s, m["defined"]):
+                mine.append(s)
+                yield m, s
 
     def run(batches):
         for batch in batches:
+            rows = []
             for paper, text, ms in zip(batch["paper_id"], batch["text"], batch["ms"], strict=True):
-                found = list(spans(text))
-                if not found:
-                    continue
-                begins, ends = map(list, zip(*found, strict=True))
-                for at in range(0, len(ms), 4096):
-                    part = ms[at : at + 4096]
-                    yield pd.DataFrame([(paper, m["concept"], m["confidence"], m["start"], m["word"], m["defined"], context(text, begins, ends, m["start"], len(m["word"]))) for m in part], columns=["paper_id", "concept", "confidence", "start", "word", "defined", "sentence"])
+                for m, s in of_paper(text, ms):
+                    rows.append((paper, m["concept"], m["confidence"], m["start"], m["word"], m["defined"], s))
+                    if len(rows) == 4096:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     rows = texts.where("text is not null").select("paper_id", "text").join(listed, "paper_id")
     kinds = {f.name: f.dataType.simpleString() for f in mentions.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("paper_id", "concept", "confidence", "start", "word", "defined")) + ", sentence string"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names[:6]) + ", sentence string")
 
 
 def surest_concepts(mentions: DataFrame, least: float, top: int = CONCEPTS) -> DataFrame:
@@ -102,8 +134,7 @@ def surest_mentions(texts: DataFrame, mentions: DataFrame, least: float, top: in
     mention stays, with nulls."""
     chosen = surest_concepts(mentions, least, top)
     of_chosen = mentions.where(F.col("confidence") >= least).join(chosen.select("paper_id", "concept"), ["paper_id", "concept"], "left_semi")
-    usable = contexts(texts, of_chosen).where(predicates.usable_mention(F.col("word"), F.col("sentence"), F.col("defined")))
-    first = usable.groupBy("paper_id", "concept", "sentence").agg(F.min(F.struct((-F.col("confidence")).alias("o"), "start", "word")).alias("m"))
+    first = contexts(texts, of_chosen, each).groupBy("paper_id", "concept", "sentence").agg(F.min(F.struct((-F.col("confidence")).alias("o"), "start", "word")).alias("m"))
     n = F.row_number().over(Window.partitionBy("paper_id", "concept").orderBy("m"))
     best = first.withColumn("place", n).where(F.col("place") <= each)
     best = best.select("paper_id", "concept", (-F.col("m.o")).alias("confidence"), "m.word", "sentence", "place")

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import predicates
 from paperloom.operators import sentences as S
 from paperloom.plans import mentions as plans  # noqa: F401
 
@@ -121,3 +122,15 @@ def test_whole_contexts_hold_their_mention(spark):
     m = spark.createDataFrame([(1, "n", 1.0, at, "needle", False)], "paper_id long, concept string, confidence double, start int, word string, defined boolean")
     s = S.contexts(t, m).select(F.col("sentence")).first()[0]
     assert "needle" in s and len(s) == 1000 and abs(s.index("needle") + 3 - 500) <= 1
+
+
+def test_only_counting_contexts_leave(spark):
+    """Of a concept named in every sentence, only the sentences that count are carried on; usable() is the predicate."""
+    t = spark.createDataFrame([(1, "The gene was seen again by all of them. " * 5 + "".join(f"The gene of kind {'abcdefghij'[i % 10] * 5} was then seen by {'klmnopqrst'[i // 10] * 5} and others, as is known to those who read this text to the end of it. " for i in range(100)))], "paper_id long, text string")
+    ms = [(1, "gene", 0.9, m.start(), "gene", False) for m in re.finditer("gene", t.first()["text"])]
+    m = spark.createDataFrame(ms, "paper_id long, concept string, confidence double, start int, word string, defined boolean")
+    assert S.contexts(t, m).count() == len(ms) and S.contexts(t, m, 3).count() == 3
+    rng = random.Random(2)
+    rows = [(rng.choice(["MRI", "gene", "a-b", "wörd"]), "".join(rng.choice(["abc", "Abc.", "x", "3", "é", " ", "\t", "\x0b", "\x85", "\u2028", "\xa0", "\n"]) for _ in range(rng.randrange(12))), rng.random() < 0.5) for _ in range(2000)]
+    got = spark.createDataFrame(rows, "w string, s string, d boolean").select("w", "s", "d", predicates.usable_mention(F.col("w"), F.col("s"), F.col("d")).alias("ok")).collect()
+    assert [(r["w"], r["s"], r["d"]) for r in got if r["ok"] != S.usable(r["w"], r["s"], r["d"])] == []
