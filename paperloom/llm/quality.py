@@ -75,6 +75,11 @@ def counts_of(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in cols], COUNTS)
 
 
+#: For rows that are filtered by their counts: what is not deterministic is not evaluated once more for a filter that moves
+#: below a join, which would take a second Python worker in each task.
+counts_once = F.arrow_udf(counts_of.func, counts_of.returnType).asNondeterministic()
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, stratum and COUNTS, a row for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), counts_of(F.col("text").cast("string")).alias("n"))
@@ -173,6 +178,6 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judged() keeps, with all their columns; each goes or stays by its own text."""
     plain, c = numbered(docs)
     chosen = _cutoff_columns(saved(counted(docs), "counts"), labels)
-    n = counts_of(F.col(c["text"]).cast("string"))
+    n = counts_once(F.col(c["text"]).cast("string"))
     rows = plain.withColumn("stratum", F.col(c["lang"]).cast("string")).withColumn("n", n).select(*plain.columns, "stratum", "n.*")
     return _with_verdicts(rows, chosen).where("kept").select(*named(docs))

@@ -112,6 +112,13 @@ def passes(docs):
     return out
 
 
+def test_quality_counts_once(spark):
+    """Counts that are made again for the filter take a second Python worker in each task, which stays for all later stages."""
+    docs, labels = (spark.read.parquet(f"{D}/{name}.parquet") for name in ("documents", "labels"))
+    plan = quality.good_documents(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_pipeline_rows(spark):
     from tokenizers import Tokenizer
 
