@@ -16,14 +16,27 @@ HEAD, FIRST_PAGE, BETWEEN = 6000, 3000, 4
 REFERENCES = r"(?i)\n\s*(?:[0-9]+\.?\s*)?(?:references|bibliography|literature cited)\s*\n"
 
 
+#: Bytes that folded text keeps; the others are spaces.
+KEPT = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
+
+
+def _fold(s: str | None) -> str:
+    s = s or ""
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s)
+        for x in filter(unicodedata.combining, set(s)):
+            s = s.replace(x, "")
+    return b" ".join(s.lower().encode("ascii", "replace").translate(KEPT).split()).decode()
+
+
 @F.pandas_udf(StringType())
-def _unaccented(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: "".join(x for x in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(x)).lower())
+def _folded(c: pd.Series) -> pd.Series:
+    return c.map(_fold)
 
 
 def folded(c: Column) -> Column:
     """Words of a-z and 0-9."""
-    return F.trim(F.regexp_replace(_unaccented(c), "[^a-z0-9]+", " "))
+    return _folded(c)
 
 
 def squashed(fold: Column) -> Column:
