@@ -18,7 +18,8 @@ RECORDS, WORKS, LETTERS = 512, 1024, 1 << 17
 #: Between texts: longer than what may lie between a given and a family name.
 GAP = bytes(8)
 NO_LETTERS = bytes(x for x in range(256) if not 97 <= x <= 122)
-DIGITS = re.compile("[0-9]+")
+DIGITS = re.compile(b"[0-9]+")
+INITIAL = re.compile(b"([a-z]) (?:[a-z] ){0,2}([a-z]{3,})")
 #: Needles are compared by their first 32 letters as four numbers, then by the rest.
 HEADS = 4
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype="<u8")
@@ -54,6 +55,17 @@ def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
 
 
+class Buffer:
+    """Texts of letters, each with a gap behind it; window: the eight letters from a place on as a number."""
+
+    def __init__(self, texts: list[bytes]):
+        self.text = b"".join(t + GAP for t in texts)
+        sizes = np.array([len(t) + len(GAP) for t in texts])
+        self.row, self.start = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
+        self.code = np.frombuffer(self.text, dtype=np.uint8) & 31
+        self.window = np.ndarray((len(self.text) + 8 * (HEADS - 1),), "<u8", self.text + bytes(8 * HEADS), strides=(1,)).copy()
+
+
 class Needles:
     """Distinct non-empty words of letters, looked for all at once at every place of a buffer."""
 
@@ -69,39 +81,47 @@ class Needles:
                 keys, first, count = np.unique(self.parts[ids, 0], return_index=True, return_counts=True)
                 self.classes.append((n, ids, Found(keys), first, count))
 
-    def places(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def there(self, b: Buffer, p: np.ndarray, k: np.ndarray, begin: int = 0) -> np.ndarray:
+        """Which of the words k begin at the places p; their first parts, up to begin, are known to."""
+        left = np.arange(len(p))
+        for i in range(begin, HEADS):
+            more = self.length[k[left]] > 8 * i
+            same = (b.window[p[left] + 8 * i] & MASKS[np.clip(self.length[k[left]] - 8 * i, 0, 8)]) == self.parts[k[left], i]
+            left = left[~more | same]
+        ok = np.zeros(len(p), dtype=bool)
+        ok[left] = True
+        for i in left[self.length[k[left]] > 8 * HEADS]:
+            ok[i] = b.text.startswith(self.words[k[i]], p[i])
+        return ok
+
+    def places(self, b: Buffer) -> tuple[np.ndarray, np.ndarray]:
         """Where words begin, and their numbers."""
-        n, text = len(buffer), buffer + bytes(8 * HEADS)
-        window = np.ndarray((n + 8 * (HEADS - 1),), "<u8", text, strides=(1,)).copy()
-        at, ids = [], []
+        at, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size, of_class, found, first, count in self.classes:
-            p, k = found.places(window[:n] & MASKS[size])
+            p, k = found.places(b.window[: len(b.text)] & MASKS[size])
             if size == 8:
                 run, j = spread(first[k], count[k])
                 p, k = p[run], of_class[j]
-                for i in range(1, HEADS):
-                    ok = (window[p + 8 * i] & MASKS[np.clip(self.length[k] - 8 * i, 0, 8)]) == self.parts[k, i]
-                    p, k = p[ok], k[ok]
-                ok = np.array([self.length[b] <= 8 * HEADS or text.startswith(self.words[b], a) for a, b in zip(p, k)], dtype=bool) if (self.length[k] > 8 * HEADS).any() else slice(None)
+                ok = self.there(b, p, k, 1)
                 p, k = p[ok], k[ok]
             else:
                 k = of_class[first[k]]
             at.append(p)
             ids.append(k)
-        return (np.concatenate(at), np.concatenate(ids)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.concatenate(at), np.concatenate(ids)
 
 
-def initials(fold: str):
-    """Single letters of folded text, each with the words of three letters or more that follow it, at most two more single
-    letters between; digits are spaces."""
-    words = DIGITS.sub(" ", fold).split(" ")
-    for i, w in enumerate(words):
-        if len(w) == 1:
-            for x in words[i + 1 : i + 4]:
-                if len(x) != 1:
-                    if len(x) >= 3:
-                        yield w, x
-                    break
+def initials(folds: list[str]):
+    """Single letters of folded texts, each with the text's number and the word of three letters or more that follows it, at
+    most two more single letters between; digits are spaces."""
+    text = DIGITS.sub(b" ", "\n".join(["", *folds, ""]).encode())
+    code = np.frombuffer(text, dtype=np.uint8)
+    letter = code >= 97
+    at = np.flatnonzero(letter[1:-1] & ~letter[:-2] & (code[2:] == 32)) + 1
+    row = np.cumsum(code == 10)[at] - 1
+    for r, i in zip(row.tolist(), at.tolist()):
+        if m := INITIAL.match(text, i):
+            yield r, m[1], m[2]
 
 
 class Names:
@@ -123,58 +143,69 @@ class Names:
         self.n = n + len(self.groups)
 
     def words(self) -> set[bytes]:
-        return {w for g, f in self.persons for w in (g, f) if len(w) > 1} | set(self.groups)
+        """What is looked for everywhere; given names are only looked for before their families."""
+        return {f for _, f in self.persons} | set(self.groups)
 
     def link(self, of: dict[bytes, int]) -> None:
         """of: the numbers of the needles that hold all words()."""
-        size, pairs = len(of), np.array([(-(g[0] & 31) if len(g) == 1 else of[g], of[f]) for g, f in self.persons], dtype=np.int64).reshape(-1, 2)
-        number = np.arange(len(pairs))
-        one = pairs[:, 0] < 0
-        # single letters: name by family and letter; others: names by family and given name as one sorted number
-        self.by_letter = np.full((size, 32), -1, dtype=np.int32)
-        self.by_letter[pairs[one, 1], -pairs[one, 0]] = number[one]
-        key = pairs[~one, 1] * size + pairs[~one, 0]
-        order = np.argsort(key)
-        self.pair, self.pair_name = Found(key[order].astype("<u8")), number[~one][order]
-        self.is_given, self.is_family, self.alone = (np.zeros(size, dtype=bool) for _ in range(3))
-        self.is_given[pairs[~one, 0]] = self.is_family[pairs[~one, 1]] = self.alone[pairs[one, 1]] = True
-        self.group = np.full(size, -1, dtype=np.int64)
+        families = {f: k for k, f in enumerate(dict.fromkeys(f for _, f in self.persons))}
+        self.family, self.group = (np.full(len(of), -1, dtype=np.int64) for _ in range(2))
+        for f, k in families.items():
+            self.family[of[f]] = k
         for w, k in self.groups.items():
-            self.group[of[w]] = len(pairs) + k
+            self.group[of[w]] = len(self.persons) + k
+        # which two letters, before a family or up to four others, may end one of its given names
+        self.ending = np.zeros((len(families), 32, 32), dtype=bool)
+        # given names of one letter: names by family and letter; others: by family and last two letters, then by all letters
+        self.by_letter = np.full((len(families), 32), -1, dtype=np.int32)
+        given, ends = [], []
+        for (g, f), k in self.persons.items():
+            if len(g) == 1:
+                self.by_letter[families[f], g[0] & 31] = k
+                self.ending[families[f], :, g[0] & 31] = True
+            else:
+                given.append((g, k))
+                ends.append(families[f] * 1024 + (g[-2] & 31) * 32 + (g[-1] & 31))
+        order = np.argsort(np.array(ends, dtype=np.int64), kind="stable")
+        self.given = Needles([given[i][0] for i in order])
+        self.given_name = np.array([given[i][1] for i in order], dtype=np.int64)
+        ends, self.first, self.count = np.unique(np.array(ends, dtype=np.int64)[order], return_index=True, return_counts=True)
+        self.ending = self.ending.ravel()
+        self.ending[ends] = True
+        self.ends = Found(ends.astype("<u8"))
         self.short = {}
         for (g, f), k in self.persons.items():
             if len(f) >= 3:
-                self.short.setdefault((g[:1].decode(), f.decode()), []).append(k)
+                self.short.setdefault((g[:1], f), []).append(k)
 
-    def printed(self, buffer: bytes, row: np.ndarray, at: np.ndarray, ids: np.ndarray, length: np.ndarray, folds: list[str], hits: np.ndarray) -> None:
-        """Marks in hits (rows by names) what is printed: row, the text of each place of the buffer, at and ids, the needles' places."""
+    def printed(self, b: Buffer, at: np.ndarray, ids: np.ndarray, folds: list[str], hits: np.ndarray) -> None:
+        """Marks in hits (texts by names) what is printed; at and ids: the needles' places."""
         g = self.group[ids]
-        hits[row[at[g >= 0]], g[g >= 0]] = True
-        code = np.frombuffer(buffer, dtype=np.uint8) & 31
-        ok = self.alone[ids]
-        q, f = at[ok], ids[ok]
-        for j in range(1, matching.BETWEEN + 2):
-            back = q - j
-            k = np.where(back >= 0, self.by_letter[f, code[back]], -1)
-            hits[row[q[k >= 0]], k[k >= 0]] = True
-        ok = self.is_given[ids]
-        end, g = at[ok] + length[ids[ok]], ids[ok]
-        order = np.argsort(end, kind="stable")
-        g = g[order]
-        count = np.bincount(end, minlength=len(buffer) + 1)
-        first = np.cumsum(count) - count
-        ok = self.is_family[ids]
-        q, f = at[ok], ids[ok]
-        for j in range(matching.BETWEEN + 1 if len(g) else 0):
-            back = np.maximum(q - j, 0)
-            run, i = spread(first[back], np.where(q >= j, count[back], 0))
-            p, k = self.pair.places((f[run] * len(self.group) + g[i]).astype("<u8"))
-            hits[row[q[run[p]]], self.pair_name[k]] = True
-        for r, fold in enumerate(folds):
-            for x, w in initials(fold):
-                for family in (w, w[:-1]):
-                    for k in self.short.get((x, family), ()):
-                        hits[r, k] = True
+        hits[b.row[at[g >= 0]], g[g >= 0]] = True
+        f = self.family[ids]
+        q, f = at[f >= 0], f[f >= 0]
+        two = np.zeros(len(b.text) + matching.BETWEEN, dtype=np.int32)  # the two letters before a place, from BETWEEN on
+        two[matching.BETWEEN + 1 :] = b.code[:-1]
+        two[matching.BETWEEN + 2 :] += 32 * b.code[:-2].astype(np.int32)
+        base = f.astype(np.int32) * 1024
+        for j in range(matching.BETWEEN + 1 if len(f) else 0):
+            key = base + two[matching.BETWEEN - j :][q]
+            p = np.flatnonzero(self.ending[key])
+            key = key[p]
+            k = self.by_letter[key >> 10, key & 31]
+            hits[b.row[q[p[k >= 0]]], k[k >= 0]] = True
+            at, i = self.ends.places(key.astype("<u8"))
+            run, k = spread(self.first[i], self.count[i])
+            end = q[p[at[run]]]
+            begin = end - j - self.given.length[k]
+            ok = begin >= 0
+            end, k, begin = end[ok], k[ok], begin[ok]
+            ok = self.given.there(b, begin, k)
+            hits[b.row[end[ok]], self.given_name[k[ok]]] = True
+        for r, x, w in initials(folds):
+            for family in (w, w[:-1]):
+                for k in self.short.get((x, family), ()):
+                    hits[r, k] = True
 
 
 def bits(hits: np.ndarray) -> list[np.ndarray]:
@@ -207,14 +238,12 @@ def verdicts(records: pd.DataFrame, works: pd.DataFrame) -> tuple[np.ndarray, np
         while end < len(texts) and (end == begin or size + len(texts[end]) <= LETTERS):
             size += len(texts[end]) + len(GAP)
             end += 1
-        sizes = np.array([len(t) + len(GAP) for t in texts[begin:end]])
-        buffer = b"".join(t + GAP for t in texts[begin:end])
-        row, start = np.repeat(np.arange(end - begin), sizes), np.cumsum(sizes) - sizes
-        at, ids = needles.places(buffer)
-        names.printed(buffer, row, at, ids, needles.length, folds[begin:end], author[begin:end, : names.n])
+        b = Buffer(texts[begin:end])
+        at, ids = needles.places(b)
+        names.printed(b, at, ids, folds[begin:end], author[begin:end, : names.n])
         k = is_title[ids]
-        ok = (k >= 0) & (at + needles.length[ids] - start[row[at]] <= page[begin:end][row[at]])
-        title[begin:end][row[at[ok]], k[ok]] = True
+        ok = (k >= 0) & (at + needles.length[ids] - b.start[b.row[at]] <= page[begin:end][b.row[at]])
+        title[begin:end][b.row[at[ok]], k[ok]] = True
         begin = end
     if b"" in distinct:
         title[:, distinct[b""]] = True

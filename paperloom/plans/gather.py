@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions.vectors import cosine, doubles
 from paperloom.operators import calibration, matching, matchpairs, ranking, rerank, resolve, titles, topiclists
+from paperloom.operators.resolve import cut
 from paperloom.plans.interest import BASE, R, cos, feed, pooled, scores, split
 from paperloom.plans.library import P, papers
 from paperloom.plans.registry import query, table
@@ -474,15 +475,17 @@ def j12(spark, d):
     """F-20: papers of one DOI as hits of each other; words of a work's text stand for its authors' names, in four forms."""
     i = F.col("paper_id")
     p = papers(spark, d).withColumn("dk", T.doi_key(F.col("doi"))).where("dk is not null")
-    # the first words alone; what follows them stays one piece
+    # texts are read once; of their words the first alone are cut off, what follows them stays one piece
     p = p.withColumn("wd", F.split(F.regexp_replace("text", r"^[^\p{L}]+", ""), r"[^\p{L}]+", 8))
+    fold, page = matching.folded(F.substring("text", 1, matching.HEAD)), F.length(matching.page_letters(F.col("text")))
+    p = cut(p.select("paper_id", F.col("dk").alias("key"), "title", F.slice("wd", 1, 6).alias("wd"), fold.alias("fold"), page.alias("page")))
     at = lambda n: F.coalesce(F.get("wd", F.lit(n)), F.lit(""))
     name = F.when(i % 4 == 0, F.concat(at(2), F.lit(", "), at(1))).when(i % 4 == 1, F.concat(F.substring(at(1), 1, 1), F.lit(" "), at(2))).when(i % 4 == 2, at(2)).otherwise(F.concat(at(1), F.lit(" "), at(2)))
     w_title = F.when(i % 5 == 0, F.concat("title", F.lit(": more"))).when(i % 5 == 1, "Else").otherwise(F.col("title"))
-    works = p.select(i.alias("work"), F.col("dk").alias("key"), w_title.alias("w_title"), name.alias("first"), F.concat(at(4), F.lit(" "), at(5)).alias("second"), F.when((at(4) == "") | (at(5) == ""), 1).otherwise(2).alias("n"))
-    works = works.select("work", "key", "n", matching.title_keys(F.col("w_title")).alias("of"), matching.name_keys(F.col("first")).alias("first"), matching.name_keys(F.col("second")).alias("second"))
-    rec = p.select(i.alias("record"), F.col("dk").alias("key"), F.when(i % 7 == 0, "Other").otherwise(F.col("title")).alias("title"), "text")
-    rec = rec.select("record", "key", matching.title_keys(F.col("title")).alias("own"), matching.folded(F.substring("text", 1, matching.HEAD)).alias("fold"), F.length(matching.page_letters(F.col("text"))).alias("page"))
+    n = F.when((at(4) == "") | (at(5) == ""), 1).otherwise(2)
+    works = p.select(i.alias("work"), "key", n.alias("n"), matching.title_keys(w_title).alias("of"), matching.name_keys(name).alias("first"), matching.name_keys(F.concat(at(4), F.lit(" "), at(5))).alias("second"))
+    title = F.when(i % 7 == 0, "Other").otherwise(F.col("title"))
+    rec = p.select(i.alias("record"), "key", matching.title_keys(title).alias("own"), "fold", "page")
     h = matchpairs.paired(rec, works).withColumn("authors_ok", matching.with_others(F.col("first_ok"), F.col("group"), F.col("second_ok"), F.col("n")))
     way = F.when(F.col("record") % 3 == 0, "doi").otherwise("title")
     return h.select("record", "work", "title_ok", "authors_ok", matching.verified(F.col("title_ok"), F.col("authors_ok"), F.col("first_ok"), way).alias("verified"))
